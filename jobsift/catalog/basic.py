@@ -15,7 +15,7 @@ from jobsift.sources.tables import table
 
 
 def r6(c):
-    return F.round(c, 6)
+    return F.bround(c, 6)
 
 
 VAC_COLS = ["vacancy_id", "name_raw", "name", "keySkills_str", "company_id", "compensation_from",

@@ -49,9 +49,11 @@ def non_null_counts(df: DataFrame, by: list[str], cols: Mapping[str, str]) -> Da
 
 
 def row_normalised(df: DataFrame, by: str, value: str, out: str = "weight") -> DataFrame:
-    """Value divided by the sum over the row (``by`` group)."""
-    w = Window.partitionBy(by)
-    return df.withColumn(out, F.col(value) / F.sum(value).over(w))
+    """Value divided by the sum over the row (``by`` group).  The row sum
+    is a grouped aggregate joined back, not a window, so a hot row key is
+    pre-aggregated map-side and the join can be split by AQE's skew handling."""
+    sums = df.groupBy(by).agg(F.sum(value).alias("__sum"))
+    return df.join(sums, by).withColumn(out, F.col(value) / F.col("__sum")).drop("__sum")
 
 
 def mean_or_default(c: Column | str, default: float = 0.0) -> Column:
