@@ -14,7 +14,7 @@ from jobsift.sources.tables import table
 
 
 def r6(c):
-    return F.bround(c, 6)
+    return F.round(c, 6)
 
 
 def _train_history(spark, d):
@@ -92,11 +92,21 @@ def w6_frame_row_mean_impute(spark, d):
 @register("a12_action_type_means", HW("""
 , g AS (SELECT * FROM tgt WHERE target IS NOT NULL AND last_pos > 0 AND hist_len > 5 AND hist_len < 50),
 h2 AS (SELECT h.* , g.target FROM hist h JOIN g ON g.user_id = h.user_id AND h.pos < g.last_pos - 1),
-um AS (SELECT user_id, avg(salary) AS m FROM h2 GROUP BY user_id HAVING avg(salary) IS NOT NULL)
+um AS (SELECT user_id, CAST(sum(CAST(salary AS DECIMAL(18,2))) AS DOUBLE) / count(salary) AS m FROM h2
+       GROUP BY user_id HAVING count(salary) > 0)
 SELECT h2.user_id, round(um.m, 6) AS hist_mean,
-  round(coalesce(avg(coalesce(salary, um.m)) FILTER (WHERE action_type = 1), um.m), 6) AS mean_type1,
-  round(coalesce(avg(coalesce(salary, um.m)) FILTER (WHERE action_type = 2), um.m), 6) AS mean_type2,
-  round(coalesce(avg(coalesce(salary, um.m)) FILTER (WHERE action_type = 3), um.m), 6) AS mean_type3,
+  round(CASE WHEN count(*) FILTER (WHERE action_type = 1) > 0 THEN
+    (coalesce(CAST(sum(CAST(salary AS DECIMAL(18,2))) FILTER (WHERE action_type = 1) AS DOUBLE), 0.0)
+     + um.m * count(*) FILTER (WHERE action_type = 1 AND salary IS NULL)) / count(*) FILTER (WHERE action_type = 1)
+    ELSE um.m END, 6) AS mean_type1,
+  round(CASE WHEN count(*) FILTER (WHERE action_type = 2) > 0 THEN
+    (coalesce(CAST(sum(CAST(salary AS DECIMAL(18,2))) FILTER (WHERE action_type = 2) AS DOUBLE), 0.0)
+     + um.m * count(*) FILTER (WHERE action_type = 2 AND salary IS NULL)) / count(*) FILTER (WHERE action_type = 2)
+    ELSE um.m END, 6) AS mean_type2,
+  round(CASE WHEN count(*) FILTER (WHERE action_type = 3) > 0 THEN
+    (coalesce(CAST(sum(CAST(salary AS DECIMAL(18,2))) FILTER (WHERE action_type = 3) AS DOUBLE), 0.0)
+     + um.m * count(*) FILTER (WHERE action_type = 3 AND salary IS NULL)) / count(*) FILTER (WHERE action_type = 3)
+    ELSE um.m END, 6) AS mean_type3,
   round(max(h2.target), 6) AS target
 FROM h2 JOIN um ON um.user_id = h2.user_id GROUP BY h2.user_id, um.m""").replace("\n\n, g AS", ", g AS", 1))
 def a12_action_type_means(spark, d):

@@ -97,17 +97,36 @@ def impute_row_mean(arr) -> Column:
     return F.transform(a, lambda x: F.coalesce(x, mean))
 
 
-def action_type_means(history: DataFrame, user: str = "user_id", types=(1, 2, 3)) -> DataFrame:
+def action_type_means(history: DataFrame, user: str = "user_id", types=(1, 2, 3),
+                      money: str = "decimal(18,2)") -> DataFrame:
     """Mean salary per action type over the history, missing salaries
     imputed by the user's history mean; a type with no rows gets the mean.
-    Users whose history has no salary at all are dropped."""
-    um = history.groupBy(user).agg(F.avg("salary").alias("hist_mean"))
+    Users whose history has no salary at all are dropped.
+
+    Salaries are summed as decimals (exact, order independent), so the means
+    do not depend on the order in which partial sums are merged.
+    """
+    def exact_sum(c):
+        return F.sum(c.cast(money)).cast("double")
+
+    sal = F.col("salary")
+    um = history.groupBy(user).agg((exact_sum(sal) / F.count(sal)).alias("hist_mean"))
     j = history.join(um.filter(F.col("hist_mean").isNotNull()), user)
-    filled = F.coalesce(F.col("salary"), F.col("hist_mean"))
-    aggs = [F.avg(F.when(F.col("action_type") == t, filled)).alias(f"m{t}") for t in types]
+    aggs = []
+    for t in types:
+        is_t = F.col("action_type") == t
+        aggs += [exact_sum(F.when(is_t, sal)).alias(f"s{t}"),
+                 F.count(F.when(is_t & sal.isNotNull(), 1)).alias(f"k{t}"),
+                 F.count(F.when(is_t & sal.isNull(), 1)).alias(f"z{t}")]
     out = j.groupBy(user).agg(F.first("hist_mean").alias("hist_mean"), *aggs)
-    return out.select(user, "hist_mean",
-                      *[F.coalesce(F.col(f"m{t}"), F.col("hist_mean")).alias(f"mean_type{t}") for t in types])
+    m = F.col("hist_mean")
+
+    def type_mean(t):
+        n = F.col(f"k{t}") + F.col(f"z{t}")
+        total = F.coalesce(F.col(f"s{t}"), F.lit(0.0)) + m * F.col(f"z{t}")
+        return F.when(n > 0, total / n).otherwise(m)
+
+    return out.select(user, "hist_mean", *[type_mean(t).alias(f"mean_type{t}") for t in types])
 
 
 def fold_sessions(events: DataFrame, keys=("user_id", "session_id"), skip_views: bool = False) -> DataFrame:
