@@ -53,3 +53,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df):
+    """Write a reused intermediate once to the shared checkpoint folder and
+    read it back as a plain scan.  Cuts the lineage (recovery after executor
+    loss restarts from the files, not from the sources) and keeps plans that
+    reuse the intermediate in several branches small."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
