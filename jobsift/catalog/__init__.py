@@ -19,7 +19,7 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 _MODULES = ["basic", "sequences", "textsim", "evaluation", "vectors", "recommend",
-            "resumes", "training", "statistics"]
+            "resumes", "training", "statistics", "iostream", "models"]
 
 
 def register(name: str, sql: str | None = None):
