@@ -148,3 +148,40 @@ def default_blocks(spark, n_hint: int | None = None) -> int:
     """Blocks per side: about sqrt of the shuffle parallelism."""
     p = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
     return max(1, int(math.sqrt(p)))
+
+
+def hashed_bow_encoder(dim: int = 64):
+    """Default text encoder without a model: word counts hashed into ``dim``
+    buckets (crc32, stable across processes), L2-normalised."""
+    import re
+    import zlib
+
+    word = re.compile(r"\w\w+")
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim), dtype=np.float64)
+        for i, t in enumerate(texts):
+            for w in word.findall((t or "").lower()):
+                out[i, zlib.crc32(w.encode("utf-8")) % dim] += 1.0
+        n = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
+
+    return encode
+
+
+def embed_texts(df: DataFrame, text: str, encoder=None, batch_size: int = 256, prefix: str = "") -> DataFrame:
+    """K8: encode the distinct texts of ``text`` in Arrow batches with a
+    caller-supplied encoder (list[str] -> 2-D array); an optional query
+    prefix is prepended.  Output (text, vec).  Identical texts are encoded
+    once; the encoder runs inside ``mapInPandas`` on the executors."""
+    enc = encoder or hashed_bow_encoder()
+    distinct = df.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).distinct()
+
+    def run(batches):
+        for pdf in batches:
+            for s in range(0, len(pdf), batch_size):
+                chunk = pdf.iloc[s:s + batch_size]
+                vecs = enc([prefix + t for t in chunk["text"].tolist()])
+                yield pd.DataFrame({"text": chunk["text"].to_numpy(), "vec": list(np.asarray(vecs, dtype=np.float64))})
+
+    return distinct.mapInPandas(run, schema="text string, vec array<double>")
