@@ -334,3 +334,19 @@ def l6_shuffle_cap(spark, d):
     v = fx.vacancy(spark, d)
     key = F.md5(F.concat(F.lit("42"), F.col("vacancy_id").cast("string")))
     return top_k_per_group(v, ["area_id"], [key, F.col("vacancy_id")], 20, "__r").select("area_id", "vacancy_id")
+
+
+@register("i23_flatten_nested_predictions", W("""SELECT DISTINCT l.user_id, t.cid AS vacancy_id
+FROM (SELECT DISTINCT user_id, vacancy_id FROM interaction WHERE is_train AND action_type IN (1, 3)) l
+JOIN topk t ON t.qid = l.vacancy_id""", "vacancy", "interaction", extra=_R7_CTES))
+def i23_flatten_nested_predictions(spark, d):
+    """Legacy nested predictions {liked id: [neighbour ids]} stored as
+    JSON per (user, liked item), flattened back to distinct (user, vacancy)."""
+    liked = _liked(spark, d)
+    nn = _area_neighbours(spark, d, liked.select(F.col("vacancy_id").alias("query_id")).distinct(), 5)
+    lists = nn.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vacancy_id"))).alias("s"))
+    docs = liked.join(lists.withColumnRenamed("query_id", "vacancy_id"), "vacancy_id").select(
+        "user_id", F.to_json(F.create_map(F.col("vacancy_id").cast("string"),
+                                          F.transform("s", lambda x: x["vacancy_id"]))).alias("json"))
+    parsed = docs.select("user_id", F.explode(F.from_json("json", "map<string, array<bigint>>")).alias("k", "ids"))
+    return parsed.select("user_id", F.explode("ids").alias("vacancy_id")).distinct()
