@@ -56,12 +56,29 @@ def weigh(docs: DataFrame, doc_key: list[str], text: str, idf: DataFrame,
     return w.join(norm, doc_key).select(*doc_key, "token", (F.col("w") / F.col("__norm")).alias("w"))
 
 
-def cosine_pairs(qw: DataFrame, cw: DataFrame, qid: str, cid: str, scope: list[str] | None = None) -> DataFrame:
-    """Cosine of every (query, candidate) pair sharing at least one token."""
+def cosine_pairs(qw: DataFrame, cw: DataFrame, qid: str, cid: str, scope: list[str] | None = None,
+                 salts: int | None = None, partitions: int | None = None) -> DataFrame:
+    """Cosine of every (query, candidate) pair sharing at least one token.
+
+    The join output grows with the square of a token's document frequency,
+    not with the bytes shuffled, so AQE's size-based coalescing would put a
+    hot token's whole pair explosion into one task.  Both sides are therefore
+    repartitioned to a fixed count on (scope, token, salt): candidates get a
+    salt from their id, queries are replicated once per salt, so one token's
+    pairs spread over ``salts`` tasks.  Partial sums are aggregated map-side.
+    """
     scope = list(scope or [])
-    a = qw.select(*scope, F.col(qid).alias("__q"), "token", F.col("w").alias("__wq"))
-    b = cw.select(*scope, F.col(cid).alias("__c"), "token", F.col("w").alias("__wc"))
-    return (a.join(b, scope + ["token"])
+    spark = qw.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    s = salts or max(1, min(8, n // 2))
+    a = qw.select(*scope, F.col(qid).alias("__q"), "token", F.col("w").alias("__wq"),
+                  F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("__salt"))
+    b = cw.select(*scope, F.col(cid).alias("__c"), "token", F.col("w").alias("__wc"),
+                  F.pmod(F.xxhash64(F.col(cid)), F.lit(s)).cast("int").alias("__salt"))
+    keys = scope + ["token", "__salt"]
+    a = a.repartition(n, *keys)
+    b = b.repartition(n, *keys)
+    return (a.join(b, keys)
             .groupBy(*scope, "__q", "__c").agg(F.sum(F.col("__wq") * F.col("__wc")).alias("score"))
             .withColumnRenamed("__q", qid).withColumnRenamed("__c", cid))
 
@@ -87,13 +104,21 @@ def tfidf_top_k(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "qu
     idf = fit_idf(corpus, cid, text, scope)
 
     # score distinct texts: identical texts share one vector
-    ctexts = corpus.select(*scope, text).distinct().withColumn("__ct", F.col(text))
-    qtexts = queries.select(*scope, text).filter(F.col(text).isNotNull()).distinct() \
-        .withColumn("__qt", F.col(text))
+    ctexts = corpus.groupBy(*scope, F.col(text).alias("__ct")).agg(F.min(cid).alias("__min_id"))
+    qtexts = queries.select(*scope, F.col(text).alias("__qt")).filter(F.col("__qt").isNotNull()).distinct()
     cw = weigh(ctexts, scope + ["__ct"], "__ct", idf, scope)
     qw = weigh(qtexts, scope + ["__qt"], "__qt", idf, scope)
     text_pairs = cosine_pairs(qw, cw, "__qt", "__ct", scope)
 
+    # exact pruning before expanding texts to ids: ordered by (score desc,
+    # smallest id of the text), an id in a query's top k belongs to one of
+    # the first k texts (k + 1 when the query's own id is excluded)
+    keep = k + (1 if exclude_self else 0)
+    text_pairs = text_pairs.join(ctexts, scope + ["__ct"])
+    wt = Window.partitionBy(*scope, "__qt").orderBy(F.round("score", RANK_DIGITS).desc(), F.col("__min_id").asc())
+    text_pairs = text_pairs.withColumn("__tr", F.row_number().over(wt)).filter(F.col("__tr") <= keep) \
+        .drop("__tr", "__min_id")
+
     scored = (queries.withColumnRenamed(text, "__qt")
               .join(text_pairs, scope + ["__qt"])
               .join(corpus.withColumnRenamed(text, "__ct"), scope + ["__ct"])
