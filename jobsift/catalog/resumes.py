@@ -346,3 +346,65 @@ def i20_region_tree_leaves(spark, d):
     leaves = level2.filter(F.size("b.areas") == 0).select(F.col("b.id").alias("leaf_id"), F.col("b.name").alias("name"))
     root = t.select(F.col("t.id").alias("leaf_id"), F.col("t.name").alias("name")).distinct()
     return root.unionByName(leaves.distinct())
+
+
+# ------------------------------------------------------------ I12, I16
+def _resume_text(spark, d):
+    """Resume-style experience text derived from customers and two parts:
+    header, then two jobs with periods, titles and skills."""
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", _experience_text().alias("head"))
+    p = table(spark, d, "part").select("p_partkey", "p_name", F.lower("p_type").alias("t"))
+    a = p.select(F.col("p_partkey").alias("c_custkey"), F.col("p_name").alias("ta"), F.col("t").alias("sa"))
+    b = p.select((F.col("p_partkey") - 1).alias("c_custkey"), F.col("p_name").alias("tb"), F.col("t").alias("sb"))
+    months = F.array(*[F.lit(m) for m in resume.MONTHS])
+    k = F.col("c_custkey")
+
+    def month(off):
+        return F.element_at(months, ((k + off) % 12 + 1).cast("int"))
+
+    text = F.concat_ws(" ", F.col("head"),
+                       month(0), (F.lit(2010) + k % 10).cast("string"), F.lit("—"), month(3),
+                       (F.lit(2011) + k % 10).cast("string"), F.col("ta"), F.col("sa"),
+                       month(5), (F.lit(2015) + k % 5).cast("string"), F.lit("— по настоящее время"),
+                       F.col("tb"), F.col("sb"))
+    return c.join(a, "c_custkey", "left").join(b, "c_custkey", "left").select(
+        F.col("c_custkey").alias("user_id"), text.alias("resume"))
+
+
+@register("i12_resume_job_split")
+def i12_resume_job_split(spark, d):
+    """I12 on derived resume texts (rows-only; semantics pinned by unit tests
+    on hand-made Russian resumes)."""
+    r = _resume_text(spark, d)
+    jobs = resume.split_jobs("resume")
+    return r.select("user_id", F.array_join(jobs, "|").alias("jobs"), F.size(jobs).alias("n_jobs"))
+
+
+@register("i16_job_structs")
+def i16_job_structs(spark, d):
+    """I16 (Q21 fixed): per job piece a struct of the titles and skills found
+    in it (dictionary phrases, in order), plus the resume-level salary,
+    experience and employment; rows-only."""
+    r = _resume_text(spark, d).join(
+        table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_acctbal", "c_mktsegment"),
+        "user_id")
+    pieces = r.select("user_id", "c_acctbal", "c_mktsegment", "resume",
+                      F.posexplode(resume.split_jobs("resume")).alias("piece_no", "piece"))
+    v = fx.vacancy(spark, d)
+    names = v.select(F.lower("name").alias("phrase")).distinct()
+    skills_vocab = v.select(F.explode("keySkills").alias("s")).select(F.lower("s").alias("phrase")).distinct()
+    low = pieces.select("user_id", "piece_no", F.lower("piece").alias("t"))
+    found_n = phrases.extract_phrases(low, ["user_id", "piece_no"], "t", names, "phrase", max_n=3) \
+        .withColumnRenamed("phrases", "names")
+    found_s = phrases.extract_phrases(low, ["user_id", "piece_no"], "t", skills_vocab, "phrase", max_n=3) \
+        .withColumnRenamed("phrases", "keyskills")
+    from jobsift.functions.codes import experience_from_months
+    exp = experience_from_months(resume.experience_months(resume.experience_block("resume")))
+    out = pieces.join(found_n, ["user_id", "piece_no"], "left").join(found_s, ["user_id", "piece_no"], "left")
+    job = F.struct(F.coalesce("names", F.array().cast("array<string>")).alias("name"),
+                   F.coalesce("keyskills", F.array().cast("array<string>")).alias("keyskills"),
+                   F.col("c_acctbal").alias("salary"), exp.alias("workExperience"),
+                   F.col("c_mktsegment").alias("employment"))
+    return out.select("user_id", "piece_no", F.array_join(job["name"], "|").alias("names"),
+                      F.array_join(job["keyskills"], "|").alias("keyskills"), job["salary"].alias("salary"),
+                      job["workExperience"].alias("workExperience"), job["employment"].alias("employment"))

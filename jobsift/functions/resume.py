@@ -89,3 +89,33 @@ def experience_months(c) -> Column:
     total = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(toks), F.lit(1))), F.lit(0).cast("long"),
                         lambda acc, i: F.when(F.size(toks) == 0, acc).otherwise(step(acc, i)))
     return F.when(_c(c).isNull(), F.lit(None).cast("long")).otherwise(total)
+
+
+# Month names and the "until now" wording of resume periods.
+MONTHS = ["Январь", "Февраль", "Март", "Апрель", "Май", "Июнь", "Июль", "Август",
+          "Сентябрь", "Октябрь", "Ноябрь", "Декабрь"]
+_MONTH = "(?:" + "|".join(MONTHS) + ")"
+PERIOD_PATTERN = (r"(?U)\b" + _MONTH + r"\s+\d{4}\s*[—-]\s*(?:\b" + _MONTH + r"\s+\d{4}\b"
+                  r"|по\s+настоящее\s+время|настоящее\s+время)\b")
+
+
+def split_jobs(c) -> Column:
+    """Cut a resume's experience text on 'Month YYYY — Month YYYY' /
+    '... — по настоящее время' periods; pieces are stripped, blank ones
+    dropped, duration phrases removed, and the text after each period is
+    returned (null when the text has no period or the pieces do not pair up,
+    as the reference's index arithmetic fails then)."""
+    text = _c(c)
+    periods = F.regexp_extract_all(text, F.lit(PERIOD_PATTERN), 0)
+    rest = F.split(text, PERIOD_PATTERN, -1)
+    n = F.size(periods)
+    seq = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.when(
+        i < n, F.array(F.element_at(rest, i + 1), F.element_at(periods, i + 1))).otherwise(
+        F.array(F.element_at(rest, i + 1)))))
+    pieces = F.filter(F.transform(seq, strip), lambda s: F.length(s) > 0)
+    cleaned = F.transform(pieces, drop_durations)
+    m = F.size(cleaned)
+    after = F.transform(F.sequence(F.lit(1), F.greatest(m - 1, F.lit(1)), F.lit(2)),
+                        lambda i: F.element_at(cleaned, i + 2))
+    return (F.when((n == 0) | (m % 2 == 0), F.lit(None).cast("array<string>"))
+            .when(m < 3, F.array().cast("array<string>")).otherwise(after))

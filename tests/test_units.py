@@ -144,3 +144,12 @@ def test_label_encoding_alphabetical(spark):
 def test_impute_row_mean(spark):
     df = spark.createDataFrame([([1.0, None, 3.0],)], "a array<double>")
     assert df.select(sequences.impute_row_mean("a")).first()[0] == [1.0, 2.0, 3.0]
+
+
+def test_split_jobs_hand_made(spark):
+    t = ("Опыт работы 5 лет 2 месяца Январь 2015 — Март 2018 Повар 3 года 2 месяца кафе "
+         "Апрель 2018 — по настоящее время Шеф-повар ресторан")
+    df = spark.createDataFrame([(t,), ("без периодов",)], "t string")
+    out = [r[0] for r in df.select(resume.split_jobs("t")).collect()]
+    assert out[0] == ["Повар   кафе", "Шеф-повар ресторан"]
+    assert out[1] is None
