@@ -222,3 +222,12 @@ def v15_similarity_ordered(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.round("wsim", 9), "b")
     return j.select("user_id", F.col("b").alias("vacancy_id"), r6("wsim").alias("weighted_sim"),
                     F.row_number().over(w).cast("bigint").alias("rank"))
+
+
+@register("j8_truth_pred_pairs", EW("""SELECT user_id, a AS true_id, b AS pred_id, CAST(true_pos AS BIGINT) AS true_pos,
+  CAST(pred_rank AS BIGINT) AS pred_rank FROM pairs"""))
+def j8_truth_pred_pairs(spark, d):
+    """Every true item of a user with every predicted one (|truth| x k)."""
+    p = ev.truth_pred_pairs(predictions(spark, d), truth(spark, d))
+    return p.select("user_id", F.col("a").alias("true_id"), F.col("b").alias("pred_id"),
+                    F.col("true_pos").cast("bigint"), F.col("pred_rank").cast("bigint"))
