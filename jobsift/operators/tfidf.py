@@ -35,14 +35,13 @@ def token_counts(docs: DataFrame, key: list[str], text: str) -> DataFrame:
 def fit_idf(corpus: DataFrame, doc_id: str, text: str, scope: list[str] | None = None) -> DataFrame:
     """(scope..., token, idf) fitted on the corpus."""
     scope = list(scope or [])
-    if not scope:
-        corpus, scope = corpus.withColumn("__scope", F.lit(0)), ["__scope"]
-        return fit_idf(corpus, doc_id, text, scope).drop("__scope")
     d = corpus.select(*scope, doc_id, text).filter(F.col(text).isNotNull())
-    n_docs = d.groupBy(*scope).agg(F.count("*").alias("__n"))
     df_ = (d.select(*scope, doc_id, F.explode(F.array_distinct(tokens(text))).alias("token"))
            .groupBy(*scope, "token").agg(F.count("*").alias("__df")))
-    j = df_.join(n_docs, scope)
+    if scope and scope != ["__scope"]:
+        j = df_.join(d.groupBy(*scope).agg(F.count("*").alias("__n")), scope)
+    else:  # one corpus: the document count is a scalar subquery, not a join
+        j = df_.withColumn("__n", d.select(F.count("*")).scalar())
     return j.select(*scope, "token", (F.log((1 + F.col("__n")) / (1 + F.col("__df"))) + 1).alias("idf"))
 
 
@@ -129,9 +128,15 @@ def tfidf_top_k(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "qu
     # zero-overlap padding: the k (+1 when excluding self) lowest ids of the scope
     pad_n = k + (1 if exclude_self else 0)
     pool = corpus.select(*scope, cid)
-    wpad = Window.partitionBy(*scope).orderBy(cid)
-    pad_ids = pool.withColumn("__r", F.row_number().over(wpad)).filter(F.col("__r") <= pad_n).drop("__r")
-    pads = queries.select(*scope, qid).join(pad_ids, scope)
+    if scope == ["__scope"]:
+        # one corpus: its pad_n lowest ids (a bounded list) ride along as a literal
+        ids = [r[0] for r in pool.select(cid).distinct().orderBy(cid).limit(pad_n).collect()]
+        lit_ids = F.array(*[F.lit(i) for i in ids]) if ids else F.array().cast(f"array<{pool.schema[cid].dataType.simpleString()}>")
+        pads = queries.select(*scope, qid, F.explode(lit_ids).alias(cid))
+    else:
+        wpad = Window.partitionBy(*scope).orderBy(cid)
+        pad_ids = pool.withColumn("__r", F.row_number().over(wpad)).filter(F.col("__r") <= pad_n).drop("__r")
+        pads = queries.select(*scope, qid).join(pad_ids, scope)
     if exclude_self:
         pads = pads.filter(F.col(qid) != F.col(cid))
     pads = pads.join(scored.select(*scope, qid, cid), scope + [qid, cid], "left_anti") \
