@@ -100,7 +100,7 @@ _M7.update({
 
 def _m7_parts(spark, d):
     v = fx.vectors(spark, d)
-    b = vx.default_blocks(spark)
+    b = vx.default_blocks(spark, v)
     top = vx.dense_top_k(v.withColumnRenamed("vacancy_id", "query_id"), v, 210, query_blocks=b, corpus_blocks=b) \
         .withColumnRenamed("vacancy_id", "cand_id")
     first = v.groupBy("label").agg(F.min("vacancy_id").alias("first_id"))

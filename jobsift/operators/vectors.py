@@ -41,41 +41,77 @@ _CELL_SCHEMA = T.StructType([T.StructField("qid", T.LongType()), T.StructField("
                              T.StructField("score", T.DoubleType())])
 
 
-def _cell_top_k(k: int, largest: bool, exclude_self: bool):
+def _sorted_top(scores: np.ndarray, ids: np.ndarray, k: int, largest: bool):
+    """Per row: the k best (rounded score, then smaller id), vectorised."""
+    key = np.round(scores, RANK_DIGITS)
+    key = -key if largest else key
+    o1 = np.argsort(ids, axis=1, kind="stable")
+    key1 = np.take_along_axis(key, o1, axis=1)
+    o2 = np.argsort(key1, axis=1, kind="stable")
+    order = np.take_along_axis(o1, o2, axis=1)[:, :k]
+    return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+
+def _cell_top_k(k: int, largest: bool, exclude_self: bool, q_chunk: int = 256, c_chunk: int = 8192):
+    """One (query block, corpus block) cell: running top-k over corpus
+    chunks, query rows processed in chunks, so memory is bounded by
+    q_chunk x (c_chunk + k) scores whatever the block sizes."""
+    bad = -np.inf if largest else np.inf
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf[pdf["__role"] == 0]
         c = pdf[pdf["__role"] == 1]
         if q.empty or c.empty:
-            return pd.DataFrame({"qid": [], "cid": [], "score": []})
+            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "cid": pd.Series([], dtype="int64"),
+                                 "score": pd.Series([], dtype="float64")})
         qm = np.vstack(q["__v"].to_numpy()).astype(np.float64)
         cm = np.vstack(c["__v"].to_numpy()).astype(np.float64)
         qids = q["__id"].to_numpy(np.int64)
         cids = c["__id"].to_numpy(np.int64)
-        s = qm @ cm.T
-        key = np.round(s, RANK_DIGITS)
-        if exclude_self:
-            s_mask = qids[:, None] == cids[None, :]
         out_q, out_c, out_s = [], [], []
-        for r in range(len(qids)):
-            sel = np.ones(len(cids), dtype=bool) if not exclude_self else ~s_mask[r]
-            idx = np.nonzero(sel)[0]
-            primary = -key[r, idx] if largest else key[r, idx]
-            order = idx[np.lexsort((cids[idx], primary))][:k]
-            out_q.append(np.full(len(order), qids[r]))
-            out_c.append(cids[order])
-            out_s.append(s[r, order])
+        for qs in range(0, len(qids), q_chunk):
+            qq, qi = qm[qs:qs + q_chunk], qids[qs:qs + q_chunk]
+            best_s = np.empty((len(qi), 0))
+            best_i = np.empty((len(qi), 0), dtype=np.int64)
+            for cs in range(0, len(cids), c_chunk):
+                ci = cids[cs:cs + c_chunk]
+                s = qq @ cm[cs:cs + c_chunk].T
+                if exclude_self:
+                    s = np.where(qi[:, None] == ci[None, :], bad, s)
+                all_s = np.concatenate([best_s, s], axis=1)
+                all_i = np.concatenate([best_i, np.broadcast_to(ci, s.shape)], axis=1)
+                best_s, best_i = _sorted_top(all_s, all_i, k, largest)
+            keep = np.isfinite(best_s)
+            out_q.append(np.broadcast_to(qi[:, None], best_s.shape)[keep])
+            out_c.append(best_i[keep])
+            out_s.append(best_s[keep])
         return pd.DataFrame({"qid": np.concatenate(out_q), "cid": np.concatenate(out_c),
                              "score": np.concatenate(out_s)})
     return run
 
 
+def blocks_for(df: DataFrame, rows_per_block: int = 50000) -> int:
+    """Number of blocks so that one block holds at most ``rows_per_block``
+    rows (one count; the block size, not the data, bounds a task's memory)."""
+    n = df.count()
+    return max(1, -(-n // rows_per_block))
+
+
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "query_id",
-                cid: str = "vacancy_id", vec: str = "vec", query_blocks: int = 4, corpus_blocks: int = 4,
-                largest: bool = True, exclude_self: bool = False, normalise: bool = True) -> DataFrame:
+                cid: str = "vacancy_id", vec: str = "vec", query_blocks: int | None = None,
+                corpus_blocks: int | None = None, largest: bool = True, exclude_self: bool = False,
+                normalise: bool = True, rows_per_block: int = 50000) -> DataFrame:
     """K1 (largest) / K4 (smallest) exact top-k by inner product.
 
-    Output (qid, cid, score, rank).  Ties break by candidate id.
+    Output (qid, cid, score, rank).  Ties break by candidate id.  Block
+    counts default to what keeps every block under ``rows_per_block`` rows,
+    so each ``applyInPandas`` group has a proven size bound.  (Exact search
+    still compares every pair; at very large corpora use ``lsh_top_k``.)
     """
+    if query_blocks is None:
+        query_blocks = blocks_for(queries, rows_per_block)
+    if corpus_blocks is None:
+        corpus_blocks = blocks_for(corpus, rows_per_block)
     qv = l2_normalise(vec) if normalise else F.col(vec).cast("array<double>")
     q = queries.select(F.col(qid).cast("long").alias("__id"), qv.alias("__v"))
     c = corpus.select(F.col(cid).cast("long").alias("__id"), qv.alias("__v"))
@@ -144,10 +180,12 @@ def texts_to_embed(texts: DataFrame, store: DataFrame, text: str = "text") -> Da
         .join(store.select("text_hash").distinct(), "text_hash", "left_anti")
 
 
-def default_blocks(spark, n_hint: int | None = None) -> int:
-    """Blocks per side: about sqrt of the shuffle parallelism."""
+def default_blocks(spark, df: DataFrame | None = None, rows_per_block: int = 50000) -> int:
+    """Blocks per side: about sqrt of the shuffle parallelism (so the cells
+    keep the cluster busy), and never fewer than the size bound needs."""
     p = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(1, int(math.sqrt(p)))
+    b = max(1, int(math.sqrt(p)))
+    return max(b, blocks_for(df, rows_per_block)) if df is not None else b
 
 
 def hashed_bow_encoder(dim: int = 64):

@@ -153,3 +153,22 @@ def test_split_jobs_hand_made(spark):
     out = [r[0] for r in df.select(resume.split_jobs("t")).collect()]
     assert out[0] == ["Повар   кафе", "Шеф-повар ресторан"]
     assert out[1] is None
+
+
+@pytest.mark.parametrize("largest,exclude_self", [(True, False), (False, True)])
+def test_cell_top_k_chunked_matches_brute_force(largest, exclude_self):
+    import pandas as pd
+    from jobsift.operators.vectors import _cell_top_k
+    rng = np.random.default_rng(7)
+    m = np.round(rng.normal(size=(23, 4)), 1)  # rounding creates ties
+    ids = np.arange(100, 123)
+    pdf = pd.concat([pd.DataFrame({"__id": ids, "__v": list(m), "__role": 0}),
+                     pd.DataFrame({"__id": ids, "__v": list(m), "__role": 1})])
+    out = _cell_top_k(4, largest, exclude_self, q_chunk=3, c_chunk=5)(pdf)
+    s = m @ m.T
+    for qi, q in enumerate(ids):
+        cand = [j for j in range(len(ids)) if not (exclude_self and j == qi)]
+        sign = -1 if largest else 1
+        expect = sorted(cand, key=lambda j: (sign * round(s[qi, j], 9), ids[j]))[:4]
+        got = out[out["qid"] == q].reset_index(drop=True)
+        assert list(got["cid"]) == [int(ids[j]) for j in expect]
