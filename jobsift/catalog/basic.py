@@ -107,7 +107,7 @@ def p8_fill_constant(spark, d):
   FROM interaction WHERE vacancy_id IS NOT NULL) WHERE rn = 1""", "interaction"))
 def p9_first_per_key(spark, d):
     i = fx.interaction(spark, d)
-    return cleaning.first_per_key(i, "vacancy_id", [F.col("action_dt"), F.col("event_id")],
+    return cleaning.first_per_key(i, "vacancy_id", ["action_dt", "event_id"],
                                   not_null=["vacancy_id"]).select("user_id", "vacancy_id", "action_type", "event_id")
 
 

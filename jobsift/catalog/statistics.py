@@ -97,7 +97,7 @@ WINDOW w AS (PARTITION BY area_id)""", "vacancy"))
 def e12_minmax_per_group(spark, d):
     """Salary min-max scaled inside each area (constant group -> 0)."""
     v = fx.vacancy(spark, d).withColumn("s", F.coalesce("compensation_from", F.lit(100000.0)))
-    return v.select("vacancy_id", r6(encoders.minmax_over("s", ["area_id"])).alias("scaled"))
+    return encoders.minmax_scale(v, "s", ["area_id"]).select("vacancy_id", r6("scaled").alias("scaled"))
 
 
 # ---------------------------------------------------------------- skills

@@ -66,15 +66,20 @@ def numeric_or_default(c, default: float = 100000) -> Column:
                       F.lit(float(default))).cast("long")
 
 
-def first_per_key(df: DataFrame, key: str | list[str], order: list[Column],
+def first_per_key(df: DataFrame, key: str | list[str], order: list[str],
                   not_null: Iterable[str] = ()) -> DataFrame:
     """Drop rows with nulls in ``not_null``, then the first row per key by
-    an explicit order (deterministic, unlike ``dropDuplicates``)."""
+    an explicit ascending order (deterministic, unlike ``dropDuplicates``).
+
+    ``min_by`` over an ordering struct is a partial aggregate: a key holding
+    a large share of the rows is reduced map-side, never gathered whole.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     for c in not_null:
         df = df.filter(F.col(c).isNotNull())
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    rest = [c for c in df.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*[F.col(c) for c in order]))
+    return df.groupBy(*keys).agg(first.alias("__r")).select(*keys, "__r.*")
 
 
 def drop_groups_touching(df: DataFrame, group: str, item: str, excluded: DataFrame,

@@ -27,3 +27,14 @@ def minmax_over(value: Column | str, group: list[str] | None = None, constant_va
     w = Window.partitionBy(*(group or []))
     lo, hi = F.min(v).over(w), F.max(v).over(w)
     return F.when(hi == lo, F.lit(constant_value)).otherwise((v - lo) / (hi - lo))
+
+
+def minmax_scale(df: DataFrame, value: str, group: list[str], out: str = "scaled",
+                 constant_value: float = 0.0) -> DataFrame:
+    """E12 for large groups: min and max per group as a grouped aggregate
+    (partial, skew-safe) joined back, instead of a window over the group."""
+    mm = df.groupBy(*group).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    j = df.join(mm, group)
+    scaled = F.when(F.col("__hi") == F.col("__lo"), F.lit(constant_value)) \
+        .otherwise((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))
+    return j.withColumn(out, scaled).drop("__lo", "__hi")
