@@ -64,8 +64,7 @@ def k2_skill_neighbours(spark, d):
     """Minimum slice: top 10 skill-string neighbours inside the same area."""
     v = fx.vacancy(spark, d).filter(F.col("keySkills_str").isNotNull())
     docs = v.select("area_id", "vacancy_id", F.col("keySkills_str").alias("text"))
-    q = docs.withColumnRenamed("vacancy_id", "query_id")
-    out = tfidf.tfidf_top_k(q, docs, 10, scope=["area_id"])
+    out = tfidf.tfidf_top_k(None, docs, 10, scope=["area_id"])
     return out.select("query_id", "vacancy_id", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -29,8 +29,7 @@ def skill_neighbours(skills: DataFrame, k: int = 15) -> DataFrame:
     """The k nearest skills of every skill by TF-IDF cosine (itself
     included), vectoriser fitted on the skill list: (skill, neighbour, score, rank)."""
     docs = skills.select(F.col("skill").alias("vacancy_id"), F.col("skill").alias("text"))
-    q = docs.withColumnRenamed("vacancy_id", "query_id")
-    out = tfidf.tfidf_top_k(q, docs, k)
+    out = tfidf.tfidf_top_k(None, docs, k)
     return out.select(F.col("query_id").alias("skill"), F.col("vacancy_id").alias("neighbour"), "score", "rank")
 
 

@@ -82,7 +82,7 @@ def cosine_pairs(qw: DataFrame, cw: DataFrame, qid: str, cid: str, scope: list[s
             .withColumnRenamed("__q", qid).withColumnRenamed("__c", cid))
 
 
-def tfidf_top_k(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "query_id",
+def tfidf_top_k(queries: DataFrame | None, corpus: DataFrame, k: int, *, qid: str = "query_id",
                 cid: str = "vacancy_id", text: str = "text", scope: list[str] | None = None,
                 exclude_self: bool = False) -> DataFrame:
     """K2: the k most cosine-similar corpus documents per query.
@@ -95,18 +95,20 @@ def tfidf_top_k(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "qu
     """
     scope = list(scope or [])
     if not scope:  # one global scope: a constant key keeps every join an equi join
-        out = tfidf_top_k(queries.withColumn("__scope", F.lit(0)), corpus.withColumn("__scope", F.lit(0)), k,
+        q = queries.withColumn("__scope", F.lit(0)) if queries is not None else None
+        out = tfidf_top_k(q, corpus.withColumn("__scope", F.lit(0)), k,
                           qid=qid, cid=cid, text=text, scope=["__scope"], exclude_self=exclude_self)
         return out.drop("__scope")
     corpus = corpus.select(*scope, cid, text).filter(F.col(text).isNotNull())
-    queries = queries.select(*scope, qid, text)
+    self_search = queries is None
+    queries = corpus.withColumnRenamed(cid, qid) if self_search else queries.select(*scope, qid, text)
     idf = fit_idf(corpus, cid, text, scope)
 
     # score distinct texts: identical texts share one vector
     ctexts = corpus.groupBy(*scope, F.col(text).alias("__ct")).agg(F.min(cid).alias("__min_id"))
     qtexts = queries.select(*scope, F.col(text).alias("__qt")).filter(F.col("__qt").isNotNull()).distinct()
     cw = weigh(ctexts, scope + ["__ct"], "__ct", idf, scope)
-    qw = weigh(qtexts, scope + ["__qt"], "__qt", idf, scope)
+    qw = cw.withColumnRenamed("__ct", "__qt") if self_search else weigh(qtexts, scope + ["__qt"], "__qt", idf, scope)
     text_pairs = cosine_pairs(qw, cw, "__qt", "__ct", scope)
 
     # exact pruning before expanding texts to ids: ordered by (score desc,
