@@ -243,3 +243,24 @@ def m14_prefix_stratification(spark, d):
         "source", F.expr(_PREFIX_SQL.replace("INTEGER", "INT")).alias("prefix"))
     return docs.join(cfg, "source").groupBy("prefix").agg(F.count("*").alias("n_docs"),
                                                           F.count_distinct("source").alias("n_sources"))
+
+
+@register("m10b_prefixed_groups", W(f"""SELECT query_id, CAST(slot AS INTEGER) AS slot, cand_id,
+  CASE WHEN substr(md5(concat_ws('_', '42', 'q', CAST(query_id AS VARCHAR))), 1, 8) < '80000000' THEN 'query: ' ELSE '' END
+    AS query_prefix,
+  CASE WHEN substr(md5(concat_ws('_', '42', 'p', CAST(query_id AS VARCHAR), CAST(slot AS VARCHAR))), 1, 8) < '80000000'
+    THEN 'passage: ' ELSE '' END AS passage_prefix
+FROM (SELECT query_id, 0 AS slot, cand_id FROM pos
+  UNION ALL SELECT s.query_id, s.slot, n.cand_id FROM (
+    SELECT query_id, cand_id, row_number() OVER (PARTITION BY query_id
+      ORDER BY md5(concat_ws('_', '42', CAST(query_id AS VARCHAR), CAST(cand_id AS VARCHAR))), cand_id) AS r,
+      count(*) OVER (PARTITION BY query_id) AS m FROM negs) n
+  JOIN (SELECT DISTINCT query_id, unnest(range(1, 8)) AS slot FROM negs) s
+    ON s.query_id = n.query_id AND ((s.slot - 1) % n.m) + 1 = n.r)""", extra=_M7))
+def m10b_prefixed_groups(spark, d):
+    """M10 with dataset prefixes ('query: ' / 'passage: ') applied with
+    probability 0.5 per text (the "text" strategy)."""
+    pos, negs = _m7_parts(spark, d)
+    g = tr.training_groups(pos, negs.select("query_id", "cand_id"), 8)
+    out = tr.with_prefixes(g, "query: ", "passage: ", 0.5, strategy="text")
+    return out.select("query_id", F.col("slot").cast("int").alias("slot"), "cand_id", "query_prefix", "passage_prefix")
