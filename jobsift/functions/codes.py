@@ -124,6 +124,11 @@ def experience_from_years(years) -> Column:
 def experience_from_months(months) -> Column:
     """Whole years rounded up; null months stay null."""
     m = F.col(months) if isinstance(months, str) else months
-    y = F.ceil(m / 12.0)
-    return (F.when(m.isNull(), F.lit(None)).when(y == 0, "noExperience")
-            .when(y < 3, "between1And3").when(y < 6, "between3And6").otherwise("moreThan6"))
+
+    def cat(v):
+        y = F.ceil(v / 12.0)
+        return (F.when(v.isNull(), F.lit(None)).when(y == 0, "noExperience")
+                .when(y < 3, "between1And3").when(y < 6, "between3And6").otherwise("moreThan6"))
+
+    # bound once: ``months`` may be a large expression
+    return F.element_at(F.transform(F.array(m), cat), 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jobsift.functions.text import capitalize, strip
+from jobsift.functions.text import capitalize, let, strip
 
 # Russian duration words and the experience header.
 YEAR_WORDS = ["год", "года", "лет"]
@@ -51,44 +51,62 @@ def drop_durations(c) -> Column:
     return strip(F.regexp_replace(_c(c), DURATION_PATTERN, ""))
 
 
+def _interleave(text: Column, pattern: str, group: int) -> Column:
+    """Pieces of ``text`` split on ``pattern`` with the matches kept in
+    between (like ``re.split`` with a capturing group), stripped, blanks
+    dropped."""
+    def build(parts):
+        heads, rest = parts["h"], parts["r"]
+        n = F.size(heads)
+        seq = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.when(
+            i < n, F.array(F.element_at(rest, i + 1), F.element_at(heads, i + 1))).otherwise(
+            F.array(F.element_at(rest, i + 1)))))
+        return F.filter(F.transform(seq, strip), lambda s: F.length(s) > 0)
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), group).alias("h"),
+                     F.split(text, pattern, -1).alias("r"))
+    return let(parts, build)
+
+
 def experience_block(c) -> Column:
     """I13 part 1: split the text on experience headers (keeping them),
     strip and drop blank pieces, glue pieces pairwise, and take the second
     glued block when there are several, else the first (null if none)."""
-    text = _c(c)
-    heads = F.regexp_extract_all(text, F.lit(HEADER_PATTERN), 1)
-    rest = F.split(text, HEADER_PATTERN, -1)
-    n = F.size(heads)
-    seq = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.when(
-        i < n, F.array(F.element_at(rest, i + 1), F.element_at(heads, i + 1))).otherwise(
-        F.array(F.element_at(rest, i + 1)))))
-    pieces = F.filter(F.transform(seq, strip), lambda s: F.length(s) > 0)
-    m = F.size(pieces)
-    glued = F.when(m >= 2, F.transform(F.sequence(F.lit(0), F.floor((m - 2) / 2).cast("int")),
-                                       lambda i: F.concat(F.element_at(pieces, 2 * i + 1), F.lit(" "),
-                                                          F.element_at(pieces, 2 * i + 2))))
-    return F.when(F.size(glued) > 1, F.element_at(glued, 2)).when(F.size(glued) == 1, F.element_at(glued, 1))
+    def pick(pieces):
+        m = F.size(pieces)
+        glued = F.when(m >= 2, F.transform(F.sequence(F.lit(0), F.floor((m - 2) / 2).cast("int")),
+                                           lambda i: F.concat(F.element_at(pieces, 2 * i + 1), F.lit(" "),
+                                                              F.element_at(pieces, 2 * i + 2))))
+        return let(glued, lambda g: F.when(F.size(g) > 1, F.element_at(g, 2))
+                   .when(F.size(g) == 1, F.element_at(g, 1)))
+
+    return let(_interleave(_c(c), HEADER_PATTERN, 1), pick)
 
 
 def experience_months(c) -> Column:
     """I13 part 2: total months of 'N год/лет ... M месяцев'; any other word
     (or a unit without a number before it) makes the result null."""
-    toks = F.filter(F.split(strip(F.replace(_c(c), F.lit(EXPERIENCE_HEADER), F.lit(""))), r"\s+"),
-                    lambda s: F.length(s) > 0)
     years = F.array(*[F.lit(w) for w in YEAR_WORDS])
     months = F.array(*[F.lit(w) for w in MONTH_WORDS])
 
-    def step(acc, i):
-        tok = F.element_at(toks, i)
-        prev = F.when(i > 1, F.element_at(toks, i - 1).try_cast("long"))
-        is_y, is_m = F.array_contains(years, tok), F.array_contains(months, tok)
-        bad = (~is_y & ~is_m & ~tok.rlike(r"^\d+$")) | ((is_y | is_m) & prev.isNull())
-        add = F.when(is_y, prev * 12).when(is_m, prev).otherwise(F.lit(0))
-        return F.when(acc.isNull() | bad, F.lit(None).cast("long")).otherwise(acc + F.coalesce(add, F.lit(0)))
+    def total(toks):
+        def step(acc, i):
+            tok = F.element_at(toks, i)
+            prev = F.when(i > 1, F.element_at(toks, i - 1).try_cast("long"))
+            is_y, is_m = F.array_contains(years, tok), F.array_contains(months, tok)
+            bad = (~is_y & ~is_m & ~tok.rlike(r"^\d+$")) | ((is_y | is_m) & prev.isNull())
+            add = F.when(is_y, prev * 12).when(is_m, prev).otherwise(F.lit(0))
+            return F.when(acc.isNull() | bad, F.lit(None).cast("long")).otherwise(acc + F.coalesce(add, F.lit(0)))
+
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(toks), F.lit(1))), F.lit(0).cast("long"),
+                           lambda acc, i: F.when(F.size(toks) == 0, acc).otherwise(step(acc, i)))
+
+    def run(text):
+        toks = F.filter(F.split(strip(F.replace(text, F.lit(EXPERIENCE_HEADER), F.lit(""))), r"\s+"),
+                        lambda s: F.length(s) > 0)
+        return F.when(text.isNull(), F.lit(None).cast("long")).otherwise(let(toks, total))
 
-    total = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(toks), F.lit(1))), F.lit(0).cast("long"),
-                        lambda acc, i: F.when(F.size(toks) == 0, acc).otherwise(step(acc, i)))
-    return F.when(_c(c).isNull(), F.lit(None).cast("long")).otherwise(total)
+    return let(_c(c), run)
 
 
 # Month names and the "until now" wording of resume periods.
@@ -105,17 +123,16 @@ def split_jobs(c) -> Column:
     dropped, duration phrases removed, and the text after each period is
     returned (null when the text has no period or the pieces do not pair up,
     as the reference's index arithmetic fails then)."""
-    text = _c(c)
-    periods = F.regexp_extract_all(text, F.lit(PERIOD_PATTERN), 0)
-    rest = F.split(text, PERIOD_PATTERN, -1)
-    n = F.size(periods)
-    seq = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.when(
-        i < n, F.array(F.element_at(rest, i + 1), F.element_at(periods, i + 1))).otherwise(
-        F.array(F.element_at(rest, i + 1)))))
-    pieces = F.filter(F.transform(seq, strip), lambda s: F.length(s) > 0)
-    cleaned = F.transform(pieces, drop_durations)
-    m = F.size(cleaned)
-    after = F.transform(F.sequence(F.lit(1), F.greatest(m - 1, F.lit(1)), F.lit(2)),
-                        lambda i: F.element_at(cleaned, i + 2))
-    return (F.when((n == 0) | (m % 2 == 0), F.lit(None).cast("array<string>"))
-            .when(m < 3, F.array().cast("array<string>")).otherwise(after))
+    def pick(cleaned):
+        m = F.size(cleaned)
+        after = F.transform(F.sequence(F.lit(1), F.greatest(m - 1, F.lit(1)), F.lit(2)),
+                            lambda i: F.element_at(cleaned, i + 2))
+        return F.when(m % 2 == 0, F.lit(None).cast("array<string>")) \
+            .when(m < 3, F.array().cast("array<string>")).otherwise(after)
+
+    def run(text):
+        has_period = F.size(F.regexp_extract_all(text, F.lit(PERIOD_PATTERN), 0)) > 0
+        cleaned = F.transform(_interleave(text, PERIOD_PATTERN, 0), drop_durations)
+        return F.when(has_period, let(cleaned, pick)).otherwise(F.lit(None).cast("array<string>"))
+
+    return let(_c(c), run)

@@ -20,6 +20,15 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Expressions referenced several times inside higher-order functions are
+    otherwise re-embedded (and re-evaluated) at every reference; binding them
+    keeps the expression tree linear in size."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c) -> Column:
     """Python ``str.strip()``: remove Unicode whitespace at both ends."""
     return F.regexp_replace(_c(c), _WS, "")
