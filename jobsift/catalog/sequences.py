@@ -232,7 +232,8 @@ def a6_pivot_long(spark, d):
     return i.groupBy("user_id", "vacancy_id").agg(r6(F.avg("action_type")).alias("score"))
 
 
-@register("a7_row_normalised", W("""SELECT user_id, vacancy_id, round(s / sum(s) OVER (PARTITION BY user_id), 6) AS weight
+@register("a7_row_normalised", W("""SELECT user_id, vacancy_id,
+  round(s / CAST(sum(CAST(s AS DECIMAL(38,18))) OVER (PARTITION BY user_id) AS DOUBLE), 6) AS weight
 FROM (SELECT user_id, vacancy_id, avg(action_type) AS s FROM interaction GROUP BY user_id, vacancy_id)""", "interaction"))
 def a7_row_normalised(spark, d):
     i = fx.interaction(spark, d)

@@ -52,7 +52,9 @@ def row_normalised(df: DataFrame, by: str, value: str, out: str = "weight") -> D
     """Value divided by the sum over the row (``by`` group).  The row sum
     is a grouped aggregate joined back, not a window, so a hot row key is
     pre-aggregated map-side and the join can be split by AQE's skew handling."""
-    sums = df.groupBy(by).agg(F.sum(value).alias("__sum"))
+    # the row sum is accumulated as a decimal: exact, so it does not depend on
+    # the order in which partial sums are merged
+    sums = df.groupBy(by).agg(F.sum(F.col(value).cast("decimal(38,18)")).cast("double").alias("__sum"))
     return df.join(sums, by).withColumn(out, F.col(value) / F.col("__sum")).drop("__sum")
 
 
