@@ -3,7 +3,6 @@ I17-I20)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from jobsift.catalog import register

@@ -3,7 +3,6 @@ recommenders (R7, R8 with K5/E11, R10, R13) and remaining joins (J4, J11, L6).""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from jobsift.catalog import register

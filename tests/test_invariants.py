@@ -1,7 +1,6 @@
 """Invariant checks for the rows-only operators (SURVEY §5 (3))."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL

@@ -1,7 +1,5 @@
 """Hand-made cases: the reference's inline examples and one case per quirk."""
 
-import math
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
