@@ -64,6 +64,7 @@ EVAL_CTES: dict[str, str] = {
     "pairs": """SELECT t.user_id, t.vacancy_id AS a, p.vacancy_id AS b, t.pos AS true_pos, p.rank AS pred_rank
         FROM truth t JOIN pred p ON p.user_id = t.user_id""",
     "pj": """SELECT i.a, i.b, va.vacancy_id IS NOT NULL AND vb.vacancy_id IS NOT NULL AS found,
+        vb.vacancy_id IS NOT NULL AS found_b,
         va.keySkills_str AS ks_a, vb.keySkills_str AS ks_b, va.name AS nm_a, vb.name AS nm_b,
         va.workExperience AS we_a, vb.workExperience AS we_b, va.compensation_from AS cf_a, vb.compensation_from AS cf_b,
         va.employment AS em_a, vb.employment AS em_b, va.workSchedule AS ws_a, vb.workSchedule AS ws_b
@@ -72,7 +73,7 @@ EVAL_CTES: dict[str, str] = {
 }
 EVAL_CTES.update(_k3_ctes("sk", "pj", "ks_a", "ks_b"))
 EVAL_CTES.update(_k3_ctes("nm", "pj", "nm_a", "nm_b"))
-EVAL_CTES["feats"] = f"""SELECT pj.a, pj.b, found,
+EVAL_CTES["feats"] = f"""SELECT pj.a, pj.b, found, found_b,
     CASE WHEN ks_a IS NOT NULL AND ks_b IS NOT NULL THEN skcos.cos ELSE 0.0 END AS sim_skills,
     CASE WHEN nm_a IS NOT NULL AND nm_b IS NOT NULL THEN nmcos.cos ELSE 0.0 END AS sim_name,
     coalesce(1 - abs(({_EXP.format(c='we_a')}) - ({_EXP.format(c='we_b')})) / 3.0, 0.0) AS sim_experience,
@@ -82,7 +83,7 @@ EVAL_CTES["feats"] = f"""SELECT pj.a, pj.b, found,
     CASE WHEN em_a IS NOT NULL AND em_b IS NOT NULL AND em_a = em_b THEN 1.0 ELSE 0.0 END::DOUBLE AS sim_employment,
     CASE WHEN ws_a IS NOT NULL AND ws_b IS NOT NULL AND ws_a = ws_b THEN 1.0 ELSE 0.0 END::DOUBLE AS sim_schedule
     FROM pj LEFT JOIN skcos ON skcos.a = pj.a AND skcos.b = pj.b LEFT JOIN nmcos ON nmcos.a = pj.a AND nmcos.b = pj.b"""
-EVAL_CTES["fs"] = """SELECT a, b, found, (sim_skills + sim_name + sim_experience + sim_salary + sim_employment
+EVAL_CTES["fs"] = """SELECT a, b, found, found_b, (sim_skills + sim_name + sim_experience + sim_salary + sim_employment
     + sim_schedule) / 6.0 AS sim,
     0.25 * coalesce(sim_skills, 0) + 0.25 * coalesce(sim_name, 0) + 0.15 * sim_experience + 0.15 * sim_salary
     + 0.1 * sim_employment + 0.1 * sim_schedule AS wsim FROM feats"""
@@ -113,7 +114,7 @@ def v1_v2_precision_recall(spark, d):
   round(sim_skills, 6) AS sim_skills, round(sim_name, 6) AS sim_name, round(sim_experience, 6) AS sim_experience,
   round(sim_salary, 6) AS sim_salary, round(sim_employment, 6) AS sim_employment, round(sim_schedule, 6) AS sim_schedule,
   round(sim, 6) AS mean_sim, round(wsim, 6) AS weighted_sim
-FROM feats JOIN fs USING (a, b, found)"""))
+FROM feats JOIN fs USING (a, b, found, found_b)"""))
 def v3_v6_pair_similarity(spark, d):
     _, _, _, f = _feats(spark, d)
     return f.select("a", "b", F.col("found").cast("int").alias("found"),
@@ -131,8 +132,8 @@ def v7_pair_rate(spark, d):
 
 
 @register("v8_similarity_mrr", EW("""SELECT user_id, round(avg(coalesce(1.0 / first_pos, 0.0)), 6) AS mrr FROM (
-  SELECT p.user_id, p.b, min(CASE WHEN sim > 0.75 THEN true_pos END) AS first_pos
-  FROM pairs p JOIN fs USING (a, b) WHERE found GROUP BY p.user_id, p.b) GROUP BY user_id"""))
+  SELECT p.user_id, p.b, min(CASE WHEN found AND sim > 0.75 THEN true_pos END) AS first_pos
+  FROM pairs p JOIN fs USING (a, b) WHERE found_b GROUP BY p.user_id, p.b) GROUP BY user_id"""))
 def v8_similarity_mrr(spark, d):
     _, _, pairs, f = _feats(spark, d)
     return ev.similarity_mrr(pairs, f, 0.75).select("user_id", r6("mrr").alias("mrr"))
