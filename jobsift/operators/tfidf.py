@@ -26,17 +26,23 @@ from jobsift.functions.text import tokens
 RANK_DIGITS = 9
 
 
-def token_counts(docs: DataFrame, key: list[str], text: str) -> DataFrame:
-    """(key..., token, tf) for every token of every document."""
-    return (docs.select(*key, F.explode(tokens(text)).alias("token"))
+def _toks(text: str, tokens_col: str | None):
+    return F.col(tokens_col) if tokens_col else tokens(text)
+
+
+def token_counts(docs: DataFrame, key: list[str], text: str, tokens_col: str | None = None) -> DataFrame:
+    """(key..., token, tf) for every token of every document (``tokens_col``:
+    an already tokenised array column to use instead of ``text``)."""
+    return (docs.select(*key, F.explode(_toks(text, tokens_col)).alias("token"))
             .groupBy(*key, "token").agg(F.count("*").alias("tf")))
 
 
-def fit_idf(corpus: DataFrame, doc_id: str, text: str, scope: list[str] | None = None) -> DataFrame:
+def fit_idf(corpus: DataFrame, doc_id: str, text: str, scope: list[str] | None = None,
+            tokens_col: str | None = None) -> DataFrame:
     """(scope..., token, idf) fitted on the corpus."""
     scope = list(scope or [])
-    d = corpus.select(*scope, doc_id, text).filter(F.col(text).isNotNull())
-    df_ = (d.select(*scope, doc_id, F.explode(F.array_distinct(tokens(text))).alias("token"))
+    d = corpus.select(*scope, doc_id, text, *([tokens_col] if tokens_col else [])).filter(F.col(text).isNotNull())
+    df_ = (d.select(*scope, doc_id, F.explode(F.array_distinct(_toks(text, tokens_col))).alias("token"))
            .groupBy(*scope, "token").agg(F.count("*").alias("__df")))
     if scope and scope != ["__scope"]:
         j = df_.join(d.groupBy(*scope).agg(F.count("*").alias("__n")), scope)
@@ -46,10 +52,10 @@ def fit_idf(corpus: DataFrame, doc_id: str, text: str, scope: list[str] | None =
 
 
 def weigh(docs: DataFrame, doc_key: list[str], text: str, idf: DataFrame,
-          scope: list[str] | None = None) -> DataFrame:
+          scope: list[str] | None = None, tokens_col: str | None = None) -> DataFrame:
     """Normalised weights of ``docs`` under a fitted ``idf``: (doc_key..., token, w)."""
     scope = list(scope or [])
-    tc = token_counts(docs.filter(F.col(text).isNotNull()), doc_key, text)
+    tc = token_counts(docs.filter(F.col(text).isNotNull()), doc_key, text, tokens_col)
     w = tc.join(idf, scope + ["token"]).select(*doc_key, "token", (F.col("tf") * F.col("idf")).alias("w"))
     norm = w.groupBy(*doc_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__norm"))
     return w.join(norm, doc_key).select(*doc_key, "token", (F.col("w") / F.col("__norm")).alias("w"))
@@ -84,7 +90,7 @@ def cosine_pairs(qw: DataFrame, cw: DataFrame, qid: str, cid: str, scope: list[s
 
 def tfidf_top_k(queries: DataFrame | None, corpus: DataFrame, k: int, *, qid: str = "query_id",
                 cid: str = "vacancy_id", text: str = "text", scope: list[str] | None = None,
-                exclude_self: bool = False) -> DataFrame:
+                exclude_self: bool = False, tokens_col: str | None = None) -> DataFrame:
     """K2: the k most cosine-similar corpus documents per query.
 
     ``queries`` (scope..., qid, text) and ``corpus`` (scope..., cid, text);
@@ -96,18 +102,20 @@ def tfidf_top_k(queries: DataFrame | None, corpus: DataFrame, k: int, *, qid: st
     scope = list(scope or [])
     if not scope:  # one global scope: a constant key keeps every join an equi join
         q = queries.withColumn("__scope", F.lit(0)) if queries is not None else None
-        out = tfidf_top_k(q, corpus.withColumn("__scope", F.lit(0)), k,
-                          qid=qid, cid=cid, text=text, scope=["__scope"], exclude_self=exclude_self)
+        out = tfidf_top_k(q, corpus.withColumn("__scope", F.lit(0)), k, qid=qid, cid=cid, text=text,
+                          scope=["__scope"], exclude_self=exclude_self, tokens_col=tokens_col)
         return out.drop("__scope")
-    corpus = corpus.select(*scope, cid, text).filter(F.col(text).isNotNull())
+    extra = [tokens_col] if tokens_col else []
+    corpus = corpus.select(*scope, cid, text, *extra).filter(F.col(text).isNotNull())
     self_search = queries is None
-    queries = corpus.withColumnRenamed(cid, qid) if self_search else queries.select(*scope, qid, text)
-    idf = fit_idf(corpus, cid, text, scope)
+    queries = corpus.select(*scope, F.col(cid).alias(qid), text) if self_search else queries.select(*scope, qid, text)
+    idf = fit_idf(corpus, cid, text, scope, tokens_col)
 
     # score distinct texts: identical texts share one vector
-    ctexts = corpus.groupBy(*scope, F.col(text).alias("__ct")).agg(F.min(cid).alias("__min_id"))
+    ctexts = corpus.groupBy(*scope, F.col(text).alias("__ct")).agg(
+        F.min(cid).alias("__min_id"), *([F.first(tokens_col).alias("__toks")] if tokens_col else []))
     qtexts = queries.select(*scope, F.col(text).alias("__qt")).filter(F.col("__qt").isNotNull()).distinct()
-    cw = weigh(ctexts, scope + ["__ct"], "__ct", idf, scope)
+    cw = weigh(ctexts, scope + ["__ct"], "__ct", idf, scope, "__toks" if tokens_col else None)
     qw = cw.withColumnRenamed("__ct", "__qt") if self_search else weigh(qtexts, scope + ["__qt"], "__qt", idf, scope)
     text_pairs = cosine_pairs(qw, cw, "__qt", "__ct", scope)
 
@@ -115,14 +123,14 @@ def tfidf_top_k(queries: DataFrame | None, corpus: DataFrame, k: int, *, qid: st
     # smallest id of the text), an id in a query's top k belongs to one of
     # the first k texts (k + 1 when the query's own id is excluded)
     keep = k + (1 if exclude_self else 0)
-    text_pairs = text_pairs.join(ctexts, scope + ["__ct"])
+    text_pairs = text_pairs.join(ctexts.select(*scope, "__ct", "__min_id"), scope + ["__ct"])
     wt = Window.partitionBy(*scope, "__qt").orderBy(F.round("score", RANK_DIGITS).desc(), F.col("__min_id").asc())
     text_pairs = text_pairs.withColumn("__tr", F.row_number().over(wt)).filter(F.col("__tr") <= keep) \
         .drop("__tr", "__min_id")
 
     scored = (queries.withColumnRenamed(text, "__qt")
               .join(text_pairs, scope + ["__qt"])
-              .join(corpus.withColumnRenamed(text, "__ct"), scope + ["__ct"])
+              .join(corpus.select(*scope, cid, F.col(text).alias("__ct")), scope + ["__ct"])
               .select(*scope, qid, cid, "score"))
     if exclude_self:
         scored = scored.filter(F.col(qid) != F.col(cid))
