@@ -57,8 +57,10 @@ def weigh(docs: DataFrame, doc_key: list[str], text: str, idf: DataFrame,
     scope = list(scope or [])
     tc = token_counts(docs.filter(F.col(text).isNotNull()), doc_key, text, tokens_col)
     w = tc.join(idf, scope + ["token"]).select(*doc_key, "token", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy(*doc_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__norm"))
-    return w.join(norm, doc_key).select(*doc_key, "token", (F.col("w") / F.col("__norm")).alias("w"))
+    # the norm is a window over one document's tokens (bounded), one shuffle
+    # instead of an aggregate joined back
+    doc = Window.partitionBy(*doc_key)
+    return w.select(*doc_key, "token", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(doc))).alias("w"))
 
 
 def cosine_pairs(qw: DataFrame, cw: DataFrame, qid: str, cid: str, scope: list[str] | None = None,
