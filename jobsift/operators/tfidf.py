@@ -64,7 +64,7 @@ def weigh(docs: DataFrame, doc_key: list[str], text: str, idf: DataFrame,
 
 
 def cosine_pairs(qw: DataFrame, cw: DataFrame, qid: str, cid: str, scope: list[str] | None = None,
-                 salts: int | None = None, partitions: int | None = None) -> DataFrame:
+                 salts: int | None = None, partitions: int | None = None, carry: list[str] | None = None) -> DataFrame:
     """Cosine of every (query, candidate) pair sharing at least one token.
 
     The join output grows with the square of a token's document frequency,
@@ -80,13 +80,14 @@ def cosine_pairs(qw: DataFrame, cw: DataFrame, qid: str, cid: str, scope: list[s
     s = salts or max(1, min(8, n // 2))
     a = qw.select(*scope, F.col(qid).alias("__q"), "token", F.col("w").alias("__wq"),
                   F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("__salt"))
-    b = cw.select(*scope, F.col(cid).alias("__c"), "token", F.col("w").alias("__wc"),
+    carry = list(carry or [])
+    b = cw.select(*scope, F.col(cid).alias("__c"), *carry, "token", F.col("w").alias("__wc"),
                   F.pmod(F.xxhash64(F.col(cid)), F.lit(s)).cast("int").alias("__salt"))
     keys = scope + ["token", "__salt"]
     a = a.repartition(n, *keys)
     b = b.repartition(n, *keys)
     return (a.join(b, keys)
-            .groupBy(*scope, "__q", "__c").agg(F.sum(F.col("__wq") * F.col("__wc")).alias("score"))
+            .groupBy(*scope, "__q", "__c", *carry).agg(F.sum(F.col("__wq") * F.col("__wc")).alias("score"))
             .withColumnRenamed("__q", qid).withColumnRenamed("__c", cid))
 
 
@@ -117,15 +118,16 @@ def tfidf_top_k(queries: DataFrame | None, corpus: DataFrame, k: int, *, qid: st
     ctexts = corpus.groupBy(*scope, F.col(text).alias("__ct")).agg(
         F.min(cid).alias("__min_id"), *([F.first(tokens_col).alias("__toks")] if tokens_col else []))
     qtexts = queries.select(*scope, F.col(text).alias("__qt")).filter(F.col("__qt").isNotNull()).distinct()
-    cw = weigh(ctexts, scope + ["__ct"], "__ct", idf, scope, "__toks" if tokens_col else None)
-    qw = cw.withColumnRenamed("__ct", "__qt") if self_search else weigh(qtexts, scope + ["__qt"], "__qt", idf, scope)
-    text_pairs = cosine_pairs(qw, cw, "__qt", "__ct", scope)
+    cw = weigh(ctexts, scope + ["__ct", "__min_id"], "__ct", idf, scope, "__toks" if tokens_col else None)
+    qw = cw.drop("__min_id").withColumnRenamed("__ct", "__qt") if self_search \
+        else weigh(qtexts, scope + ["__qt"], "__qt", idf, scope)
+    # each text's smallest id rides along with its weights (no join back)
+    text_pairs = cosine_pairs(qw, cw, "__qt", "__ct", scope, carry=["__min_id"])
 
     # exact pruning before expanding texts to ids: ordered by (score desc,
     # smallest id of the text), an id in a query's top k belongs to one of
     # the first k texts (k + 1 when the query's own id is excluded)
     keep = k + (1 if exclude_self else 0)
-    text_pairs = text_pairs.join(ctexts.select(*scope, "__ct", "__min_id"), scope + ["__ct"])
     wt = Window.partitionBy(*scope, "__qt").orderBy(F.round("score", RANK_DIGITS).desc(), F.col("__min_id").asc())
     text_pairs = text_pairs.withColumn("__tr", F.row_number().over(wt)).filter(F.col("__tr") <= keep) \
         .drop("__tr", "__min_id")
