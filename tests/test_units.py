@@ -170,3 +170,20 @@ def test_cell_top_k_chunked_matches_brute_force(largest, exclude_self):
         expect = sorted(cand, key=lambda j: (sign * round(s[qi, j], 9), ids[j]))[:4]
         got = out[out["qid"] == q].reset_index(drop=True)
         assert list(got["cid"]) == [int(ids[j]) for j in expect]
+
+
+def test_pair_rate_quirks(spark):
+    """Q1: 'distance' counts 1 - sim > t, 'match' counts sim > t; unknown
+    vacancies count 0; Q26: a token-less text makes the user's rate null."""
+    feats = spark.createDataFrame(
+        [(1, 10, True, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),     # sim 0 -> distant
+         (1, 11, True, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0),     # sim 1 -> match
+         (1, 12, False, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),    # unknown vacancy
+         (2, 10, True, None, 1.0, 1.0, 1.0, 1.0, 1.0)],   # no tokens -> null
+        "a long, b long, found boolean, sim_skills double, sim_name double, sim_experience double, "
+        "sim_salary double, sim_employment double, sim_schedule double")
+    pairs = spark.createDataFrame([(7, 1, 10), (7, 1, 11), (7, 1, 12), (8, 2, 10)], "user_id long, a long, b long")
+    dist = {r["user_id"]: r["rate"] for r in ev.pair_rate(pairs, feats, 0.72).collect()}
+    match = {r["user_id"]: r["rate"] for r in ev.pair_rate(pairs, feats, 0.72, direction="match").collect()}
+    assert dist[7] == pytest.approx(1 / 3) and match[7] == pytest.approx(1 / 3)
+    assert dist[8] is None and match[8] is None
