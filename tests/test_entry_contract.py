@@ -18,8 +18,9 @@ def test_oracles_belong_to_queries():
     q, o = m.queries(), m.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 150
-    for name in q:
-        assert name[0] in "aeijklmnprstuvw" and not name.startswith("op")
+    own = [name for name in q if not name.startswith("op") and name != "pipeline"]
+    assert len(own) >= 150
+    assert all(name[0] in "aeijklmnprstuvw" for name in own)
 
 
 def test_entry_runs_on_smallest_data(spark):
