@@ -18,8 +18,10 @@ asks about each distinct key once.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,16 @@ TARGET = 6 << 20
 ASKED = "block long, part long, payload binary"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let local Python workers import this package from where the driver has
+    it.  A cluster gets it by ``--py-files`` or on its machines."""
+    if spark.sparkContext.master.startswith("local"):
+        root = str(Path(__file__).resolve().parents[2])
+        known = spark.sparkContext.environment.get("PYTHONPATH", "")
+        if root not in known.split(os.pathsep):
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """Write a table to the shared checkpoint folder and read it back: the
     lineage ends at files that every executor can read."""

@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-from jobsift.llm import substring_dedup
+from functools import wraps
 
-QUERIES = {
-    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
-}
+from jobsift.llm import simhash_dedup, substring_dedup
+from jobsift.llm.blocks import importable
+
+
+def _query(fn):
+    @wraps(fn)
+    def run(spark, sf_dir):
+        importable(spark)
+        return fn(spark, sf_dir)
+    return run
+
+
+QUERIES = {fn.__name__: _query(fn) for fn in (
+    substring_dedup.op5_substring_dedup,
+    simhash_dedup.op10_simhash_near_dedup,
+)}
 ORACLE = {
     "op5_substring_dedup": substring_dedup.ORACLE,
 }
