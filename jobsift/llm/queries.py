@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from jobsift.llm import simhash_dedup, substring_dedup
+from jobsift.llm import quality_rules, simhash_dedup, substring_dedup
 from jobsift.llm.blocks import importable
 
 
@@ -18,6 +18,7 @@ def _query(fn):
 
 QUERIES = {fn.__name__: _query(fn) for fn in (
     substring_dedup.op5_substring_dedup,
+    quality_rules.op8_quality_rules,
     simhash_dedup.op10_simhash_near_dedup,
 )}
 ORACLE = {
