@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from jobsift.llm import quality_rules, simhash_dedup, substring_dedup
+from jobsift.llm import positional_index, quality_rules, simhash_dedup, substring_dedup
 from jobsift.llm.blocks import importable
 
 
@@ -17,10 +17,12 @@ def _query(fn):
 
 
 QUERIES = {fn.__name__: _query(fn) for fn in (
+    positional_index.op4_positional_index,
     substring_dedup.op5_substring_dedup,
     quality_rules.op8_quality_rules,
     simhash_dedup.op10_simhash_near_dedup,
 )}
 ORACLE = {
+    "op4_positional_index": positional_index.ORACLE,
     "op5_substring_dedup": substring_dedup.ORACLE,
 }
