@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from jobsift.llm import positional_index, quality_rules, simhash_dedup, substring_dedup
+from jobsift.llm import positional_index, quality_rules, sentence_pieces, shard_hash, simhash_dedup, substring_dedup
 from jobsift.llm.blocks import importable
 
 
@@ -17,12 +17,15 @@ def _query(fn):
 
 
 QUERIES = {fn.__name__: _query(fn) for fn in (
+    sentence_pieces.op1_sentence_pieces,
     positional_index.op4_positional_index,
     substring_dedup.op5_substring_dedup,
     quality_rules.op8_quality_rules,
+    shard_hash.op9_jump_shards,
     simhash_dedup.op10_simhash_near_dedup,
 )}
 ORACLE = {
     "op4_positional_index": positional_index.ORACLE,
+    "op9_jump_shards": shard_hash.ORACLE,
     "op5_substring_dedup": substring_dedup.ORACLE,
 }
