@@ -32,9 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words that an earlier document's windows cover;
-    ``n_chars`` follows the text.  One of which nothing is left goes."""
+    ``n_chars`` follows the text.  One of which nothing is left stays, empty."""
     importable(spark)
-    cut = substring_dedup(docs).filter("n_removed = 0 or n_removed < n_words")
+    cut = substring_dedup(docs)
     text = kept_or_text(F.col("text"))
     new = {"text": text} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(
         F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})

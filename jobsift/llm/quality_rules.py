@@ -220,8 +220,11 @@ def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """The rows of ``docs`` that the rules keep, with all their columns."""
     known = docs.select(id_col, text_col).join(labels_of(labels, id_col), id_col)
     rules = learn(stored(statistics(known, text_col).drop(text_col), "stats"), id_col)
-    return judged(statistics(docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text")), "__text"),
-                  rules).filter("kept").select("__row.*")
+    stats = statistics(docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text")), "__text")
+    # a filter on an unrepeatable column stays above the statistics; pushed
+    # below them it would compute each of them once for every use
+    once = stats.withColumn("__once", F.monotonically_increasing_id())
+    return judged(once, rules).filter("kept and __once >= 0").select("__row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
