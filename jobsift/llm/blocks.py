@@ -53,6 +53,14 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a stored table that a later one has replaced."""
+    spark = df.sparkSession
+    for file in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def part_count(spark: SparkSession) -> int:
     """Key ranges: twice the shuffle partitions, so that hashing them to
     partitions stays even."""

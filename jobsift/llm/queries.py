@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from jobsift.llm import positional_index, quality_rules, sentence_pieces, shard_hash, simhash_dedup, substring_dedup
+from jobsift.llm import pitman_yor, positional_index, quality_rules, sentence_pieces, shard_hash, simhash_dedup, substring_dedup
 from jobsift.llm.blocks import importable
 
 
@@ -18,6 +18,7 @@ def _query(fn):
 
 QUERIES = {fn.__name__: _query(fn) for fn in (
     sentence_pieces.op1_sentence_pieces,
+    pitman_yor.op2_pitman_yor,
     positional_index.op4_positional_index,
     substring_dedup.op5_substring_dedup,
     quality_rules.op8_quality_rules,
