@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from functools import wraps
 
-from jobsift.llm import pitman_yor, positional_index, quality_rules, sentence_pieces, shard_hash, simhash_dedup, substring_dedup
+from jobsift.llm import (
+    language_spans, license_scan, packed_ids, pitman_yor, positional_index, quality_rules,
+    sentence_pieces, shard_hash, simhash_dedup, substring_dedup,
+)
 from jobsift.llm.blocks import importable
 
 
@@ -19,8 +22,11 @@ def _query(fn):
 QUERIES = {fn.__name__: _query(fn) for fn in (
     sentence_pieces.op1_sentence_pieces,
     pitman_yor.op2_pitman_yor,
+    license_scan.op3_license_scan,
     positional_index.op4_positional_index,
     substring_dedup.op5_substring_dedup,
+    language_spans.op6_language_spans,
+    packed_ids.op7_packed_ids,
     quality_rules.op8_quality_rules,
     shard_hash.op9_jump_shards,
     simhash_dedup.op10_simhash_near_dedup,
