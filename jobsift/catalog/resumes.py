@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobsift.catalog import register
 from jobsift.catalog.sqlviews import with_views as W
 from jobsift.functions import resume, text
-from jobsift.operators import phrases
+from jobsift.operators import phrases, trees
 from jobsift.operators import sequences as seq
 from jobsift.sources import fixtures as fx
 from jobsift.sources.tables import table
@@ -65,11 +65,11 @@ def i2_skill_list_normalise(spark, d):
 
 # -------------------------------------------------------------------- I6
 _HTML_SQL = """trim(regexp_replace(
-  replace(replace(replace(replace(replace(replace(
+  replace(replace(replace(replace(replace(replace(replace(replace(
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
       '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'),
       '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
-    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
+    '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
   '[ \\t\\n\\r\\f]+', ' ', 'g'))"""
 
 
@@ -148,13 +148,13 @@ _BENCH_WORDS_SQL = """SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(t
 
 @register("i9_first_dictionary_match", W("""
 , toks AS (SELECT conv_id, turn, generate_subscripts(t, 1) AS pos, unnest(t) AS w FROM (
-    SELECT conv_id, turn, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS t FROM conversations WHERE role = 'user')),
+    SELECT conv_id, turn, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS t FROM conversations)),
 hit AS (SELECT conv_id, turn, arg_min(toks.w, pos) AS city FROM toks JOIN dict USING (w) GROUP BY conv_id, turn)
-SELECT c.conv_id, c.turn, hit.city FROM conversations c LEFT JOIN hit USING (conv_id, turn) WHERE c.role = 'user'
+SELECT c.conv_id, c.turn, hit.city FROM conversations c LEFT JOIN hit USING (conv_id, turn)
 """, extra={"dict": _BENCH_WORDS_SQL}).replace("\n\n, toks AS", ", toks AS", 1))
 def i9_first_dictionary_match(spark, d):
-    """The dictionary word that occurs first in each user turn (null if none)."""
-    conv = table(spark, d, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    """The dictionary word that occurs first in each turn (null if none)."""
+    conv = table(spark, d, "conversations").select("conv_id", "turn", "text")
     hits = phrases.first_match(conv, ["conv_id", "turn"], "text", _bench_words(spark, d), "w")
     return conv.select("conv_id", "turn").join(hits, ["conv_id", "turn"], "left") \
         .select("conv_id", "turn", F.col("match").alias("city"))
@@ -163,7 +163,7 @@ def i9_first_dictionary_match(spark, d):
 @register("i10_skill_extraction", W("""
 , toks AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS pos, w FROM (
     SELECT conv_id, turn, generate_subscripts(t, 1) AS pos, unnest(t) AS w FROM (
-      SELECT conv_id, turn, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS t FROM conversations WHERE role = 'user'))
+      SELECT conv_id, turn, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS t FROM conversations))
     WHERE regexp_full_match(w, '\\p{L}+')),
 grams AS (SELECT conv_id, turn, w AS g FROM toks
     UNION ALL SELECT a.conv_id, a.turn, a.w || ' ' || b.w FROM toks a JOIN toks b ON b.conv_id = a.conv_id AND b.turn = a.turn AND b.pos = a.pos + 1
@@ -176,9 +176,9 @@ SELECT DISTINCT conv_id, turn, g AS skill FROM grams JOIN dict ON dict.w = lower
 def i10_skill_extraction(spark, d):
     """Alphabetic tokens, their 1- to 3-grams, matched in lower case
     against a dictionary; distinct matches as written."""
-    conv = table(spark, d, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    conv = table(spark, d, "conversations").select("conv_id", "turn", "text")
     vocab = _bench_words(spark, d).select(F.lower("w").alias("w")).distinct()
-    return phrases.extract_ngrams(conv, ["conv_id", "turn"], "text", vocab, "w", max_n=3) \
+    return phrases.extract_ngrams(conv, ["conv_id", "turn"], "text", vocab, "w") \
         .select("conv_id", "turn", F.col("gram").alias("skill"))
 
 
@@ -204,7 +204,7 @@ def i11_phrase_extraction(spark, d):
     v = fx.vacancy(spark, d)
     vocab = v.select(F.explode("keySkills").alias("s")).select(F.lower("s").alias("phrase")).distinct()
     found = phrases.extract_phrases(v.select("vacancy_id", F.lower("name_raw").alias("t")), ["vacancy_id"], "t",
-                                    vocab, "phrase", max_n=3)
+                                    vocab, "phrase")
     return found.select("vacancy_id", F.array_join("phrases", ",").alias("phrases"))
 
 
@@ -223,11 +223,37 @@ def _experience_text():
             .otherwise(head))
 
 
-@register("i13_resume_experience")
+_Y = "c_custkey % 20"
+_EXP_TXT_SQL = f"""SELECT c_custkey, c_mktsegment, c_acctbal, CASE c_custkey % 3
+    WHEN 0 THEN concat(head, ' Опыт работы ', CAST({_Y} + 1 AS VARCHAR), ' лет')
+    WHEN 1 THEN concat(head, ' ', c_mktsegment) ELSE head END AS t
+  FROM (SELECT *, concat('Опыт работы ', CAST({_Y} AS VARCHAR), ' ', {_Y_WORD.format(n='(' + _Y + ')')}, ' ',
+    CAST(c_custkey % 12 AS VARCHAR), ' ', CASE WHEN c_custkey % 12 = 1 THEN 'месяц'
+      WHEN c_custkey % 12 IN (2, 3, 4) THEN 'месяца' ELSE 'месяцев' END) AS head FROM customer)"""
+_UNITS_SQL = "['год', 'года', 'лет', 'месяц', 'месяца', 'месяцев']"
+_BLOCK_CTES = {
+    "txt": _EXP_TXT_SQL,
+    "wds": "SELECT *, list_filter(string_split(t, ' '), lambda w: w <> '') AS ws FROM txt",
+    "hds": f"""SELECT *, list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'Опыт' AND ws[i + 1] = 'работы'
+        AND list_has_any(ws[i + 2:i + 8], {_UNITS_SQL})) AS hs FROM wds""",
+    "blk": """SELECT *, CASE WHEN len(hs) > 1 THEN array_to_string(ws[hs[2]:coalesce(hs[3], len(ws) + 1) - 1], ' ')
+        WHEN len(hs) = 1 THEN array_to_string(ws[hs[1]:], ' ') END AS block FROM hds""",
+    "bw": "SELECT *, list_filter(string_split(block, ' '), lambda w: w NOT IN ('Опыт', 'работы')) AS bs FROM blk",
+    "mon": f"""SELECT *, list_transform(range(1, len(bs) + 1), lambda i:
+        CASE WHEN bs[i] IN ('год', 'года', 'лет') THEN TRY_CAST(bs[i - 1] AS BIGINT) * 12
+             WHEN bs[i] IN ('месяц', 'месяца', 'месяцев') THEN TRY_CAST(bs[i - 1] AS BIGINT)
+             WHEN regexp_full_match(bs[i], '[0-9]+') THEN 0 END) AS ms FROM bw""",
+    "mos": """SELECT *, CASE WHEN len(list_filter(ms, lambda x: x IS NULL)) = 0 THEN CAST(list_sum(ms) AS BIGINT) END
+        AS months FROM mon""",
+}
+
+
+@register("i13_resume_experience", W("""SELECT c_custkey AS user_id, block, months,
+  CASE WHEN months IS NULL THEN NULL WHEN ceil(months / 12.0) = 0 THEN 'noExperience'
+       WHEN ceil(months / 12.0) < 3 THEN 'between1And3' WHEN ceil(months / 12.0) < 6 THEN 'between3And6'
+       ELSE 'moreThan6' END AS workExperience FROM mos""", extra=_BLOCK_CTES))
 def i13_resume_experience(spark, d):
-    """I13 + E10 on resume-style experience headers derived from customers
-    (rows-only: Java and RE2 word rules differ on Cyrillic; unit tests pin
-    the semantics on hand-made strings)."""
+    """I13 + E10 on resume-style experience headers derived from customers."""
     c = table(spark, d, "customer").select("c_custkey", _experience_text().alias("t"))
     block = resume.experience_block("t")
     months = resume.experience_months(block)
@@ -236,9 +262,11 @@ def i13_resume_experience(spark, d):
                     experience_from_months(months).alias("workExperience"))
 
 
-@register("i14_drop_durations")
+@register("i14_drop_durations", W("""SELECT c_custkey AS user_id,
+  trim(regexp_replace(t, '[0-9]+ (месяцев|месяца|месяц|года|год|лет)', '', 'g')) AS text FROM txt""",
+                                  extra={"txt": _EXP_TXT_SQL}))
 def i14_drop_durations(spark, d):
-    """I14 on the same derived headers (rows-only, see I13)."""
+    """I14 on the same derived headers."""
     c = table(spark, d, "customer").select("c_custkey", _experience_text().alias("t"))
     return c.select(F.col("c_custkey").alias("user_id"), resume.drop_durations("t").alias("text"))
 
@@ -295,6 +323,10 @@ def i18_invert_multimap(spark, d):
     return inv.select("role", F.array_join("areas", ",").alias("areas"))
 
 
+def regions_of(docs, col):
+    return trees.tree_leaves(docs, col).unionByName(trees.tree_roots(docs, col))
+
+
 _CAT_SCHEMA = "id STRING, name STRING, roles ARRAY<STRUCT<id: STRING, name: STRING>>"
 
 
@@ -307,8 +339,7 @@ def i19_flatten_catalogue(spark, d):
     p = table(spark, d, "part")
     docs = p.groupBy("p_brand").agg(F.to_json(F.struct(
         F.col("p_brand").alias("id"), F.concat(F.lit("Area "), F.col("p_brand")).alias("name"),
-        F.array_distinct(F.collect_list(F.struct(F.lower("p_type").alias("id"),
-                                                 F.concat(F.lit("Role "), F.lower("p_type")).alias("name"))))
+        F.collect_set(F.struct(F.lower("p_type").alias("id"), F.concat(F.lit("Role "), F.lower("p_type")).alias("name")))
         .alias("roles"))).alias("json"))
     j = docs.select(F.from_json("json", _CAT_SCHEMA).alias("c"))
     areas = j.select(F.lit("area").alias("kind"), F.col("c.id").alias("a"), F.col("c.name").alias("b"))
@@ -319,32 +350,24 @@ def i19_flatten_catalogue(spark, d):
     return areas.unionByName(roles).unionByName(links).distinct()
 
 
-_TREE_SCHEMA = ("id BIGINT, name STRING, areas ARRAY<STRUCT<id: BIGINT, name: STRING, "
-                "areas: ARRAY<STRUCT<id: BIGINT, name: STRING, areas: ARRAY<STRING>>>>>")
-
-
 @register("i20_region_tree_leaves", """SELECT 0 AS leaf_id, 'World' AS name
-UNION ALL SELECT 100 + n_nationkey AS leaf_id, n_name AS name FROM nation""")
+UNION ALL SELECT 100 + n_nationkey AS leaf_id, n_name AS name FROM nation
+UNION ALL SELECT r_regionkey AS leaf_id, r_name AS name FROM region
+  WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation)""")
 def i20_region_tree_leaves(spark, d):
     """A region tree (world -> regions -> nations) as nested JSON,
-    flattened by explode level by level to leaf id -> name (plus the root)."""
+    flattened to leaf id -> name (plus the root)."""
     n = table(spark, d, "nation")
     r = table(spark, d, "region")
-    regions = r.join(n.groupBy("n_regionkey").agg(F.collect_list(F.struct(
+    regions = r.join(n.groupBy("n_regionkey").agg(F.collect_set(F.struct(
         (F.col("n_nationkey") + 100).cast("bigint").alias("id"), F.col("n_name").alias("name"),
         F.array().cast("array<string>").alias("areas"))).alias("areas")),
         F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    tree_docs = regions.select(F.to_json(F.struct(F.lit(0).cast("bigint").alias("id"), F.lit("World").alias("name"),
-                                                  F.array(F.struct(F.col("r_regionkey").cast("bigint").alias("id"),
-                                                                   F.col("r_name").alias("name"),
-                                                                   F.coalesce("areas", F.array()).alias("areas")))
-                                                  .alias("areas"))).alias("json"))
-    t = tree_docs.select(F.from_json("json", _TREE_SCHEMA).alias("t"))
-    level1 = t.select(F.explode("t.areas").alias("a"))
-    level2 = level1.select(F.explode("a.areas").alias("b"))
-    leaves = level2.filter(F.size("b.areas") == 0).select(F.col("b.id").alias("leaf_id"), F.col("b.name").alias("name"))
-    root = t.select(F.col("t.id").alias("leaf_id"), F.col("t.name").alias("name")).distinct()
-    return root.unionByName(leaves.distinct())
+    docs = regions.select(F.to_json(F.struct(
+        F.lit(0).cast("bigint").alias("id"), F.lit("World").alias("name"), F.array(F.struct(
+            F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").alias("name"),
+            F.coalesce("areas", F.array()).alias("areas"))).alias("areas"))).alias("json"))
+    return regions_of(docs, "json")
 
 
 # ------------------------------------------------------------ I12, I16
@@ -370,10 +393,27 @@ def _resume_text(spark, d):
         F.col("c_custkey").alias("user_id"), text.alias("resume"))
 
 
-@register("i12_resume_job_split")
+_MONTHS_SQL = "['" + "', '".join(resume.MONTHS) + "']"
+_RESUME_CTES = {
+    "txt": _EXP_TXT_SQL,
+    "res": f"""SELECT c.c_custkey AS user_id, concat_ws(' ', c.t, {_MONTHS_SQL}[c.c_custkey % 12 + 1],
+        CAST(2010 + c.c_custkey % 10 AS VARCHAR), '—', {_MONTHS_SQL}[(c.c_custkey + 3) % 12 + 1],
+        CAST(2011 + c.c_custkey % 10 AS VARCHAR), a.p_name, lower(a.p_type), {_MONTHS_SQL}[(c.c_custkey + 5) % 12 + 1],
+        CAST(2015 + c.c_custkey % 5 AS VARCHAR), '— по настоящее время', b.p_name, lower(b.p_type)) AS t
+        FROM txt c LEFT JOIN part a ON a.p_partkey = c.c_custkey LEFT JOIN part b ON b.p_partkey = c.c_custkey + 1""",
+    "rws": "SELECT *, list_filter(string_split(t, ' '), lambda w: w <> '') AS ws FROM res",
+    "sts": f"""SELECT *, list_filter(range(1, len(ws) + 1), lambda i: list_contains({_MONTHS_SQL}, ws[i])
+        AND ws[i + 2] = '—' AND regexp_full_match(ws[i + 1], '[0-9]{{4}}')) AS ss FROM rws""",
+    "jbs": """SELECT *, list_filter(list_transform(range(1, len(ss) + 1), lambda n: array_to_string(
+        ws[ss[n] + CASE WHEN ws[ss[n] + 3] = 'по' THEN 6 ELSE 5 END:coalesce(ss[n + 1], len(ws) + 1) - 1], ' ')),
+        lambda x: x <> '') AS jobs FROM sts""",
+}
+
+
+@register("i12_resume_job_split", W("""SELECT user_id, array_to_string(jobs, '|') AS jobs,
+  CAST(len(jobs) AS INTEGER) AS n_jobs FROM jbs""", extra=_RESUME_CTES))
 def i12_resume_job_split(spark, d):
-    """I12 on derived resume texts (rows-only; semantics pinned by unit tests
-    on hand-made Russian resumes)."""
+    """I12 on derived resume texts; hand-made Russian resumes are in the unit tests."""
     r = _resume_text(spark, d)
     jobs = resume.split_jobs("resume")
     return r.select("user_id", F.array_join(jobs, "|").alias("jobs"), F.size(jobs).alias("n_jobs"))
@@ -393,9 +433,9 @@ def i16_job_structs(spark, d):
     names = v.select(F.lower("name").alias("phrase")).distinct()
     skills_vocab = v.select(F.explode("keySkills").alias("s")).select(F.lower("s").alias("phrase")).distinct()
     low = pieces.select("user_id", "piece_no", F.lower("piece").alias("t"))
-    found_n = phrases.extract_phrases(low, ["user_id", "piece_no"], "t", names, "phrase", max_n=3) \
+    found_n = phrases.extract_phrases(low, ["user_id", "piece_no"], "t", names, "phrase") \
         .withColumnRenamed("phrases", "names")
-    found_s = phrases.extract_phrases(low, ["user_id", "piece_no"], "t", skills_vocab, "phrase", max_n=3) \
+    found_s = phrases.extract_phrases(low, ["user_id", "piece_no"], "t", skills_vocab, "phrase") \
         .withColumnRenamed("phrases", "keyskills")
     from jobsift.functions.codes import experience_from_months
     exp = experience_from_months(resume.experience_months(resume.experience_block("resume")))

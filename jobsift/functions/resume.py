@@ -1,4 +1,8 @@
-"""Resume and list-text parsing (I1, I2, I13, I14, I17) as Column expressions."""
+"""Resume and list-text parsing (I1, I2, I12-I14, I17) as Column expressions.
+
+Resume text is read word by word: headers, durations and periods are told
+from word tables at a word's place, not from one pattern over the text.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +11,16 @@ from pyspark.sql import functions as F
 
 from jobsift.functions.text import capitalize, let, strip
 
-# Russian duration words and the experience header.
+# Russian duration words, the experience header, month names and
+# the "until now" wording of resume periods.
 YEAR_WORDS = ["год", "года", "лет"]
 MONTH_WORDS = ["месяц", "месяца", "месяцев"]
-EXPERIENCE_HEADER = "Опыт работы"
-DURATION_UNITS = "(?:года|год|лет|месяца|месяцев|месяц)"
-HEADER_PATTERN = r"(?U)(Опыт работы(?:\s+\S+){0,6}\s+" + DURATION_UNITS + ")"
-DURATION_PATTERN = r"(?U)\b\d+\s+" + DURATION_UNITS + r"\b"
+HEADER = ["Опыт", "работы"]
+MONTHS = ["Январь", "Февраль", "Март", "Апрель", "Май", "Июнь", "Июль", "Август",
+          "Сентябрь", "Октябрь", "Ноябрь", "Декабрь"]
+NOW = [["по", "настоящее", "время"], ["настоящее", "время"]]
+#: a duration word stands at most so many words after the header
+HEADER_REACH = 7
 
 
 def _c(c) -> Column:
@@ -46,93 +53,98 @@ def split_answer(c, n: int = 3) -> list[Column]:
     return [F.try_element_at(parts, F.lit(i + 1)) for i in range(n)]
 
 
-def drop_durations(c) -> Column:
-    """Remove 'N лет' / 'N месяцев' phrases, strip the rest."""
-    return strip(F.regexp_replace(_c(c), DURATION_PATTERN, ""))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: F.length(w) > 0)
 
 
-def _interleave(text: Column, pattern: str, group: int) -> Column:
-    """Pieces of ``text`` split on ``pattern`` with the matches kept in
-    between (like ``re.split`` with a capturing group), stripped, blanks
-    dropped."""
-    def build(parts):
-        heads, rest = parts["h"], parts["r"]
-        n = F.size(heads)
-        seq = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.when(
-            i < n, F.array(F.element_at(rest, i + 1), F.element_at(heads, i + 1))).otherwise(
-            F.array(F.element_at(rest, i + 1)))))
-        return F.filter(F.transform(seq, strip), lambda s: F.length(s) > 0)
+def _one_of(word: Column, table: list[str]) -> Column:
+    return word.isin(*table)
 
-    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), group).alias("h"),
-                     F.split(text, pattern, -1).alias("r"))
-    return let(parts, build)
 
+def _places(words: Column, test) -> Column:
+    """1-based places at which ``test(place)`` holds (null counts as false)."""
+    every = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(F.array().cast("array<int>"))
+    return F.filter(every, lambda i: F.coalesce(test(i), F.lit(False)))
 
-def experience_block(c) -> Column:
-    """I13 part 1: split the text on experience headers (keeping them),
-    strip and drop blank pieces, glue pieces pairwise, and take the second
-    glued block when there are several, else the first (null if none)."""
-    def pick(pieces):
-        m = F.size(pieces)
-        glued = F.when(m >= 2, F.transform(F.sequence(F.lit(0), F.floor((m - 2) / 2).cast("int")),
-                                           lambda i: F.concat(F.element_at(pieces, 2 * i + 1), F.lit(" "),
-                                                              F.element_at(pieces, 2 * i + 2))))
-        return let(glued, lambda g: F.when(F.size(g) > 1, F.element_at(g, 2))
-                   .when(F.size(g) == 1, F.element_at(g, 1)))
 
-    return let(_interleave(_c(c), HEADER_PATTERN, 1), pick)
+def _at(words: Column, i: Column) -> Column:
+    return F.get(words, i - 1)
 
 
-def experience_months(c) -> Column:
-    """I13 part 2: total months of 'N год/лет ... M месяцев'; any other word
-    (or a unit without a number before it) makes the result null."""
-    years = F.array(*[F.lit(w) for w in YEAR_WORDS])
-    months = F.array(*[F.lit(w) for w in MONTH_WORDS])
+def drop_durations(c) -> Column:
+    """Remove every number followed by a duration word, strip the rest."""
+    unit = "|".join(sorted(YEAR_WORDS + MONTH_WORDS, key=len, reverse=True))
+    return strip(F.regexp_replace(_c(c), rf"(?U)(?<!\w)\d+\s+({unit})(?!\w)", ""))
 
-    def total(toks):
-        def step(acc, i):
-            tok = F.element_at(toks, i)
-            prev = F.when(i > 1, F.element_at(toks, i - 1).try_cast("long"))
-            is_y, is_m = F.array_contains(years, tok), F.array_contains(months, tok)
-            bad = (~is_y & ~is_m & ~tok.rlike(r"^\d+$")) | ((is_y | is_m) & prev.isNull())
-            add = F.when(is_y, prev * 12).when(is_m, prev).otherwise(F.lit(0))
-            return F.when(acc.isNull() | bad, F.lit(None).cast("long")).otherwise(acc + F.coalesce(add, F.lit(0)))
 
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(toks), F.lit(1))), F.lit(0).cast("long"),
-                           lambda acc, i: F.when(F.size(toks) == 0, acc).otherwise(step(acc, i)))
+def experience_block(c) -> Column:
+    """I13 part 1: the words from one experience header to the next.  A header
+    is the words of ``HEADER`` with a duration word at most ``HEADER_REACH``
+    words on.  The second block counts when the header is repeated, else the
+    first; null without a header."""
+    units = YEAR_WORDS + MONTH_WORDS
 
-    def run(text):
-        toks = F.filter(F.split(strip(F.replace(text, F.lit(EXPERIENCE_HEADER), F.lit(""))), r"\s+"),
-                        lambda s: F.length(s) > 0)
-        return F.when(text.isNull(), F.lit(None).cast("long")).otherwise(let(toks, total))
+    def cut(words):
+        def is_header(i):
+            near = F.slice(words, i + 2, HEADER_REACH)
+            return ((_at(words, i) == HEADER[0]) & (_at(words, i + 1) == HEADER[1])
+                    & F.exists(near, lambda w: _one_of(w, units)))
 
-    return let(_c(c), run)
+        def take(heads):
+            pick = F.least(F.size(heads), F.lit(2))
+            start = F.get(heads, pick - 1)
+            end = F.coalesce(F.get(heads, pick), F.size(words) + 1)
+            return F.when(F.size(heads) > 0, F.array_join(F.slice(words, start, end - start), " "))
 
+        return let(_places(words, is_header), take)
 
-# Month names and the "until now" wording of resume periods.
-MONTHS = ["Январь", "Февраль", "Март", "Апрель", "Май", "Июнь", "Июль", "Август",
-          "Сентябрь", "Октябрь", "Ноябрь", "Декабрь"]
-_MONTH = "(?:" + "|".join(MONTHS) + ")"
-PERIOD_PATTERN = (r"(?U)\b" + _MONTH + r"\s+\d{4}\s*[—-]\s*(?:\b" + _MONTH + r"\s+\d{4}\b"
-                  r"|по\s+настоящее\s+время|настоящее\s+время)\b")
+    return F.when(_c(c).isNotNull(), let(_words(_c(c)), cut))
+
+
+def experience_months(c) -> Column:
+    """I13 part 2: total months of the numbers before year and month words.
+    The header's words are passed over; any other word, or a duration word
+    without a number before it, makes the result null."""
+    def total(words):
+        def months(i):
+            word, number = _at(words, i), F.when(i > 1, _at(words, i - 1)).try_cast("long")
+            return (F.when(_one_of(word, YEAR_WORDS), number * 12).when(_one_of(word, MONTH_WORDS), number)
+                    .when(word.rlike(r"^\d+$"), F.lit(0).cast("long")))
+
+        each = F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(1), F.size(words)), months)).otherwise(
+            F.array().cast("array<long>"))
+        return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    words = F.filter(_words(_c(c)), lambda w: ~_one_of(w, HEADER))
+    return F.when(_c(c).isNotNull(), let(words, total))
 
 
 def split_jobs(c) -> Column:
-    """Cut a resume's experience text on 'Month YYYY — Month YYYY' /
-    '... — по настоящее время' periods; pieces are stripped, blank ones
-    dropped, duration phrases removed, and the text after each period is
-    returned (null when the text has no period or the pieces do not pair up,
-    as the reference's index arithmetic fails then)."""
-    def pick(cleaned):
-        m = F.size(cleaned)
-        after = F.transform(F.sequence(F.lit(1), F.greatest(m - 1, F.lit(1)), F.lit(2)),
-                            lambda i: F.element_at(cleaned, i + 2))
-        return F.when(m % 2 == 0, F.lit(None).cast("array<string>")) \
-            .when(m < 3, F.array().cast("array<string>")).otherwise(after)
-
-    def run(text):
-        has_period = F.size(F.regexp_extract_all(text, F.lit(PERIOD_PATTERN), 0)) > 0
-        cleaned = F.transform(_interleave(text, PERIOD_PATTERN, 0), drop_durations)
-        return F.when(has_period, let(cleaned, pick)).otherwise(F.lit(None).cast("array<string>"))
-
-    return let(_c(c), run)
+    """The texts of the jobs in a resume: what stands after each period
+    ("Month YYYY — Month YYYY", or "— until now") up to the next, without
+    duration phrases; blank ones are dropped.  Null without a period."""
+    def jobs(words):
+        year = lambda i: _at(words, i).rlike(r"^\d{4}$")
+
+        def length(i):
+            """Words of the period that begins at place i; null if none does."""
+            begins = _one_of(_at(words, i), MONTHS) & year(i + 1) & _one_of(_at(words, i + 2), ["—", "-"])
+            out = F.when(begins & _one_of(_at(words, i + 3), MONTHS) & year(i + 4), F.lit(5))
+            for now in NOW:
+                same = F.slice(words, i + 3, len(now)) == F.array(*[F.lit(w) for w in now])
+                out = out.when(begins & same, F.lit(3 + len(now)))
+            return out
+
+        def texts(starts):
+            def after(place, n):
+                start = place + length(place)
+                end = F.coalesce(F.get(starts, n + 1), F.size(words) + 1)
+                return drop_durations(F.array_join(F.slice(words, start, end - start), " "))
+
+            return F.when(F.size(starts) > 0, F.filter(F.transform(starts, after), lambda t: F.length(t) > 0))
+
+        return let(_places(words, lambda i: length(i).isNotNull()), texts)
+
+    # a dash may touch the year before it or the word after it
+    spaced = F.regexp_replace(_c(c), r"(?U)(?<=\d{4})\s*([—-])\s*", " $1 ")
+    return F.when(_c(c).isNotNull(), let(_words(spaced), jobs))

@@ -7,6 +7,9 @@ helpers pin down the Python meaning.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,17 +57,43 @@ def html_to_text(c) -> Column:
     """Visible text of an HTML page.
 
     Script and style bodies and comments go first (scripts may hold tag-like
-    strings), then tags, then the common entities; whitespace is squeezed.
+    strings), then tags, then character references; whitespace is squeezed.
     """
     c = _c(c)
     c = F.regexp_replace(c, r"(?is)<script\b.*?</script\s*>", " ")
     c = F.regexp_replace(c, r"(?is)<style\b.*?</style\s*>", " ")
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", " ")
     c = F.regexp_replace(c, r"(?s)<[^>]*>", " ")
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                    ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return strip(squeeze(c))
+    return strip(squeeze(unescape(c)))
+
+
+def unescape(c) -> Column:
+    """HTML character references decoded once: all names of the standard
+    library's table (``&name;``), decimal and hexadecimal numbers; unknown names
+    and bare ampersands stay, impossible numbers become U+FFFD."""
+    names = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+    table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    pattern = r"&(?:#[xX][0-9a-fA-F]{1,8}|#[0-9]{1,9}|[A-Za-z][A-Za-z0-9]*);"
+
+    def char(code):
+        ok = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        safe = F.when(ok, code).otherwise(0xFFFD)
+        return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+
+    def one(ref):
+        body = F.substring(ref, 2, F.length(ref) - 2)
+        return (F.when(body.rlike("^#[xX]"), char(F.conv(F.substring(body, 3, 8), 16, 10).try_cast("long")))
+                .when(body.startswith("#"), char(F.substring(body, 2, 9).try_cast("long")))
+                .otherwise(F.coalesce(F.try_element_at(table, body), ref)))
+
+    def put_together(parts):
+        return F.concat(F.array_join(F.zip_with(
+            F.slice(parts["rest"], 1, F.size(parts["refs"])), parts["refs"], lambda t, r: F.concat(t, one(r))), ""),
+            F.element_at(parts["rest"], -1))
+
+    c = _c(c)
+    parts = F.struct(F.regexp_extract_all(c, F.lit(pattern), 0).alias("refs"), F.split(c, pattern, -1).alias("rest"))
+    return F.when(c.contains("&"), let(parts, put_together)).otherwise(c)
 
 
 def strip_prefix_id(c, prefix: str = "v_") -> Column:

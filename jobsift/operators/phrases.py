@@ -14,45 +14,60 @@ from pyspark.sql import functions as F
 WORD = r"(?U)\w+"
 
 
-def first_match(df: DataFrame, keys: list[str], text: str, dictionary: DataFrame, dict_col: str) -> DataFrame:
-    """Per text, the dictionary word with the smallest token position."""
-    toks = df.select(*keys, F.posexplode(F.regexp_extract_all(text, F.lit(WORD), 0)).alias("pos", "w"))
-    d = dictionary.select(F.col(dict_col).alias("w")).distinct()
-    return toks.join(d, "w").groupBy(*keys).agg(F.min_by("w", "pos").alias("match"))
+def _dictionary(vocab: DataFrame, col: str) -> DataFrame:
+    """Entries with the words they are matched by: (entry, gram, n)."""
+    words = F.regexp_extract_all(F.col(col), F.lit(WORD), 0)
+    return vocab.select(F.col(col).alias("entry"), F.array_join(words, " ").alias("gram"), F.size(words).alias("n")) \
+        .filter(F.col("n") > 0).groupBy("gram", "n").agg(F.min("entry").alias("entry"))
+
 
+def _grams(df: DataFrame, keys: list[str], tokens, dictionary: DataFrame) -> DataFrame:
+    """(keys, pos, n, gram): every run of words as long as some dictionary
+    entry.  The lengths are a scalar subquery over the dictionary, so no entry
+    is too long to be found."""
+    lengths = dictionary.select(F.array_sort(F.collect_set("n"))).scalar()
+    t = df.select(*keys, tokens.alias("__t"), F.coalesce(lengths, F.array().cast("array<int>")).alias("__lengths"))
+    toks = F.col("__t")
+    runs = F.transform("__lengths", lambda n: F.when(
+        F.size(toks) >= n, F.transform(F.sequence(F.lit(0), F.size(toks) - n), lambda i: F.struct(
+            i.alias("pos"), n.alias("n"), F.array_join(F.slice(toks, i + 1, n), " ").alias("gram"))))
+        .otherwise(F.array().cast("array<struct<pos:int,n:int,gram:string>>")))
+    return t.select(*keys, F.explode(F.flatten(runs)).alias("g")).select(*keys, "g.pos", "g.n", "g.gram")
 
-def _grams(tokens_col: str, n: int):
-    toks = F.col(tokens_col)
-    return F.when(F.size(toks) >= n, F.transform(
-        F.sequence(F.lit(0), F.size(toks) - n), lambda i: F.struct(
-            i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice(toks, i + 1, n), " ").alias("gram")))
-    ).otherwise(F.array().cast("array<struct<pos:int,n:int,gram:string>>"))
+
+def first_match(df: DataFrame, keys: list[str], text: str, dictionary: DataFrame, dict_col: str) -> DataFrame:
+    """Per text, the dictionary entry that begins first, the longest if
+    several do.  Entries may have several words ("Нижний Новгород") or hyphens
+    ("Санкт-Петербург"): text and entries are compared word by word."""
+    d = _dictionary(dictionary, dict_col)
+    g = _grams(df, keys, F.regexp_extract_all(text, F.lit(WORD), 0), d)
+    return g.join(d.select("gram", "entry"), "gram").groupBy(*keys).agg(
+        F.min_by("entry", F.struct("pos", (-F.col("n")).alias("n"))).alias("match"))
 
 
 def extract_ngrams(df: DataFrame, keys: list[str], text: str, vocab: DataFrame, vocab_col: str,
-                   max_n: int = 3) -> DataFrame:
-    """Alphabetic tokens, their 1..max_n-grams (over the filtered token
-    sequence), matched in lower case; distinct (keys, gram) as written."""
+                   stop_words: list[str] | None = None) -> DataFrame:
+    """Alphabetic tokens without stop words, their n-grams (over the
+    filtered token sequence, as long as the dictionary's entries), matched in
+    lower case; distinct (keys, gram) as written.  ``stop_words`` are
+    compared in lower case."""
+    d = _dictionary(vocab, vocab_col)
     toks = F.filter(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: w.rlike(r"^\p{L}+$"))
-    t = df.select(*keys, toks.alias("__t"))
-    grams = F.flatten(F.array(*[_grams("__t", n) for n in range(1, max_n + 1)]))
-    g = t.select(*keys, F.explode(grams).alias("g")).select(*keys, F.col("g.gram").alias("gram"))
-    v = vocab.select(F.col(vocab_col).alias("__v")).distinct()
-    return g.join(v, F.lower("gram") == F.col("__v")).select(*keys, "gram").distinct()
+    if stop_words:
+        stops = [w.lower() for w in stop_words]
+        toks = F.filter(toks, lambda w: ~F.lower(w).isin(stops))
+    return _grams(df, keys, toks, d).join(d.select(F.col("gram").alias("__v")), F.lower("gram") == F.col("__v")).select(*keys, "gram").distinct()
 
 
-def extract_phrases(df: DataFrame, keys: list[str], text: str, vocab: DataFrame, vocab_col: str,
-                    max_n: int = 3) -> DataFrame:
+def extract_phrases(df: DataFrame, keys: list[str], text: str, vocab: DataFrame, vocab_col: str) -> DataFrame:
     """Dictionary phrases in each text, scanned left to right without
     overlaps, the longest phrase winning at a position (Q17); distinct, in
     order of first appearance.  Output (keys, phrases array)."""
-    t = df.select(*keys, F.regexp_extract_all(text, F.lit(WORD), 0).alias("__t"))
-    grams = F.flatten(F.array(*[_grams("__t", n) for n in range(1, max_n + 1)]))
-    g = t.select(*keys, F.explode(grams).alias("g")).select(*keys, "g.pos", "g.n", F.col("g.gram").alias("gram"))
-    v = vocab.select(F.col(vocab_col).alias("gram")).distinct()
-    m = g.join(v, "gram")
+    d = _dictionary(vocab, vocab_col)
+    g = _grams(df, keys, F.regexp_extract_all(text, F.lit(WORD), 0), d)
+    m = g.join(d.select("gram", "entry"), "gram")
     per_text = m.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        F.col("pos"), (-F.col("n")).alias("neg_n"), F.col("gram")))).alias("c"))
+        F.col("pos"), (-F.col("n")).alias("neg_n"), F.col("entry").alias("gram")))).alias("c"))
     init = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):

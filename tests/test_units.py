@@ -187,3 +187,75 @@ def test_pair_rate_quirks(spark):
     match = {r["user_id"]: r["rate"] for r in ev.pair_rate(pairs, feats, 0.72, direction="match").collect()}
     assert dist[7] == pytest.approx(1 / 3) and match[7] == pytest.approx(1 / 3)
     assert dist[8] is None and match[8] is None
+
+
+def test_every_character_reference_is_decoded_once(spark):
+    rows = [("<p>&copy; 2024 &middot; A&amp;B</p>", "© 2024 · A&B"), ("&#39;x&#x41;&#8364;", "'xA€"),
+            ("&amp;lt;b&amp;gt;", "&lt;b&gt;"), ("&nosuch; a & b &lt", "&nosuch; a & b &lt"), ("&#0;&#xD800;", "\ufffd\ufffd"),
+            ("&NotEqualTilde;", "\u2242\u0338"), ("a&nbsp;b", "a b"), (None, None), ("", "")]
+    df = spark.createDataFrame(rows, "html string, want string")
+    assert [r[0] for r in df.select(text.html_to_text("html")).collect()] == [w for _, w in rows]
+
+
+def test_dictionary_entries_of_several_words(spark):
+    from jobsift.operators import phrases
+    docs = spark.createDataFrame([(1, "Живу в Нижний Новгород, рядом Санкт-Петербург"), (2, "Санкт-Петербург и Москва"),
+                                  (3, "Новгород"), (4, "нет"), (5, None)], "id int, t string")
+    cities = spark.createDataFrame([("Нижний Новгород",), ("Новгород",), ("Санкт-Петербург",), ("Москва",)], "c string")
+    got = {r.id: r.match for r in phrases.first_match(docs, ["id"], "t", cities, "c").collect()}
+    assert got == {1: "Нижний Новгород", 2: "Санкт-Петербург", 3: "Новгород"}
+
+
+def test_long_phrases_and_stop_words(spark):
+    from jobsift.operators import phrases
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "skill of data and science")], "id int, t string")
+    vocab = spark.createDataFrame([("two three four five six",), ("two three",), ("five",), ("data science",)], "p string")
+    found = {r.id: r.phrases for r in phrases.extract_phrases(docs, ["id"], "t", vocab, "p").collect()}
+    assert found == {1: ["two three four five six"]}
+    grams = phrases.extract_ngrams(docs, ["id"], "t", vocab, "p", stop_words=["OF", "and"]).filter("id = 2")
+    assert [r.gram for r in grams.collect()] == ["data science"]
+
+
+def test_region_tree_of_any_depth(spark):
+    from jobsift.operators import trees
+    tree = ('{"id": 0, "name": "World", "areas": [{"id": 1, "name": "A", "areas": []}, {"id": 2, "name": "B", "areas": '
+            '[{"id": 3, "name": "C", "areas": [{"id": 4, "name": "D", "areas": [{"id": 6, "name": "A"}]}]}, {"id": 5, "name": "E"}]}]}')
+    docs = spark.createDataFrame([(tree,)], "j string")
+    leaves = trees.tree_leaves(docs, "j")
+    assert {(r.leaf_id, r.name) for r in leaves.collect()} == {(1, "A"), (6, "A"), (5, "E")}
+    assert {r.name: r.leaf_id for r in trees.ids_by_name(leaves).collect()} == {"A": 6, "E": 5}
+    assert [tuple(r) for r in trees.tree_roots(docs, "j").collect()] == [(0, "World")]
+
+
+def test_history_similarity_counts_rows(spark):
+    from jobsift.operators import vectors
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "vacancy_id int, vec array<double>")
+    h = spark.createDataFrame([(7, 1), (7, 1), (7, 2), (8, 3)], "user_id int, vacancy_id int")
+    c = spark.createDataFrame([(7, 1), (7, 2), (8, 3), (9, 1)], "user_id int, vacancy_id int")
+    got = {(r.user_id, r.vacancy_id): r.mean_sim for r in vectors.mean_similarity_to_history(c, h, v).collect()}
+    assert got == {(7, 1): 0.5, (7, 2): 0.0, (8, 3): 0.0, (9, 1): 0.0}
+
+
+def test_resume_without_headers_or_with_several(spark):
+    rows = [("Опыт работы 3 года", "Опыт работы 3 года", 36), ("без опыта", None, None), (None, None, None), ("", None, None),
+            ("Опыт работы 1 год Опыт работы 2 года Опыт работы 3 года", "Опыт работы 2 года", 24),
+            ("Опыт работы есть", None, None), ("Опыт работы лет 5", "Опыт работы лет 5", None)]
+    df = spark.createDataFrame(rows, "t string, b string, m long")
+    block = resume.experience_block("t")
+    assert [tuple(r) for r in df.select(block, resume.experience_months(block)).collect()] == [(b, m) for _, b, m in rows]
+
+
+def test_periods_with_touching_dashes(spark):
+    t = "Май 2010—Июнь 2011 Кузнец Июль 2012 - настоящее время Пекарь 2 года Январь 2020"
+    df = spark.createDataFrame([(t,)], "t string")
+    assert df.select(resume.split_jobs("t")).first()[0] == ["Кузнец", "Пекарь  Январь 2020"]
+
+
+def test_digest_ranks_are_dense(spark):
+    from jobsift.plans import training
+    from pyspark.sql import functions as F
+    df = spark.range(500).select(F.col("id").alias("cand_id"), F.md5(F.col("id").cast("string")).alias("o"))
+    rows = training.ranked(df, "o", "cand_id", digits=1).collect()
+    want = sorted((r.o, r.cand_id) for r in rows)
+    assert [(r.o, r.cand_id) for r in sorted(rows, key=lambda r: r["__rank"])] == want
+    assert sorted(r["__rank"] for r in rows) == list(range(1, 501))
