@@ -120,12 +120,13 @@ def p10_drop_sessions_touching(spark, d):
         .select("session_id", "vacancy_id", "action_type", "event_id")
 
 
-def _user_lists(spark, d):
-    i = fx.interaction(spark, d)
-    return i.groupBy("user_id").agg(
-        F.collect_list(F.when(F.col("action_type") == 3, F.col("vacancy_id"))).alias("likes"),
-        F.collect_list(F.when(F.col("action_type") == 1, F.col("vacancy_id"))).alias("responses"),
-        F.collect_list(F.when((F.col("action_type") == 2) & ~F.col("is_train"), F.col("vacancy_id"))).alias("preds"))
+def _user_counts(spark, d):
+    """Sizes of each user's lists of likes, responses and test views: counted,
+    never gathered."""
+    t = F.col("action_type")
+    return fx.interaction(spark, d).groupBy("user_id").agg(
+        F.count_if(t == 3).alias("n_likes"), F.count_if(t == 1).alias("n_responses"),
+        F.count_if((t == 2) & ~F.col("is_train")).alias("n_preds"))
 
 
 _USER_LISTS_SQL = """SELECT user_id,
@@ -139,17 +140,13 @@ FROM interaction GROUP BY user_id"""
   CAST(len(responses) AS BIGINT) AS n_responses FROM ul WHERE len(likes) > 0 AND len(responses) > 0""",
                                     "interaction", extra={"ul": _USER_LISTS_SQL}))
 def p11_non_empty_arrays(spark, d):
-    u = _user_lists(spark, d)
-    return u.filter(cleaning.non_empty("likes") & cleaning.non_empty("responses")).select(
-        "user_id", F.size("likes").cast("bigint").alias("n_likes"),
-        F.size("responses").cast("bigint").alias("n_responses"))
+    return _user_counts(spark, d).filter("n_likes > 0 and n_responses > 0").select("user_id", "n_likes", "n_responses")
 
 
 @register("p12_drop_empty_predictions", W("""SELECT user_id, CAST(len(preds) AS BIGINT) AS n_preds
 FROM ul WHERE len(preds) > 0""", "interaction", extra={"ul": _USER_LISTS_SQL}))
 def p12_drop_empty_predictions(spark, d):
-    u = _user_lists(spark, d)
-    return u.filter(cleaning.non_empty("preds")).select("user_id", F.size("preds").cast("bigint").alias("n_preds"))
+    return _user_counts(spark, d).filter("n_preds > 0").select("user_id", "n_preds")
 
 
 _PAY_TXT = ("concat(CAST(floor(abs(c_acctbal) * 20) AS BIGINT), ' ', "
@@ -467,8 +464,10 @@ def u3_intersect_keys(spark, d):
                           list_distinct(coalesce(list(vacancy_id) FILTER (WHERE action_type = 1), [])))) AS BIGINT) AS n_both
 FROM interaction GROUP BY user_id""", "interaction"))
 def u4_u6_array_sets(spark, d):
-    u = _user_lists(spark, d).join(
-        fx.interaction(spark, d).groupBy("user_id").agg(F.collect_list("vacancy_id").alias("all_items")), "user_id")
+    t = F.col("action_type")
+    u = fx.interaction(spark, d).groupBy("user_id").agg(
+        F.collect_set("vacancy_id").alias("all_items"), F.collect_set(F.when(t == 3, F.col("vacancy_id"))).alias("likes"),
+        F.collect_set(F.when(t == 1, F.col("vacancy_id"))).alias("responses"))
     return u.select("user_id",
                     F.array_join(sets.sorted_distinct("all_items"), ",").alias("distinct_items"),
                     F.array_join(F.array_sort(F.array_union("likes", "responses")), ",").alias("liked_or_responded"),

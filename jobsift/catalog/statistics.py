@@ -192,28 +192,20 @@ _R10_CTES.update({
 })
 
 
-@register("r10_neighbour_voting", W("""SELECT l.user_id, CAST(l.pos AS BIGINT) AS rank, l.vacancy_id FROM lst l
-JOIN tot USING (user_id) WHERE tot.n <= 30
-UNION ALL SELECT user_id, CAST(rank AS BIGINT), vacancy_id FROM (SELECT v.user_id, v.vacancy_id,
-  row_number() OVER (PARTITION BY v.user_id ORDER BY v.c DESC, v.first_pos) AS rank FROM votes v JOIN tot USING (user_id)
-  WHERE tot.n > 30) WHERE rank <= 30""", "vacancy", "interaction", extra=_R10_CTES))
+@register("r10_neighbour_voting", W("""SELECT user_id, CAST(rank AS BIGINT) AS rank, vacancy_id FROM (
+  SELECT user_id, vacancy_id, row_number() OVER (PARTITION BY user_id ORDER BY c DESC, first_pos) AS rank
+  FROM votes) WHERE rank <= 30""", "vacancy", "interaction", extra=_R10_CTES))
 def r10_neighbour_voting(spark, d):
-    """R10 + L3: the neighbours of every non-view train action concatenated
-    in action order; lists longer than 30 keep the 30 most frequent (ties by
-    first occurrence), shorter ones stay as they are (with duplicates)."""
+    """R10 + L3: the neighbours of every non-view train action vote; the 30
+    most frequent stay (ties by first occurrence), whatever a user's history."""
     acts = fx.interaction(spark, d).filter("is_train AND action_type <> 2") \
         .select("user_id", "vacancy_id", seq.order_key().alias("ak"))
     nn = _area_neighbours(spark, d, acts.select(F.col("vacancy_id").alias("query_id")).distinct(), 5)
-    lst = acts.join(nn.select(F.col("query_id").alias("vacancy_id"), F.col("vacancy_id").alias("nb"), "rank"),
-                    "vacancy_id").select("user_id", F.col("nb").alias("vacancy_id"),
-                                         F.struct("ak", "rank").alias("key"))
-    tot = lst.groupBy("user_id").agg(F.count("*").alias("n"))
-    short = top_k_per_group(lst.join(tot.filter("n <= 30"), "user_id"), ["user_id"], [F.col("key")], 30, "rank")
-    votes = lst.join(tot.filter("n > 30"), "user_id").groupBy("user_id", "vacancy_id") \
-        .agg(F.count("*").alias("c"), F.min("key").alias("first"))
+    votes = acts.join(nn.select(F.col("query_id").alias("vacancy_id"), F.col("vacancy_id").alias("nb"), "rank"),
+                      "vacancy_id").groupBy("user_id", F.col("nb").alias("vacancy_id")).agg(
+        F.count("*").alias("c"), F.min(F.struct("ak", "rank")).alias("first"))
     top = top_k_per_group(votes, ["user_id"], [F.col("c").desc(), F.col("first")], 30, "rank")
-    return short.select("user_id", F.col("rank").cast("bigint"), "vacancy_id") \
-        .unionByName(top.select("user_id", F.col("rank").cast("bigint"), "vacancy_id"))
+    return top.select("user_id", F.col("rank").cast("bigint"), "vacancy_id")
 
 
 # ------------------------------------------------------------ R8
@@ -235,9 +227,7 @@ def mismatch_weight(prefix_a: str, prefix_b: str, cols=_CAT_COLS):
 @register("r8_two_stage_knn", W("""
 , liked AS (SELECT DISTINCT i.user_id, i.vacancy_id FROM interaction i JOIN vacancy v ON v.vacancy_id = i.vacancy_id
             WHERE i.is_train AND i.action_type IN (1, 3) AND v.keySkills_str IS NOT NULL),
-nl AS (SELECT user_id, count(*) AS n FROM liked GROUP BY user_id),
-pool AS (SELECT DISTINCT l.user_id, t.cid AS vacancy_id FROM liked l JOIN nl USING (user_id) JOIN topk t
-         ON t.qid = l.vacancy_id AND t.rank <= CASE WHEN nl.n <= 2 THEN 50 ELSE 20 END),
+pool AS (SELECT DISTINCT l.user_id, t.cid AS vacancy_id FROM liked l JOIN topk t ON t.qid = l.vacancy_id),
 msc AS (SELECT l.user_id, l.vacancy_id AS liked_id, p.vacancy_id,
   (CASE WHEN a.workExperience = b.workExperience THEN 0 ELSE 2 END + CASE WHEN a.workSchedule = b.workSchedule THEN 0 ELSE 2 END
    + CASE WHEN a.employment = b.employment THEN 0 ELSE 2 END) AS w
@@ -248,12 +238,11 @@ SELECT user_id, liked_id, vacancy_id, CAST(w AS INTEGER) AS weight, CAST(rank AS
 """, "vacancy", "interaction", extra=topk_sql(
     "SELECT area_id AS scope, vacancy_id AS cid, keySkills_str AS text FROM vacancy WHERE keySkills_str IS NOT NULL",
     """SELECT area_id AS scope, vacancy_id AS qid, keySkills_str AS text FROM vacancy WHERE keySkills_str IS NOT NULL
-       AND vacancy_id IN (SELECT vacancy_id FROM interaction WHERE is_train AND action_type IN (1, 3))""", 50)
+       AND vacancy_id IN (SELECT vacancy_id FROM interaction WHERE is_train AND action_type IN (1, 3))""", 20)
 ).replace("\n\n, liked AS", ", liked AS", 1))
 def r8_two_stage_knn(spark, d):
-    """Stage 1 pools each user's text neighbours (20 per liked item, 50
-    when the user liked at most 2; Q8 per user); stage 2 ranks the pool for
-    every liked item by categorical mismatch (K5), 10 per item.
+    """Stage 1 pools each user's text neighbours, 20 per liked item; stage 2
+    ranks the pool for every liked item by categorical mismatch (K5), 10 per item.
 
     Stage 2 never pairs every liked item with every pool item: the pool is
     reduced to categorical classes (at most the product of the category
@@ -261,11 +250,8 @@ def r8_two_stage_knn(spark, d):
     """
     v = fx.vacancy(spark, d)
     liked = _liked(spark, d).join(v.filter(F.col("keySkills_str").isNotNull()).select("vacancy_id"), "vacancy_id")
-    nl = liked.groupBy("user_id").agg(F.count("*").alias("n"))
-    nn = _area_neighbours(spark, d, liked.select(F.col("vacancy_id").alias("query_id")).distinct(), 50)
-    pool = liked.join(nl, "user_id").join(nn.select(F.col("query_id").alias("vacancy_id"),
-                                                    F.col("vacancy_id").alias("nb"), "rank"), "vacancy_id") \
-        .filter(F.col("rank") <= F.when(F.col("n") <= 2, 50).otherwise(20)) \
+    nn = _area_neighbours(spark, d, liked.select(F.col("vacancy_id").alias("query_id")).distinct(), 20)
+    pool = liked.join(nn.select(F.col("query_id").alias("vacancy_id"), F.col("vacancy_id").alias("nb")), "vacancy_id") \
         .select("user_id", F.col("nb").alias("vacancy_id")).distinct()
     cats = v.select("vacancy_id", *_CAT_COLS)
     pc = pool.join(cats, "vacancy_id")

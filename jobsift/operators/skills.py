@@ -33,7 +33,7 @@ def skill_neighbours(skills: DataFrame, k: int = 15) -> DataFrame:
     return out.select(F.col("query_id").alias("skill"), F.col("vacancy_id").alias("neighbour"), "score", "rank")
 
 
-def elect_leaders(counts: DataFrame, k: int = 15, threshold: float = 0.5, max_rounds: int = 10000) -> DataFrame:
+def elect_leaders(counts: DataFrame, k: int = 15, threshold: float = 0.5) -> DataFrame:
     """N5, one round of merging: (skill, leader) for every skill."""
     prio = counts.select("skill", F.struct((-F.col("cnt")).alias("c"), F.col("skill").alias("s")).alias("p"))
     nn = skill_neighbours(counts.select("skill"), k).filter(
@@ -45,10 +45,8 @@ def elect_leaders(counts: DataFrame, k: int = 15, threshold: float = 0.5, max_ro
     edges = materialize(edges)
     # state: leader = skill itself, follower = its leader, null = undecided
     state = materialize(prio.select("skill", "p", F.lit(None).cast("string").alias("leader")))
-    for _ in range(max_rounds):
-        undecided = state.filter(F.col("leader").isNull())
-        if undecided.isEmpty():
-            break
+    # each round decides at least the highest-ranked undecided skill, so this ends
+    while not state.filter(F.col("leader").isNull()).isEmpty():
         src_state = state.select(F.col("skill").alias("src"), F.col("leader").alias("src_leader"))
         e = edges.join(src_state, "src")
         inc = e.groupBy("dst").agg(
