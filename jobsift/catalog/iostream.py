@@ -97,17 +97,23 @@ def s12_dataset_folders(spark, d):
 _EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-@register("t1_streaming_session_fold")
+@register("t1_streaming_session_fold", W("""
+SELECT user_id, strftime(min(action_dt), '%Y-%m-%d %H:%M:%S') AS session_start,
+  array_to_string(list(vacancy_id ORDER BY action_dt, event_id), ',') AS vacancy_ids,
+  array_to_string(list(action_type ORDER BY action_dt, event_id), ',') AS action_types
+FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY action_dt, event_id) AS nth FROM (
+  SELECT *, CASE WHEN action_dt - lag(action_dt) OVER (PARTITION BY user_id ORDER BY action_dt, event_id)
+    < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM interaction)) GROUP BY user_id, nth""", "interaction"))
 def t1_streaming_session_fold(spark, d):
     """The events table consumed as a stream (availableNow), folded into
     30-minute gap sessions with a watermark, written append-only as parquet
-    and scanned back (rows-only; parity with the batch fold is tested)."""
+    and scanned back; an end-of-input row closes the last sessions."""
     out, ckpt = io.scratch_path(spark, "t1-out"), io.scratch_path(spark, "t1-ckpt")
     # a glob: the file source watches a folder pattern, here the one table file
     src = f"{d.rstrip('/')}/event[s].parquet"
-    stream = sessions.fold_sessions_stream(sessions.action_stream(spark, src, _EVENTS_SCHEMA))
-    sessions.run_available_now(stream, out, ckpt)
-    res = spark.read.parquet(out)
+    actions = sessions.with_end_of_input(sessions.action_stream(spark, src, _EVENTS_SCHEMA), io.scratch_path(spark, "t1-end"))
+    sessions.run_available_now(sessions.fold_sessions_stream(actions), out, ckpt)
+    res = spark.read.parquet(out).filter(F.col("user_id").isNotNull())
     return res.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"),
                       F.array_join("vacancy_id", ",").alias("vacancy_ids"),
                       F.array_join("action_type", ",").alias("action_types"))

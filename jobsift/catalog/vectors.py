@@ -139,8 +139,9 @@ _K9.update(NV)
 @register("k9_mean_history_similarity", W("""SELECT p.user_id, p.vacancy_id,
   round(coalesce(avg(list_inner_product(cv.v, hv.v)), 0), 6) AS mean_sim
 FROM (SELECT DISTINCT user_id, vacancy_id FROM pred) p LEFT JOIN nv cv ON cv.vec_id = p.vacancy_id
-LEFT JOIN (SELECT DISTINCT user_id, vacancy_id FROM interaction WHERE is_train AND action_type <> 2) h
-  ON h.user_id = p.user_id AND h.vacancy_id <> p.vacancy_id
+LEFT JOIN (SELECT user_id, vacancy_id, row_number() OVER (PARTITION BY user_id, vacancy_id ORDER BY action_dt, event_id) AS nth
+           FROM interaction WHERE is_train AND action_type <> 2) h
+  ON h.user_id = p.user_id AND (h.vacancy_id <> p.vacancy_id OR h.nth > 1)
 LEFT JOIN nv hv ON hv.vec_id = h.vacancy_id
 GROUP BY p.user_id, p.vacancy_id""", "vacancy", "interaction", extra=_K9))
 def k9_mean_history_similarity(spark, d):

@@ -161,15 +161,27 @@ def kmeans_labels(df: DataFrame, features: list[str], k: int, seed: int = 42, id
 
 def mean_similarity_to_history(candidates: DataFrame, history: DataFrame, vectors: DataFrame,
                                user: str = "user_id", item: str = "vacancy_id") -> DataFrame:
-    """K9: average cosine of each candidate to the user's history items
-    (the candidate itself excluded); 0 when nothing is left."""
-    v = vectors.select(F.col(item).alias("__i"), l2_normalise("vec").alias("__v"))
-    h = history.select(user, F.col(item).alias("__h")).distinct() \
-        .join(v.withColumnRenamed("__i", "__h").withColumnRenamed("__v", "__hv"), "__h")
-    c = candidates.select(user, item).distinct().join(v.withColumnRenamed("__i", item), item)
-    j = c.join(h, user, "left").filter(F.col("__h").isNull() | (F.col("__h") != F.col(item)))
-    s = j.groupBy(user, item).agg(F.avg(F.when(F.col("__h").isNotNull(), dot("__v", "__hv"))).alias("mean_sim"))
-    return candidates.select(user, item).distinct().join(s, [user, item], "left") \
+    """K9: average cosine of each candidate to the user's history, every acted
+    row counting, the first row of the candidate itself left out; 0 when
+    nothing is left.
+
+    The mean of the products is the product with the sum: a user's history
+    becomes one summed vector, less the candidate's own where it was acted on,
+    so vectors are copied once per user and not once per history row.
+    """
+    v = vectors.select(F.col(item).alias(item), l2_normalise("vec").alias("__v"))
+    acts = history.groupBy(user, item).agg(F.count("*").alias("__n")).join(v, item)
+    sums = acts.select(user, "__n", F.posexplode("__v").alias("__i", "__x")).groupBy(user, "__i").agg(
+        F.sum(F.col("__n") * F.col("__x")).alias("__x")).groupBy(user).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("__i", "__x"))), lambda s: s["__x"]).alias("__sum"))
+    total = acts.groupBy(user).agg(F.sum("__n").alias("__rows"))
+    c = candidates.select(user, item).distinct()
+    j = c.join(v, item).join(sums.join(total, user), user, "left") \
+        .join(acts.select(user, item, F.lit(1).alias("__own")), [user, item], "left")
+    own = F.coalesce(F.col("__own"), F.lit(0))
+    left = F.col("__rows") - own
+    mean = F.when(left > 0, (dot("__v", "__sum") - own * dot("__v", "__v")) / left).otherwise(F.lit(0.0))
+    return c.join(j.select(user, item, mean.alias("mean_sim")), [user, item], "left") \
         .select(user, item, F.coalesce(F.col("mean_sim"), F.lit(0.0)).alias("mean_sim"))
 
 

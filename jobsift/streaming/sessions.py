@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from jobsift.functions.codes import ACTION_VIEW
 
 
+#: later than any event, with room for the gap and the watermark
+END_OF_INPUT = "2200-01-01 00:00:00"
+
+
 def action_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Event files as a stream; vacancy id and action type as in the
     interaction view."""
@@ -37,6 +41,18 @@ def fold_sessions_stream(actions: DataFrame, gap: str = "30 minutes", watermark:
                     F.transform("s", lambda x: x["action_type"]).alias("action_type"))
 
 
+def with_end_of_input(actions: DataFrame, path: str) -> DataFrame:
+    """The stream and, after it, one row of no user far in the future, written
+    to ``path``: it moves the watermark past every real session, so those that
+    are open when the input ends are emitted too.  Only for inputs that end."""
+    spark = actions.sparkSession
+    kinds = {f.name: f.dataType.simpleString() for f in actions.schema.fields}
+    end = spark.range(1).select(*[
+        (F.lit(END_OF_INPUT) if c == "action_dt" else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
+    end.write.parquet(path)
+    return actions.unionByName(spark.readStream.schema(end.schema).parquet(path))
+
+
 def fold_sessions_batch(actions: DataFrame, gap: str = "30 minutes", skip_views: bool = False) -> DataFrame:
     """The same fold on a static DataFrame (parity reference for the stream)."""
     a = actions.filter(F.col("action_type") != ACTION_VIEW) if skip_views else actions

@@ -37,6 +37,13 @@ SINGLE_PARTITION_OK = {
     "a16_metric_mean_median": "global aggregate of per-user rates",
     "a17_null_counts": "global aggregate after partial aggregation",
     "e1_label_encoding": "rank window over the distinct values of a category",
+    "i9_first_dictionary_match": "lengths of the dictionary entries, a scalar subquery",
+    "i10_skill_extraction": "lengths of the dictionary entries, a scalar subquery",
+    "i11_phrase_extraction": "lengths of the dictionary entries, a scalar subquery",
+    "m7_hard_negatives": "prefix sums over at most 4,096 bin sizes of the pad order",
+    "m8_candidate_corpus": "prefix sums over at most 4,096 bin sizes of the pad order",
+    "m10_training_groups": "prefix sums over at most 4,096 bin sizes of the pad order",
+    "m10b_prefixed_groups": "prefix sums over at most 4,096 bin sizes of the pad order",
     "n4_skill_neighbours": "one global corpus: document count as a scalar subquery",
     "n7_fill_missing_skills": "one global corpus: document count as a scalar subquery",
     "p7_fill_mean": "global mean as a scalar subquery",
