@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from jobsift.llm.blocks import importable, stored
 from jobsift.llm.positional_index import clean_documents
 from jobsift.llm.quality_rules import kept_documents
-from jobsift.llm.sentence_pieces import decode, encode
+from jobsift.llm.sentence_pieces import encode
 from jobsift.llm.simhash_dedup import one_of_each
 from jobsift.llm.substring_dedup import kept_or_text, substring_dedup
 
@@ -50,7 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids and N best segmentations of each document."""
     importable(spark)
-    encoded = decode(encode(docs.select("doc_id", "lang", "source", "text")))
+    encoded = encode(docs.select("doc_id", "lang", "source", "text"), restored="decoded")
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", "nbest",
                           F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 

@@ -36,6 +36,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
 UNITS = re.compile(r" *[^ \n]+|\n| +")
 UNIT_LIMIT = 250_000
+#: Units walked together, and characters beyond which a unit is walked alone.
+AT_ONCE, LONG_UNIT = 10_000, 64
 #: Scores at or below this mark pieces that the model never chooses by score.
 NEVER = -1e8
 NBEST = "array<struct<score:double,edits:array<struct<start:int,end:int,ids:array<int>>>>>"
@@ -160,13 +162,101 @@ def n_best(into: list, k: int) -> list[tuple[float, list[int]]]:
     return out
 
 
+class Trie:
+    """The vocabulary as a table of (state, character) -> state, for walking
+    along many units at once."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        number = {"": 0} | {p: i for i, p in enumerate(model.starts, 1)}
+        characters = sorted({c for p in model.starts for c in p})
+        self.width = len(characters) + 1
+        self.kind = np.full(0x110000, len(characters), np.int64)
+        self.kind[[ord(c) for c in characters]] = np.arange(len(characters))
+        keys = np.array([number[p[:-1]] * self.width + self.kind[ord(p[-1])] for p in model.starts])
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], order + 1
+        piece = [x or (0.0, -1) for x in model.starts.values()]
+        self.score = np.array([0.0] + [x for x, _ in piece])
+        self.label = np.array([-1] + [i for _, i in piece])
+
+    def edges(self, code: np.ndarray, left: np.ndarray):
+        """Edges (from, length, score, label) of the lattices of units that lie
+        one after the other; ``left``: characters of the unit from each place."""
+        at, state = np.arange(len(code)), np.zeros(len(code), np.int64)
+        out = []
+        for n in range(1, self.model.longest + 1):
+            key = state * self.width + self.kind[code[at + n - 1]]
+            row = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[row] == key
+            state = np.where(on, self.to[row], 0)
+            piece = self.label[state] >= 0
+            where = at[piece]
+            out.append((where, np.full(len(where), n), self.score[state[piece]], self.label[state[piece]]))
+            if n == 1:
+                bare = at[~piece]
+                out.append((bare, np.full(len(bare), 1), np.full(len(bare), self.model.unknown),
+                            len(self.model.scores) + code[bare].astype(np.int64)))
+            on &= left[at] > n
+            at, state = at[on], state[on]
+            if not len(at):
+                break
+        return [np.concatenate(x) for x in zip(*out)]
+
+    def two_best(self, units: list[str]):
+        """Of each unit the best and second-best score and the best ids (flat,
+        with how many each has): the forward pass over all units' lattices, one
+        place after the other, places of all units at once."""
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        unit, first = np.repeat(np.arange(len(units)), size), np.cumsum(size) - size
+        at, length, score, label = self.edges(code, (first + size)[unit] - np.arange(len(code)))
+        start = first + np.arange(len(units))  # a unit has one more place than characters
+        source = at + unit[at]
+        target = source + length
+        order = np.lexsort((target, target - start[unit[at]]))
+        source, target, score, label = (x[order] for x in (source, target, score, label))
+        deep = np.cumsum(np.bincount((target - start[unit[at[order]]]), minlength=2))
+        places = len(code) + len(units)
+        one, two, back = np.full(places, -np.inf), np.full(places, -np.inf), np.zeros(places, np.int64)
+        one[start] = 0.0
+        for d in range(1, len(deep)):
+            a, b = deep[d - 1], deep[d]
+            to = target[a:b]
+            group = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+            count = np.diff(np.append(group, b - a))
+            c = one[source[a:b]] + score[a:b]
+            top = np.repeat(np.maximum.reduceat(c, group), count)
+            tied = np.where(c == top, label[a:b], np.iinfo(np.int64).max)
+            chosen = tied == np.repeat(np.minimum.reduceat(tied, group), count)
+            node = to[group]
+            one[node], back[node] = c[chosen], a + np.flatnonzero(chosen)
+            two[node] = np.maximum.reduceat(np.maximum(np.where(chosen, -np.inf, c), two[source[a:b]] + score[a:b]), group)
+        end = start + size
+        found, now, alive, step = [], end.copy(), np.arange(len(units)), 0
+        while len(alive):
+            edge = back[now]
+            found.append((alive, np.full(len(alive), step), label[edge]))
+            now, step = source[edge], step + 1
+            on = now != start[alive]
+            alive, now = alive[on], now[on]
+        of, steps, labels = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((-steps, of))
+        of, labels = of[order], labels[order]
+        bare = np.flatnonzero(labels >= len(self.model.scores))
+        for i, ids in reversed([(i, self.model.expand([x])) for i, x in zip(bare.tolist(), labels[bare].tolist())]):
+            labels = np.concatenate((labels[:i], ids, labels[i + 1:]))
+            of = np.concatenate((of[:i], np.full(len(ids), of[i]), of[i + 1:]))
+        return one[end], two[end], labels.astype(np.int32), np.bincount(of, minlength=len(units))
+
+
 class Units(dict):
     """unit -> number, with its best ids, its score and what its second-best
     segmentation loses; starts anew beyond ``UNIT_LIMIT`` units."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.model, self.trie = model, Trie(model)
         self.forget()
 
     def forget(self) -> None:
@@ -174,14 +264,29 @@ class Units(dict):
         self.ids, self.ends, self.scores, self.loss = array("i"), array("q", [0]), array("d"), array("d")
         self.ranked: dict[int, list] = {}
 
-    def __missing__(self, unit: str) -> int:
-        score, second, labels = two_best(self.model, unit)
-        self.ids.extend(self.model.expand(labels))
-        self.ends.append(len(self.ids))
-        self.scores.append(score)
-        self.loss.append(score - second)
-        self[unit] = n = len(self)
-        return n
+    def meet(self, texts: list[list[str]]) -> None:
+        """Learn the units not met before: short ones together, long ones (of
+        which a few would hold up all others) one by one."""
+        new = list(dict.fromkeys(w for t in texts for w in t if w not in self))
+        for w in new:
+            if len(w) > LONG_UNIT:
+                score, second, labels = two_best(self.model, w)
+                self._add([w], [score], [score - second], self.model.expand(labels), [0])
+                self.ends[-1] = len(self.ids)
+        new = sorted((w for w in new if len(w) <= LONG_UNIT), key=len)
+        for at in range(0, len(new), AT_ONCE):
+            one, two, ids, n = self.trie.two_best(new[at:at + AT_ONCE])
+            self._add(new[at:at + AT_ONCE], one.tolist(), (one - two).tolist(), ids.tolist(), n.tolist())
+
+    def _add(self, units: list[str], scores, loss, ids, counts) -> None:
+        end = self.ends[-1]
+        for w, n in zip(units, counts):
+            self[w] = len(self)
+            end += n
+            self.ends.append(end)
+        self.ids.extend(ids)
+        self.scores.extend(scores)
+        self.loss.extend(loss)
 
     def best_of(self, number: int, unit: str, k: int) -> list[tuple[float, list[int]]]:
         got = self.ranked.get(number)
@@ -215,6 +320,7 @@ def _encoded(units: Units, texts: list[str | None], k: int):
     words = [UNITS.findall(" " + t if units.model.prefix else t) if t else [] for t in texts]
     if len(units) > UNIT_LIMIT:
         units.forget()
+    units.meet(words)
     numbers = [np.fromiter(map(units.__getitem__, w), np.int64, len(w)) for w in words]
     pool, pool_ends = np.array(units.ids, np.int32), np.array(units.ends)
     scores, loss = np.array(units.scores), np.array(units.loss)
@@ -229,7 +335,12 @@ def _encoded(units: Units, texts: list[str | None], k: int):
     return np.concatenate(flat) if flat else pool[:0], bounds, best
 
 
-def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", best: int = BEST) -> DataFrame:
+def _restored(pieces: list[bytes], ids: np.ndarray, skip: int) -> str:
+    return b"".join(map(pieces.__getitem__, ids.tolist()))[skip:].decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", best: int = BEST,
+           restored: str | None = None) -> DataFrame:
     """``docs`` with ``ids`` (the best segmentation) and ``nbest``: for each of
     the ``best`` best segmentations, in order, its score and ``edits``, the
     ranges [start, end) of ``ids`` that it replaces (none for the first).
@@ -237,7 +348,9 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", best: in
     Segmentations are scored by the sum of the model's piece scores.  A null text
     has null ids and null ``nbest``; an empty one no pieces and one segmentation
     of score 0.  A text with fewer segmentations than ``best`` gets them all.
-    White space is kept as it is.  Repeated rows are encoded alike; an empty
+    White space is kept as it is.  ``restored`` names a column for the text that
+    decoding the ids gives, made in the same task (``decode`` does it for stored
+    ids).  Repeated rows are encoded alike; an empty
     table gives an empty result; input columns named ``ids`` or ``nbest`` are
     replaced.  Executors read the vocabulary from a broadcast, not from a file.
     """
@@ -255,11 +368,14 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", best: in
                 flat, bounds, found = _encoded(units, texts, best)
                 null = np.array([t is None for t in texts])
                 ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32(), mask=np.append(null, False)), pa.array(flat))
-                yield from B.add_columns(pa.Table.from_batches([b]), {
-                    "ids": ids,
-                    "nbest": pa.array([None if n else x for n, x in zip(null.tolist(), found)], kind)})
+                new = {"ids": ids, "nbest": pa.array([None if n else x for n, x in zip(null.tolist(), found)], kind)}
+                if restored:
+                    new[restored] = pa.array([None if n else _restored(units.model.texts, flat[x:y], units.model.prefix)
+                                              for n, x, y in zip(null.tolist(), bounds, bounds[1:])], pa.string())
+                yield from B.add_columns(pa.Table.from_batches([b]), new)
 
-    return docs.mapInArrow(run, B.with_columns(docs.schema, f"ids array<int>, nbest {NBEST}"))
+    extra = f", {restored} string" if restored else ""
+    return docs.mapInArrow(run, B.with_columns(docs.schema, f"ids array<int>, nbest {NBEST}{extra}"))
 
 
 def decode(df: DataFrame, model: str = MODEL, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
@@ -271,9 +387,7 @@ def decode(df: DataFrame, model: str = MODEL, ids_col: str = "ids", to: str = "d
         pieces, skip = known.value.texts, int(known.value.prefix)
         for batch in batches:
             for b in B.slices(batch, 2 * B.TARGET):
-                texts = [None if x is None else b"".join(map(pieces.__getitem__, x.tolist()))[skip:] for x in (
-                    v.values.to_numpy() if v.is_valid else None for v in b.column(ids_col))]
-                text = [None if t is None else t.decode("utf-8", "replace") for t in texts]
+                text = [_restored(pieces, v.values.to_numpy(), skip) if v.is_valid else None for v in b.column(ids_col)]
                 yield from B.add_columns(pa.Table.from_batches([b]), {to: pa.array(text, pa.string())})
 
     return df.mapInArrow(run, B.with_columns(df.schema, f"{to} string"))
@@ -289,6 +403,6 @@ def segmentation(rank: int) -> Column:
 
 def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return decode(encode(docs)).select(
+    return encode(docs, restored="decoded").select(
         "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", "nbest",
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))

@@ -26,7 +26,7 @@ class Hashes(dict):
     """word -> 64-bit hash; forgets all when it grows beyond ``limit`` words,
     so that a task's memory stays bounded."""
 
-    def __init__(self, seed: int = 0, limit: int = 400_000):
+    def __init__(self, seed: int = 0, limit: int = 200_000):
         super().__init__()
         self.seed, self.limit = seed, limit
 

@@ -46,6 +46,17 @@ def test_unit_lattice_equals_brute_force(model, unit):
     assert (score, labels) == want[0] and second == (want[1][0] if len(want) > 1 else float("-inf"))
 
 
+def test_units_walked_together_equal_units_walked_alone(model):
+    rng = random.Random(2)
+    units = [" " * rng.randint(0, 2) + "".join(rng.choice("thesangé梦▁.\U0001F600") for _ in range(rng.randint(1, 30)))
+             for _ in range(300)] + ["\n", " ", "x", "\x00"]
+    one, two, ids, n = S.Trie(model).two_best(units)
+    ends = np.cumsum(n)
+    for i, u in enumerate(units):
+        score, second, labels = S.two_best(model, u)
+        assert (one[i], two[i], ids[ends[i] - n[i]:ends[i]].tolist()) == (score, second, model.expand(labels))
+
+
 @pytest.mark.parametrize("text", ["the cat", "aa aa", "a b c", "x\ny  z", " ▁q é", " ", "a a a a"])
 @pytest.mark.parametrize("k", [1, 2, 4])
 def test_text_n_best_equals_brute_force(model, text, k):
@@ -66,6 +77,8 @@ def test_texts_are_restored(spark, model):
     df = S.decode(S.encode(docs(spark)).withColumn("third", F.when(F.size("nbest") > 2, S.segmentation(2))))
     rows = df.collect()
     assert by_rows((r.doc_id, r.decoded) for r in rows) == by_rows((i, t) for i, t, _ in TEXTS)
+    same = S.encode(docs(spark), restored="again").select("doc_id", "again").collect()
+    assert by_rows(map(tuple, same)) == by_rows((i, t) for i, t, _ in TEXTS)
     for r in rows:
         if r.text is None:
             assert r["ids"] is None and r.nbest is None
