@@ -98,10 +98,11 @@ def impute_row_mean(arr) -> Column:
 
 
 def action_type_means(history: DataFrame, user: str = "user_id", types=(1, 2, 3),
-                      money: str = "decimal(18,2)") -> DataFrame:
+                      money: str = "decimal(18,2)", default: float | None = None) -> DataFrame:
     """Mean salary per action type over the history, missing salaries
     imputed by the user's history mean; a type with no rows gets the mean.
-    Users whose history has no salary at all are dropped.
+    Users whose history has no salary at all count with ``default`` for it
+    (Q5), or are dropped when none is given, as for fitting.
 
     Salaries are summed as decimals (exact, order independent), so the means
     do not depend on the order in which partial sums are merged.
@@ -110,7 +111,8 @@ def action_type_means(history: DataFrame, user: str = "user_id", types=(1, 2, 3)
         return F.sum(c.cast(money)).cast("double")
 
     sal = F.col("salary")
-    um = history.groupBy(user).agg((exact_sum(sal) / F.count(sal)).alias("hist_mean"))
+    mean = F.try_divide(exact_sum(sal), F.count(sal))
+    um = history.groupBy(user).agg((mean if default is None else F.coalesce(mean, F.lit(default))).alias("hist_mean"))
     j = history.join(um.filter(F.col("hist_mean").isNotNull()), user)
     aggs = []
     for t in types:

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobsift.functions.text import tokens
+
 RANK_DIGITS = 9
 
 
@@ -200,38 +202,30 @@ def default_blocks(spark, df: DataFrame | None = None, rows_per_block: int = 500
     return max(b, blocks_for(df, rows_per_block)) if df is not None else b
 
 
-def hashed_bow_encoder(dim: int = 64):
-    """Default text encoder without a model: word counts hashed into ``dim``
-    buckets (crc32, stable across processes), L2-normalised."""
-    import re
-    import zlib
-
-    word = re.compile(r"\w\w+")
-
-    def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float64)
-        for i, t in enumerate(texts):
-            for w in word.findall((t or "").lower()):
-                out[i, zlib.crc32(w.encode("utf-8")) % dim] += 1.0
-        n = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
+def embed_texts(df: DataFrame, text: str, encoder=None, batch_size: int = 256, prefix: str = "",
+                dim: int = 64) -> DataFrame:
+    """K8: vectors of the distinct texts of ``text``: (text, vec), each text
+    encoded once, with ``prefix`` put before it.
 
-    return encode
-
-
-def embed_texts(df: DataFrame, text: str, encoder=None, batch_size: int = 256, prefix: str = "") -> DataFrame:
-    """K8: encode the distinct texts of ``text`` in Arrow batches with a
-    caller-supplied encoder (list[str] -> 2-D array); an optional query
-    prefix is prepended.  Output (text, vec).  Identical texts are encoded
-    once; the encoder runs inside ``mapInPandas`` on the executors."""
-    enc = encoder or hashed_bow_encoder()
+    Without an encoder: word counts hashed into ``dim`` buckets, unit length
+    (MLlib's HashingTF and Normalizer; a text without words is a zero vector).
+    A caller's encoder (list[str] -> 2-D array) runs in Arrow batches inside
+    ``mapInPandas`` on the executors.
+    """
     distinct = df.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).distinct()
+    if encoder is None:
+        from pyspark.ml.feature import HashingTF, Normalizer
+        from pyspark.ml.functions import vector_to_array
+        words = distinct.select("text", tokens(F.concat(F.lit(prefix), F.col("text"))).alias("__w"))
+        counted = HashingTF(inputCol="__w", outputCol="__tf", numFeatures=dim).transform(words)
+        return Normalizer(inputCol="__tf", outputCol="__n").transform(counted).select(
+            "text", vector_to_array("__n").alias("vec"))
 
     def run(batches):
         for pdf in batches:
             for s in range(0, len(pdf), batch_size):
                 chunk = pdf.iloc[s:s + batch_size]
-                vecs = enc([prefix + t for t in chunk["text"].tolist()])
+                vecs = encoder([prefix + t for t in chunk["text"].tolist()])
                 yield pd.DataFrame({"text": chunk["text"].to_numpy(), "vec": list(np.asarray(vecs, dtype=np.float64))})
 
     return distinct.mapInPandas(run, schema="text string, vec array<double>")
