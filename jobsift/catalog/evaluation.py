@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from jobsift.catalog import register
 from jobsift.catalog.sqlviews import with_views as W
 from jobsift.catalog.textsim import tok
-from jobsift.operators import sampling
+from jobsift.operators import aggregates, sampling
 from jobsift.plans import evaluate as ev
+from jobsift.session import materialize
 from jobsift.sources import fixtures as fx
 
 
@@ -145,8 +146,9 @@ FROM (SELECT p.user_id, CASE WHEN sum(CASE WHEN found AND sim IS NULL THEN 1 ELS
       FROM pairs p JOIN fs USING (a, b) GROUP BY p.user_id)"""))
 def a16_metric_mean_median(spark, d):
     _, _, pairs, f = _feats(spark, d)
-    r = ev.pair_rate(pairs, f, 0.72)
-    return r.agg(r6(F.avg("rate")).alias("mean_rate"), r6(F.percentile("rate", 0.5)).alias("median_rate"))
+    r = materialize(ev.pair_rate(pairs, f, 0.72))
+    median = aggregates.grouped_median(r, [], "rate", "median_rate")
+    return median.select(r6(r.select(F.avg("rate")).scalar()).alias("mean_rate"), r6("median_rate").alias("median_rate"))
 
 
 def _sample_sql(col: str) -> str:

@@ -7,19 +7,20 @@ more word characters.
 
 Top-k search never builds a document x document matrix: documents meet only
 through shared tokens (equi join on ``(scope, token)``), partial sums are
-aggregated per pair, and the per-query cut is a WindowGroupLimit.  Texts are
-de-duplicated before scoring (titles and skill strings repeat heavily) and
-ids are joined back afterwards.
+aggregated per pair, and the per-query cut is a WindowGroupLimit.  Each
+distinct text is scored once under its smallest id (titles and skill strings
+repeat heavily); only ids are shuffled, and of a text's ids only those that can
+reach a top k are joined back.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobsift.functions.text import tokens
+from jobsift.functions.text import let, tokens
 
 # ranking uses scores rounded to this many places, so that sums of the same
 # products merged in another order cannot swap tied candidates
@@ -63,31 +64,34 @@ def weigh(docs: DataFrame, doc_key: list[str], text: str, idf: DataFrame,
     return w.select(*doc_key, "token", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(doc))).alias("w"))
 
 
-def cosine_pairs(qw: DataFrame, cw: DataFrame, qid: str, cid: str, scope: list[str] | None = None,
-                 salts: int | None = None, partitions: int | None = None, carry: list[str] | None = None) -> DataFrame:
+#: products of a token's queries and candidates that one task makes at most
+PAIRS_PER_TASK = 2_000_000
+
+
+def cosine_pairs(qw: DataFrame, cw: DataFrame, qid: str, cid: str, scope: list[str],
+                 pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
     """Cosine of every (query, candidate) pair sharing at least one token.
 
-    The join output grows with the square of a token's document frequency,
-    not with the bytes shuffled, so AQE's size-based coalescing would put a
-    hot token's whole pair explosion into one task.  Both sides are therefore
-    repartitioned to a fixed count on (scope, token, salt): candidates get a
-    salt from their id, queries are replicated once per salt, so one token's
-    pairs spread over ``salts`` tasks.  Partial sums are aggregated map-side.
+    The join output of a token is the product of its document frequencies on
+    both sides, not the bytes shuffled.  A token whose product exceeds
+    ``pairs_per_task`` is split into as many parts as that needs: its candidates
+    are dealt out by id and its queries copied to each part.  Other tokens, which
+    are nearly all, are neither dealt nor copied.  Both sides are repartitioned
+    to a fixed count, so that AQE, which sees bytes, can't put the parts of a
+    token back into one task.  Partial sums are aggregated map-side.
     """
-    scope = list(scope or [])
-    spark = qw.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    s = salts or max(1, min(8, n // 2))
-    a = qw.select(*scope, F.col(qid).alias("__q"), "token", F.col("w").alias("__wq"),
-                  F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("__salt"))
-    carry = list(carry or [])
-    b = cw.select(*scope, F.col(cid).alias("__c"), *carry, "token", F.col("w").alias("__wc"),
-                  F.pmod(F.xxhash64(F.col(cid)), F.lit(s)).cast("int").alias("__salt"))
-    keys = scope + ["token", "__salt"]
-    a = a.repartition(n, *keys)
-    b = b.repartition(n, *keys)
-    return (a.join(b, keys)
-            .groupBy(*scope, "__q", "__c", *carry).agg(F.sum(F.col("__wq") * F.col("__wc")).alias("score"))
+    n = int(qw.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    keys = [*scope, "token"]
+    parts = F.ceil(F.col("__nq") / pairs_per_task * F.col("__nc")).cast("int")
+    hot = qw.groupBy(*keys).agg(F.count("*").alias("__nq")).join(
+        cw.groupBy(*keys).agg(F.count("*").alias("__nc")), keys).select(*keys, parts.alias("__parts")).filter("__parts > 1")
+    q = qw.join(hot, keys, "left").select(*scope, F.col(qid).alias("__q"), "token", F.col("w").alias("__wq"), F.explode(
+        F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)).alias("__part"))
+    c = cw.join(hot, keys, "left").select(*scope, F.col(cid).alias("__c"), "token", F.col("w").alias("__wc"), F.pmod(
+        F.xxhash64(F.col(cid)), F.coalesce("__parts", F.lit(1))).cast("int").alias("__part"))
+    keys = [*keys, "__part"]
+    return (q.repartition(n, *keys).join(c.repartition(n, *keys), keys)
+            .groupBy(*scope, "__q", "__c").agg(F.sum(F.col("__wq") * F.col("__wc")).alias("score"))
             .withColumnRenamed("__q", qid).withColumnRenamed("__c", cid))
 
 
@@ -109,80 +113,93 @@ def tfidf_top_k(queries: DataFrame | None, corpus: DataFrame, k: int, *, qid: st
                           scope=["__scope"], exclude_self=exclude_self, tokens_col=tokens_col)
         return out.drop("__scope")
     extra = [tokens_col] if tokens_col else []
-    corpus = corpus.select(*scope, cid, text, *extra).filter(F.col(text).isNotNull())
+    corpus = corpus.select(*scope, F.col(cid).alias("__cid"), F.col(text).alias("__text"), *extra) \
+        .filter(F.col("__text").isNotNull())
     self_search = queries is None
-    queries = corpus.select(*scope, F.col(cid).alias(qid), text) if self_search else queries.select(*scope, qid, text)
-    idf = fit_idf(corpus, cid, text, scope, tokens_col)
-
-    # score distinct texts: identical texts share one vector
-    ctexts = corpus.groupBy(*scope, F.col(text).alias("__ct")).agg(
-        F.min(cid).alias("__min_id"), *([F.first(tokens_col).alias("__toks")] if tokens_col else []))
-    qtexts = queries.select(*scope, F.col(text).alias("__qt")).filter(F.col("__qt").isNotNull()).distinct()
-    cw = weigh(ctexts, scope + ["__ct", "__min_id"], "__ct", idf, scope, "__toks" if tokens_col else None)
-    qw = cw.drop("__min_id").withColumnRenamed("__ct", "__qt") if self_search \
-        else weigh(qtexts, scope + ["__qt"], "__qt", idf, scope)
-    # each text's smallest id rides along with its weights (no join back)
-    text_pairs = cosine_pairs(qw, cw, "__qt", "__ct", scope, carry=["__min_id"])
-
-    # exact pruning before expanding texts to ids: ordered by (score desc,
-    # smallest id of the text), an id in a query's top k belongs to one of
-    # the first k texts (k + 1 when the query's own id is excluded)
+    queries = corpus.select(*scope, F.col("__cid").alias("__qid"), "__text") if self_search else queries.select(
+        *scope, F.col(qid).alias("__qid"), F.col(text).alias("__text")).filter(F.col("__text").isNotNull())
+    idf = fit_idf(corpus, "__cid", "__text", scope, tokens_col)
+
+    # a text goes by its smallest id
+    ctexts = corpus.groupBy(*scope, "__text").agg(
+        F.min("__cid").alias("__c"), *([F.first(tokens_col).alias("__toks")] if tokens_col else []))
+    qtexts = queries.groupBy(*scope, "__text").agg(F.min("__qid").alias("__q"))
+    cw = weigh(ctexts, [*scope, "__c"], "__text", idf, scope, "__toks" if tokens_col else None)
+    qw = cw.withColumnRenamed("__c", "__q") if self_search else weigh(qtexts, [*scope, "__q"], "__text", idf, scope)
+    best = F.round("score", RANK_DIGITS).desc()
+
+    def top(df, by, second, n, rank):
+        w = Window.partitionBy(*scope, by).orderBy(best, F.col(second).asc())
+        return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+
+    # ordered by (score desc, smallest id of the text), an id in a query's top
+    # k belongs to one of the first k texts (k + 1 when the query's own id is
+    # left out), and is among the k (k + 1) smallest ids of that text
     keep = k + (1 if exclude_self else 0)
-    wt = Window.partitionBy(*scope, "__qt").orderBy(F.round("score", RANK_DIGITS).desc(), F.col("__min_id").asc())
-    text_pairs = text_pairs.withColumn("__tr", F.row_number().over(wt)).filter(F.col("__tr") <= keep) \
-        .drop("__tr", "__min_id")
-
-    scored = (queries.withColumnRenamed(text, "__qt")
-              .join(text_pairs, scope + ["__qt"])
-              .join(corpus.select(*scope, cid, F.col(text).alias("__ct")), scope + ["__ct"])
-              .select(*scope, qid, cid, "score"))
+    texts = top(cosine_pairs(qw, cw, "__q", "__c", scope), "__q", "__c", keep, "__t").drop("__t")
+    lowest = Window.partitionBy(*scope, "__text").orderBy("__cid")
+    ids = corpus.select(*scope, "__text", "__cid").withColumn("__r", F.row_number().over(lowest)) \
+        .filter(F.col("__r") <= keep).join(ctexts.select(*scope, "__text", "__c"), [*scope, "__text"]) \
+        .select(*scope, "__c", "__cid")
+    scored = texts.join(ids, [*scope, "__c"]).select(*scope, "__q", "__cid", "score")
+    # zero-overlap padding: the lowest ids of the scope
+    first = Window.partitionBy(*scope).orderBy("__cid")
+    pads = qtexts.select(*scope, "__q").join(corpus.select(*scope, "__cid").withColumn(
+        "__r", F.row_number().over(first)).filter(F.col("__r") <= keep).drop("__r"), scope).select(
+        *scope, "__q", "__cid", F.lit(0.0).alias("score"))
+    found = scored.unionByName(pads).groupBy(*scope, "__q", "__cid").agg(F.max("score").alias("score"))
+    found = top(found, "__q", "__cid", keep, "rank")
+    # texts are expanded to their queries last
+    out = queries.join(qtexts, [*scope, "__text"]).select(*scope, "__qid", "__q").join(found, [*scope, "__q"])
     if exclude_self:
-        scored = scored.filter(F.col(qid) != F.col(cid))
-
-    # zero-overlap padding: the k (+1 when excluding self) lowest ids of the scope
-    pad_n = k + (1 if exclude_self else 0)
-    pool = corpus.select(*scope, cid)
-    if scope == ["__scope"]:
-        # one corpus: its pad_n lowest ids (a bounded list) ride along as a literal
-        ids = [r[0] for r in pool.select(cid).distinct().orderBy(cid).limit(pad_n).collect()]
-        lit_ids = F.array(*[F.lit(i) for i in ids]) if ids else F.array().cast(f"array<{pool.schema[cid].dataType.simpleString()}>")
-        pads = queries.select(*scope, qid, F.explode(lit_ids).alias(cid))
-    else:
-        wpad = Window.partitionBy(*scope).orderBy(cid)
-        pad_ids = pool.withColumn("__r", F.row_number().over(wpad)).filter(F.col("__r") <= pad_n).drop("__r")
-        pads = queries.select(*scope, qid).join(pad_ids, scope)
-    if exclude_self:
-        pads = pads.filter(F.col(qid) != F.col(cid))
-    pads = pads.join(scored.select(*scope, qid, cid), scope + [qid, cid], "left_anti") \
-        .withColumn("score", F.lit(0.0))
-    cands = scored.unionByName(pads)
-    w = Window.partitionBy(*scope, qid).orderBy(F.round("score", RANK_DIGITS).desc(), F.col(cid).asc())
-    return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        out = top(out.filter(F.col("__qid") != F.col("__cid")).drop("rank"), "__qid", "__cid", k, "rank")
+    return out.select(*scope, F.col("__qid").alias(qid), F.col("__cid").alias(cid), "score", "rank")
 
 
-def pair_cosine(pairs: DataFrame, left_text: str, right_text: str, key: list[str],
-                empty_vocab_null: bool = True) -> DataFrame:
+def _counted(toks) -> Column:
+    """Entries (token, count) of an array of tokens: runs of the sorted array."""
+    def runs(s):
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda st: F.transform(st, lambda p, n: F.struct(
+            F.get(s, p).alias("token"), (F.coalesce(F.get(st, n + 1), F.size(s)) - p).cast("double").alias("n"))))
+
+    none = F.array().cast("array<struct<token:string,n:double>>")
+    return F.when(F.size(toks) > 0, let(F.sort_array(toks), runs)).otherwise(none)
+
+
+def text_cosine(left, right, empty_vocab_null: bool = True) -> Column:
     """K3: TF-IDF cosine of two texts with the vectoriser fitted on the pair.
 
     With two documents a shared token has idf 1 and any other token
-    ``1 + ln(1.5)``, so the cosine has a closed form over the two token-count
-    tables (no per-pair model).  A side without tokens gives 0; both sides
-    without tokens give null (the vectoriser would fail: empty vocabulary)
-    unless ``empty_vocab_null`` is False.  Output: key..., cos.
+    ``1 + ln(1.5)``, so the cosine has a closed form over the two token counts:
+    one expression per pair, no token table.  A side without tokens (a null text
+    has none) gives 0; both sides without tokens give null (the vectoriser would
+    fail: empty vocabulary) unless ``empty_vocab_null`` is False.
     """
     other = 1.0 + math.log(1.5)
-    a = token_counts(pairs.select(*key, F.col(left_text).alias("__t")), key, "__t").withColumnRenamed("tf", "ta")
-    b = token_counts(pairs.select(*key, F.col(right_text).alias("__t")), key, "__t").withColumnRenamed("tf", "tb")
-    j = a.join(b, key + ["token"], "full_outer")
-    shared = F.col("ta").isNotNull() & F.col("tb").isNotNull()
-    idf = F.when(shared, F.lit(1.0)).otherwise(F.lit(other))
-    agg = j.groupBy(*key).agg(
-        F.sum(F.when(shared, F.col("ta") * F.col("tb"))).alias("__dot"),
-        F.sum(F.pow(F.coalesce(F.col("ta"), F.lit(0)) * idf, 2)).alias("__na"),
-        F.sum(F.pow(F.coalesce(F.col("tb"), F.lit(0)) * idf, 2)).alias("__nb"))
-    cos = F.when((F.col("__na") > 0) & (F.col("__nb") > 0),
-                 F.coalesce(F.col("__dot"), F.lit(0.0)) / F.sqrt(F.col("__na") * F.col("__nb"))).otherwise(F.lit(0.0))
-    scored = agg.select(*key, cos.alias("cos"))
-    empty = F.lit(None).cast("double") if empty_vocab_null else F.lit(0.0)
-    return pairs.select(*key).distinct().join(scored, key, "left") \
-        .select(*key, F.coalesce(F.col("cos"), empty).alias("cos"))
+
+    def toks(c):
+        return F.coalesce(tokens(c), F.array().cast("array<string>"))
+
+    def cosine(ab):
+        a, b = ab["a"], ab["b"]
+
+        def norm(x, y):
+            shared = F.transform(y, lambda e: e["token"])
+            return F.aggregate(x, F.lit(0.0), lambda acc, e: acc + F.pow(e["n"] * F.when(
+                F.array_contains(shared, e["token"]), 1.0).otherwise(other), 2))
+
+        both = F.map_from_entries(b)
+        dot = F.aggregate(a, F.lit(0.0), lambda acc, e: acc + e["n"] * F.coalesce(
+            F.try_element_at(both, e["token"]), F.lit(0.0)))
+        empty = F.lit(None).cast("double") if empty_vocab_null else F.lit(0.0)
+        return F.when((F.size(a) == 0) & (F.size(b) == 0), empty).when(
+            (F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(dot / F.sqrt(norm(a, b) * norm(b, a)))
+
+    return let(F.struct(_counted(toks(left)).alias("a"), _counted(toks(right)).alias("b")), cosine)
+
+
+def pair_cosine(pairs: DataFrame, left_text: str, right_text: str, key: list[str],
+                empty_vocab_null: bool = True) -> DataFrame:
+    """K3 for every row of ``pairs``: key..., cos."""
+    return pairs.select(*key, text_cosine(left_text, right_text, empty_vocab_null).alias("cos"))

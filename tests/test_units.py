@@ -259,3 +259,35 @@ def test_digest_ranks_are_dense(spark):
     want = sorted((r.o, r.cand_id) for r in rows)
     assert [(r.o, r.cand_id) for r in sorted(rows, key=lambda r: r["__rank"])] == want
     assert sorted(r["__rank"] for r in rows) == list(range(1, 501))
+
+
+def test_grouped_median_equals_numpy(spark):
+    import numpy as np
+    from jobsift.operators import aggregates
+    rng = np.random.default_rng(4)
+    rows = [(g, float(x)) for g, n in (("a", 1), ("b", 2), ("c", 101), ("d", 30000)) for x in np.round(rng.normal(size=n), 3)]
+    df = spark.createDataFrame(rows + [("a", None), ("e", None)], "g string, x double")
+    got = {r.g: r.median for r in aggregates.grouped_median(df, ["g"], "x").collect()}
+    assert got == {g: float(np.median([x for h, x in rows if h == g])) for g in "abcd"}
+    assert aggregates.grouped_median(df, [], "x").first()[0] == float(np.median([x for _, x in rows]))
+
+
+def test_one_text_on_many_ids_and_one_token_everywhere(spark):
+    """50,000 ids share one text and every text has one token in common: ranks
+    stay right, and the common token's pairs are split into bounded tasks."""
+    from jobsift.operators import tfidf
+    from pyspark.sql import functions as F
+    many = spark.range(50000).select(F.col("id").alias("vacancy_id"), F.lit("common text here").alias("text"))
+    rest = spark.range(50000, 50300).select(F.col("id").alias("vacancy_id"), F.concat(
+        F.lit("common word"), F.col("id").cast("string")).alias("text"))
+    queries = spark.createDataFrame([(1, "common text here"), (2, "common word50007"), (3, "nothing")], "query_id long, text string")
+    got = {}
+    for r in tfidf.tfidf_top_k(queries, many.unionByName(rest), 3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vacancy_id))
+    assert sorted(got[1]) == [(1, 0), (2, 1), (3, 2)] and min(got[2]) == (1, 50007)
+    assert sorted(got[3]) == [(1, 0), (2, 1), (3, 2)]
+    one = spark.range(3000).select(F.col("id").alias("i"), F.lit("t").alias("token"), F.lit(0.5).alias("w"))
+    pairs = tfidf.cosine_pairs(one.select(F.lit(0).alias("s"), F.col("i").alias("q"), "token", "w"),
+                               one.select(F.lit(0).alias("s"), F.col("i").alias("c"), "token", "w"), "q", "c", ["s"],
+                               pairs_per_task=100_000)
+    assert pairs.count() == 9_000_000 and pairs.agg(F.sum("score")).first()[0] == 0.25 * 9_000_000
