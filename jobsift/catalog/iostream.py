@@ -67,10 +67,13 @@ def s8_append_sink(spark, d):
 WHERE user_id % 5 <> 0
 UNION ALL SELECT user_id, round(compensation_from * 1.1, 6), area_id FROM request WHERE user_id % 5 = 0""", "request"))
 def s10_keyed_upsert(spark, d):
-    """New profiles of every fifth user replace the stored ones."""
+    """New profiles of every fifth user replace the stored ones; the table
+    is written, updated by key and scanned again."""
     r = fx.request(spark, d).select("user_id", "compensation_from", "area_id")
     new = r.filter(F.col("user_id") % 5 == 0).withColumn("compensation_from", F.col("compensation_from") * 1.1)
-    out = io.keyed_upsert(r, new, ["user_id"])
+    path = io.scratch_path(spark, "s10")
+    r.write.parquet(path)
+    out = spark.read.parquet(io.upsert_table(spark, path, new, ["user_id"]))
     return out.select("user_id", F.round("compensation_from", 6).alias("compensation_from"), "area_id")
 
 

@@ -291,3 +291,22 @@ def test_one_text_on_many_ids_and_one_token_everywhere(spark):
                                one.select(F.lit(0).alias("s"), F.col("i").alias("c"), "token", "w"), "q", "c", ["s"],
                                pairs_per_task=100_000)
     assert pairs.count() == 9_000_000 and pairs.agg(F.sum("score")).first()[0] == 0.25 * 9_000_000
+
+
+def test_json_files_that_hold_one_array(spark, tmp_path):
+    from jobsift.sources import io
+    (tmp_path / "a.json").write_text('[{"id": 1, "name": "x"},\n {"id": 2, "name": "ы"}]', encoding="utf-8")
+    (tmp_path / "b.json").write_text('[]', encoding="utf-8")
+    (tmp_path / "c.json").write_text('[{"id": 3}]', encoding="utf-8")
+    rows = io.read_json(spark, str(tmp_path), "id BIGINT, name STRING", multiline=True).collect()
+    assert sorted((r.id, r.name) for r in rows) == [(1, "x"), (2, "ы"), (3, None)]
+
+
+def test_upsert_is_written_back(spark, tmp_path):
+    from jobsift.sources import io
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.parquet(path)
+    new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
+    after = io.upsert_table(spark, path, new, ["k"])
+    assert sorted(map(tuple, spark.read.parquet(after).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "b")]
