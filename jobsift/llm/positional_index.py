@@ -217,7 +217,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ids are judged row by row; repeated items count once, by id; an item without
     an id is named by the empty string.  An empty benchmark finds nothing.
     """
-    index = build_index(docs, id_col, text_col)
+    return judge(build_index(docs, id_col, text_col), benchmark, id_col, item_col, item_text, window, slop)
+
+
+def judge(index: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id",
+          item_text: str = "text", window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """``decontaminate`` with an index that is already built."""
     found = [search(index, items, window, slop) for items in _pieces(benchmark, item_col, item_text)]
     rows = index.select("block", F.posexplode(F.arrays_zip("ids", "n_words")).alias("doc", "x")).select(
         "block", "doc", F.col("x.ids").alias(id_col), F.col("x.n_words").alias("n_words"))
@@ -244,10 +249,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all columns."""
-    table = B.stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    bad = decontaminate(table, benchmark, "__row", text_col).filter("contaminated").select("__row")
-    return table.join(bad, "__row", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are not contaminated, with all columns.  The
+    verdict follows from the text, so rows are told by its digest; the index is
+    deleted once the contaminated digests are stored."""
+    keyed = docs.withColumn("__key", F.md5(F.col(text_col).cast("binary")))
+    index = build_index(keyed, "__key", text_col)
+    bad = B.stored(judge(index, benchmark, "__key").filter("contaminated").select("__key").distinct(), "contaminated")
+    B.dropped(index)
+    return keyed.join(bad, "__key", "left_anti").select(*docs.columns)
 
 
 def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobsift.llm import blocks as B
@@ -209,12 +209,24 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: the one with the smallest id (null
-    last; of rows that repeat an id, the first written)."""
-    table = B.stored(fingerprints(docs, text_col).withColumn("__row", F.monotonically_increasing_id()), "prints")
-    slim = table.select(id_col, "__fp", "__row")
+    last; of rows that repeat an id, the one with the smallest hash of its
+    text, and one of those that repeat the text as well).
+
+    Only ids, text hashes and fingerprints are stored; the rows are picked from
+    ``docs`` by id and text hash.
+    """
+    keyed = docs.withColumn("__hash", F.xxhash64(text_col))
+    slim = B.stored(fingerprints(keyed.select(id_col, text_col, "__hash"), text_col).select(
+        id_col, "__hash", "__fp"), "prints")
     first = classes(slim, id_col).groupBy("__root").agg(F.min(F.struct(
-        F.col(id_col).isNull().alias("x"), F.col(id_col).alias("y"), "__row")).alias("k"))
-    return table.join(first.select(F.col("k.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+        F.col(id_col).isNull().alias("x"), F.col(id_col).alias("y"), F.col("__hash").alias("z"))).alias("k"))
+    # null ids are joined as a value of their own
+    key = {"__id": F.coalesce(F.col(id_col), F.lit(0)), "__none": F.col(id_col).isNull()}
+    kept = first.select(F.coalesce("k.y", F.lit(0)).alias("__id"), F.col("k.x").alias("__none"), F.col("k.z").alias("__hash"))
+    keys = ["__id", "__none", "__hash"]
+    repeat = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    return keyed.withColumns(key).join(kept, keys, "left_semi").withColumn("__repeat", repeat).filter(
+        "__repeat = 1").select(*docs.columns)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
