@@ -217,9 +217,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    known = docs.select(id_col, text_col).join(labels_of(labels, id_col), id_col)
-    rules = learn(stored(statistics(known, text_col).drop(text_col), "stats"), id_col)
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    Statistics are computed twice, over all rows to learn from and over all rows
+    to judge them: a second reading costs less than shuffling the texts to join
+    them with labels or verdicts.
+    """
+    learnt = stored(statistics(docs.select(id_col, text_col), text_col).drop(text_col), "stats")
+    rules = learn_from(learnt, labels, id_col)
     stats = statistics(docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text")), "__text")
     # a filter on an unrepeatable column stays above the statistics; pushed
     # below them it would compute each of them once for every use
