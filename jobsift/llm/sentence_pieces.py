@@ -142,6 +142,46 @@ def two_best(model: Model, unit: str) -> tuple[float, float, list[int]]:
     return one[n], two[n], labels[::-1]
 
 
+class Path:
+    """Labels from a unit's end backwards, as the last one and a link to the
+    path before it, so a path costs the same whatever its length.  Paths order
+    as the tuples of their labels do; ``jump`` links far back (skew binary), so
+    the place where two paths part is found in logarithmic time."""
+
+    __slots__ = ("before", "label", "depth", "jump")
+
+    def __init__(self, before: Path | None = None, label: int = -1):
+        self.before, self.label = before, label
+        if before is None:
+            self.depth, self.jump = 0, self
+        else:
+            far = before.jump
+            self.depth = before.depth + 1
+            self.jump = far.jump if before.depth - far.depth == far.depth - far.jump.depth else before
+
+    def cut(self, depth: int) -> Path:
+        at = self
+        while at.depth > depth:
+            at = at.jump if at.jump.depth >= depth else at.before
+        return at
+
+    def __lt__(self, other: Path) -> bool:
+        a, b = self.cut(other.depth), other.cut(self.depth)
+        if a is b:
+            return self.depth < other.depth
+        while a.before is not b.before:
+            a, b = (a.before, b.before) if a.jump is b.jump else (a.jump, b.jump)
+        return a.label < b.label
+
+    def labels(self) -> list[int]:
+        """From the unit's start on."""
+        out, at = [], self
+        while at.before is not None:
+            out.append(at.label)
+            at = at.before
+        return out
+
+
 def n_best(into: list, k: int) -> list[tuple[float, list[int]]]:
     """The k best paths from place 0 to the last, in order: forward Viterbi
     scores, then A-star from the end with them as the exact heuristic."""
@@ -150,15 +190,19 @@ def n_best(into: list, k: int) -> list[tuple[float, list[int]]]:
         for u, s, _ in into[v]:
             if ahead[u] + s > ahead[v]:
                 ahead[v] = ahead[u] + s
-    heap: list = [(-ahead[-1], (), len(into) - 1, 0.0)]
+    heap: list = [(-ahead[-1], Path(), len(into) - 1, 0.0)]
     out: list = []
+    seen = [0] * len(into)
     while heap and len(out) < k:
-        total, labels, v, done = heappop(heap)
+        total, path, v, done = heappop(heap)
         if not v:
-            out.append((-total, list(labels[::-1])))
+            out.append((-total, path.labels()))
+            continue
+        seen[v] += 1
+        if seen[v] > k:  # behind k others from here, so not among the k best
             continue
         for u, s, i in into[v]:
-            heappush(heap, (-(ahead[u] + (s + done)), (*labels, i), u, s + done))
+            heappush(heap, (-(ahead[u] + (s + done)), Path(path, i), u, s + done))
     return out
 
 

@@ -1,6 +1,7 @@
 """Piece lattices, packing and the language model: brute force and invariants."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from math import log10
@@ -97,6 +98,37 @@ def test_units_forget_without_changing_results(model, monkeypatch):
     assert [S._encoded(units, [t], 2)[2][0][0]["score"] for t in texts] == want
 
 
+def test_paths_order_as_the_tuples_of_their_labels():
+    rng = random.Random(4)
+    paths = [((), S.Path())]
+    for _ in range(400):
+        labels, path = rng.choice(paths[-30:])
+        x = rng.randint(0, 3)
+        if (*labels, x) not in dict(paths):
+            paths.append(((*labels, x), S.Path(path, x)))
+    for _ in range(5000):
+        (a, p), (b, q) = rng.choice(paths), rng.choice(paths)
+        assert (p < q) == (a < b) and tuple(p.labels()[::-1]) == a
+
+
+def test_a_long_unit_costs_memory_by_its_length(model):
+    rng = random.Random(6)
+    for size, mb in ((10_000, 40), (200_000, 400)):  # the short one first: it fails where the long one would not end
+        unit = " " + "".join(rng.choice("ABCDefgh0123+/") for _ in range(size))
+        tracemalloc.start()
+        best = S.n_best(S.edges(model, unit), 4)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < mb << 20
+        score, second, labels = S.two_best(model, unit)
+        assert best[0] == (score, labels) and best[1][0] == second
+        assert [s for s, _ in best] == sorted((s for s, _ in best), reverse=True)
+        assert len({tuple(x) for _, x in best}) == 4
+        assert all(b"".join(model.texts[i] for i in model.expand(x)) == unit.encode() for _, x in best)
+    flat, _, found = S._encoded(S.Units(model), [unit[1:]], 4)
+    assert [x["score"] for x in found[0]] == [s for s, _ in best] and flat.tolist() == model.expand(best[0][1])
+
+
 def test_best_fit_takes_the_least_room():
     rng = random.Random(3)
     for length in (1, 7, 64, 100):
