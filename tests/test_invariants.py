@@ -162,3 +162,32 @@ def test_recommender_does_not_change_as_its_area_grows(spark):
     _, b = rc.recommend_initial(req, many, stages=True)
     cols = ["request_id", "title", "title_rank"]
     assert sorted(map(tuple, a["top_titles"].select(*cols).collect())) == sorted(map(tuple, b["top_titles"].select(*cols).collect()))
+
+
+def test_titles_beyond_an_areas_first_fifty_are_found(spark):
+    """The first 60 titles of an area fail the salary floor; the list holds the
+    candidates after them, also where no word is shared."""
+    from jobsift.plans import recommend as rc
+    v = spark.createDataFrame(
+        [(i, "A", "python, sql", f"title{i:03d}", "noExperience", 10.0 if i < 60 else 1000.0) for i in range(130)],
+        "vacancy_id long, area_id string, keySkills_str string, name_raw string, workExperience string, compensation_from double")
+    req = spark.createDataFrame(
+        [(1, "unheard", 1000.0, "A", "noExperience", "python", False, True),
+         (2, "title125", 1000.0, "A", "noExperience", None, True, True),
+         (3, "unheard", 1000.0, None, "noExperience", None, False, True),
+         (4, "unheard", 1000.0, "A", "noExperience", None, False, False)],
+        "request_id long, title string, compensation_from double, area_id string, workExperience string, skills string, "
+        "by_experience boolean, by_salary boolean")
+    out, st = rc.recommend_initial(req, v, stages=True)
+    found = {}
+    for r in st["top_titles"].orderBy("title_rank").collect():
+        found.setdefault(r.request_id, []).append(r.title)
+    rich = [f"title{i:03d}" for i in range(60, 130)]
+    assert found[1] == found[3] == rich[:50]
+    assert found[2] == ["title125", *rich[:49]]
+    assert found[4] == [f"title{i:03d}" for i in range(50)]
+    got = {}
+    for r in out.orderBy("rank").collect():
+        got.setdefault(r.request_id, []).append(r.vacancy_id)
+    assert sorted(got) == [1, 2, 3, 4] and all(len(x) == 5 for x in got.values())
+    assert got[1] == got[3] == [60, 61, 62, 63, 64] and got[2] == [125, 60, 61, 62, 63]
