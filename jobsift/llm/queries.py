@@ -5,8 +5,8 @@ from __future__ import annotations
 from functools import wraps
 
 from jobsift.llm import (
-    language_spans, license_scan, packed_ids, pitman_yor, positional_index, quality_rules,
-    sentence_pieces, shard_hash, simhash_dedup, substring_dedup,
+    cross_tokens, language_spans, license_scan, packed_ids, pitman_yor, positional_index, quality_rules,
+    sentence_pieces, shard_hash, simhash_dedup, substring_dedup, tag_paths, whitening,
 )
 from jobsift.llm.blocks import importable
 
@@ -30,6 +30,9 @@ QUERIES = {fn.__name__: _query(fn) for fn in (
     quality_rules.op8_quality_rules,
     shard_hash.op9_jump_shards,
     simhash_dedup.op10_simhash_near_dedup,
+    tag_paths.op11_main_text,
+    whitening.op12_whitened_embeddings,
+    cross_tokens.op13_token_alignment,
 )}
 ORACLE = {
     "op4_positional_index": positional_index.ORACLE,
