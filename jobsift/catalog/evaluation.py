@@ -11,6 +11,7 @@ from jobsift.catalog import register
 from jobsift.catalog.sqlviews import with_views as W
 from jobsift.catalog.textsim import tok
 from jobsift.operators import aggregates, sampling
+from jobsift.operators.running import group_ranks
 from jobsift.plans import evaluate as ev
 from jobsift.session import materialize
 from jobsift.sources import fixtures as fx
@@ -27,11 +28,14 @@ def predictions(spark, d, k: int = 10):
         .select("user_id", "vacancy_id", "rank")
 
 
-def truth(spark, d):
+def truth(spark, d, ranked=False):
+    """(user_id, vacancy_id), and with ``ranked`` the item's place ``pos`` in the
+    user's test period; a user may have any number of items."""
     i = fx.interaction(spark, d).filter(~F.col("is_train") & F.col("action_type").isin(1, 3))
-    first = i.groupBy("user_id", "vacancy_id").agg(F.min("action_dt").alias("t"))
-    w = Window.partitionBy("user_id").orderBy("t", "vacancy_id")
-    return first.withColumn("pos", F.row_number().over(w)).select("user_id", "vacancy_id", "pos")
+    if not ranked:
+        return i.select("user_id", "vacancy_id").distinct()
+    first = materialize(i.groupBy("user_id", "vacancy_id").agg(F.min("action_dt").alias("t")))
+    return group_ranks(first, ["user_id"], ["t", "vacancy_id"], "pos").select("user_id", "vacancy_id", "pos")
 
 
 def _k3_ctes(p: str, src: str, ta: str, tb: str) -> dict[str, str]:
@@ -94,8 +98,8 @@ def EW(sql):
     return W(sql, "vacancy", "interaction", extra=EVAL_CTES)
 
 
-def _feats(spark, d):
-    p, t = predictions(spark, d), truth(spark, d)
+def _feats(spark, d, ranked=False):
+    p, t = predictions(spark, d), truth(spark, d, ranked)
     pairs = ev.truth_pred_pairs(p, t)
     feats = ev.pair_features(pairs, fx.vacancy(spark, d))
     return p, t, pairs, feats
@@ -136,7 +140,7 @@ def v7_pair_rate(spark, d):
   SELECT p.user_id, p.b, min(CASE WHEN found AND sim > 0.75 THEN true_pos END) AS first_pos
   FROM pairs p JOIN fs USING (a, b) WHERE found_b GROUP BY p.user_id, p.b) GROUP BY user_id"""))
 def v8_similarity_mrr(spark, d):
-    _, _, pairs, f = _feats(spark, d)
+    _, _, pairs, f = _feats(spark, d, ranked=True)
     return ev.similarity_mrr(pairs, f, 0.75).select("user_id", r6("mrr").alias("mrr"))
 
 
@@ -219,7 +223,7 @@ FROM (SELECT DISTINCT p.user_id, p.b, fs.wsim FROM pairs p JOIN fs USING (a, b)
 def v15_similarity_ordered(spark, d):
     """Each user's predictions ordered by weighted similarity to the
     user's first true item, lowest first (the reference's order, Q2)."""
-    _, _, pairs, f = _feats(spark, d)
+    _, _, pairs, f = _feats(spark, d, ranked=True)
     s = f.select("a", "b", ev.weighted_similarity().alias("wsim"))
     j = pairs.filter(F.col("true_pos") == 1).join(s, ["a", "b"]).select("user_id", "b", "wsim").distinct()
     w = Window.partitionBy("user_id").orderBy(F.round("wsim", 9), "b")
@@ -231,6 +235,6 @@ def v15_similarity_ordered(spark, d):
   CAST(pred_rank AS BIGINT) AS pred_rank FROM pairs"""))
 def j8_truth_pred_pairs(spark, d):
     """Every true item of a user with every predicted one (|truth| x k)."""
-    p = ev.truth_pred_pairs(predictions(spark, d), truth(spark, d))
+    p = ev.truth_pred_pairs(predictions(spark, d), truth(spark, d, ranked=True))
     return p.select("user_id", F.col("a").alias("true_id"), F.col("b").alias("pred_id"),
                     F.col("true_pos").cast("bigint"), F.col("pred_rank").cast("bigint"))

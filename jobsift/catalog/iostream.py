@@ -86,15 +86,15 @@ def s11_text_dictionary(spark, d):
     return io.read_dictionary(spark, path)
 
 
-@register("s12_dataset_folders", """SELECT source AS name, doc_id FROM (SELECT source, doc_id, row_number() OVER
+@register("s12_dataset_folders", """SELECT source AS name, doc_id, md5(text) AS text_md5 FROM (SELECT source, doc_id, text, row_number() OVER
   (PARTITION BY source ORDER BY md5(concat('42', CAST(doc_id AS VARCHAR))), doc_id) AS r FROM documents) WHERE r <= 50""")
 def s12_dataset_folders(spark, d):
     """Documents written as one JSON dataset folder per source, read
     back with the dataset name and at most 50 examples per dataset."""
     path = io.scratch_path(spark, "s12")
-    table(spark, d, "documents").select("doc_id", "source", "lang").write.partitionBy("source").json(path)
-    out = io.read_datasets(spark, path, 50, "doc_id", schema="doc_id BIGINT, lang STRING")
-    return out.select("name", "doc_id")
+    table(spark, d, "documents").select("doc_id", "source", "text").write.partitionBy("source").json(path)
+    out = io.read_datasets(spark, path, 50, "doc_id", schema="doc_id BIGINT, text STRING")
+    return out.select("name", "doc_id", F.md5("text").alias("text_md5"))
 
 
 _EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"

@@ -143,11 +143,11 @@ def _liked(spark, d):
     return i.select("user_id", "vacancy_id").distinct()
 
 
-def _area_neighbours(spark, d, queries, k):
+def _area_neighbours(spark, d, queries, k, k_col=None):
     v = fx.vacancy(spark, d).filter(F.col("keySkills_str").isNotNull())
     docs = v.select("area_id", "vacancy_id", F.col("keySkills_str").alias("text"))
     q = queries.join(docs.withColumnRenamed("vacancy_id", "query_id"), "query_id")
-    return tfidf.tfidf_top_k(q, docs, k, scope=["area_id"])
+    return tfidf.tfidf_top_k(q, docs, k, scope=["area_id"], k_col=k_col)
 
 
 _R7_CTES = topk_sql(
@@ -210,6 +210,8 @@ def r10_neighbour_voting(spark, d):
 
 # ------------------------------------------------------------ R8
 _CAT_COLS = ["workExperience", "workSchedule", "employment"]
+# Text neighbours per liked item of users with few and more of them.
+LIGHT, LIGHT_K, HEAVY_K = 2, 50, 20
 
 
 def mismatch_weight(prefix_a: str, prefix_b: str, cols=_CAT_COLS):
@@ -227,7 +229,9 @@ def mismatch_weight(prefix_a: str, prefix_b: str, cols=_CAT_COLS):
 @register("r8_two_stage_knn", W("""
 , liked AS (SELECT DISTINCT i.user_id, i.vacancy_id FROM interaction i JOIN vacancy v ON v.vacancy_id = i.vacancy_id
             WHERE i.is_train AND i.action_type IN (1, 3) AND v.keySkills_str IS NOT NULL),
-pool AS (SELECT DISTINCT l.user_id, t.cid AS vacancy_id FROM liked l JOIN topk t ON t.qid = l.vacancy_id),
+hist AS (SELECT user_id, CASE WHEN count(*) <= 2 THEN 50 ELSE 20 END AS k FROM liked GROUP BY user_id),
+pool AS (SELECT DISTINCT l.user_id, t.cid AS vacancy_id FROM liked l JOIN hist USING (user_id)
+         JOIN topk t ON t.qid = l.vacancy_id AND t.rank <= hist.k),
 msc AS (SELECT l.user_id, l.vacancy_id AS liked_id, p.vacancy_id,
   (CASE WHEN a.workExperience = b.workExperience THEN 0 ELSE 2 END + CASE WHEN a.workSchedule = b.workSchedule THEN 0 ELSE 2 END
    + CASE WHEN a.employment = b.employment THEN 0 ELSE 2 END) AS w
@@ -238,11 +242,12 @@ SELECT user_id, liked_id, vacancy_id, CAST(w AS INTEGER) AS weight, CAST(rank AS
 """, "vacancy", "interaction", extra=topk_sql(
     "SELECT area_id AS scope, vacancy_id AS cid, keySkills_str AS text FROM vacancy WHERE keySkills_str IS NOT NULL",
     """SELECT area_id AS scope, vacancy_id AS qid, keySkills_str AS text FROM vacancy WHERE keySkills_str IS NOT NULL
-       AND vacancy_id IN (SELECT vacancy_id FROM interaction WHERE is_train AND action_type IN (1, 3))""", 20)
+       AND vacancy_id IN (SELECT vacancy_id FROM interaction WHERE is_train AND action_type IN (1, 3))""", 50)
 ).replace("\n\n, liked AS", ", liked AS", 1))
 def r8_two_stage_knn(spark, d):
-    """Stage 1 pools each user's text neighbours, 20 per liked item; stage 2
-    ranks the pool for every liked item by categorical mismatch (K5), 10 per item.
+    """Stage 1 pools each user's text neighbours, 20 per liked item and 50 for
+    users with at most two of them; stage 2 ranks the pool for every liked item by
+    categorical mismatch (K5), 10 per item.
 
     Stage 2 never pairs every liked item with every pool item: the pool is
     reduced to categorical classes (at most the product of the category
@@ -250,9 +255,12 @@ def r8_two_stage_knn(spark, d):
     """
     v = fx.vacancy(spark, d)
     liked = _liked(spark, d).join(v.filter(F.col("keySkills_str").isNotNull()).select("vacancy_id"), "vacancy_id")
-    nn = _area_neighbours(spark, d, liked.select(F.col("vacancy_id").alias("query_id")).distinct(), 20)
-    pool = liked.join(nn.select(F.col("query_id").alias("vacancy_id"), F.col("vacancy_id").alias("nb")), "vacancy_id") \
-        .select("user_id", F.col("nb").alias("vacancy_id")).distinct()
+    size = liked.groupBy("user_id").agg(F.when(F.count("*") <= LIGHT, LIGHT_K).otherwise(HEAVY_K).alias("k"))
+    wanted = liked.join(size, "user_id")
+    asked = wanted.groupBy(F.col("vacancy_id").alias("query_id")).agg(F.max("k").alias("k"))
+    nn = _area_neighbours(spark, d, asked, LIGHT_K, "k")
+    pool = wanted.join(nn.select(F.col("query_id").alias("vacancy_id"), F.col("vacancy_id").alias("nb"), "rank"), "vacancy_id") \
+        .filter(F.col("rank") <= F.col("k")).select("user_id", F.col("nb").alias("vacancy_id")).distinct()
     cats = v.select("vacancy_id", *_CAT_COLS)
     pc = pool.join(cats, "vacancy_id")
     cls = top_k_per_group(pc, ["user_id", *_CAT_COLS], [F.col("vacancy_id")], 10, "__r") \

@@ -12,6 +12,7 @@ from jobsift.operators import joins
 from jobsift.operators import vectors as vx
 from jobsift.plans import training as tr
 from jobsift.sources import fixtures as fx
+from jobsift.sources import io
 from jobsift.sources.tables import table
 
 
@@ -230,19 +231,44 @@ def m13_validation_table(spark, d):
         .select("user_id", "probe_id", r6("compensation_from").alias("salary"), F.col("n_truth").cast("bigint"))
 
 
+@register("m13b_train_test_pairs", W("""
+, lists AS (SELECT is_train, user_id, session_id, max((action_dt, event_id)) AS ended,
+    list_sort(list(DISTINCT vacancy_id) FILTER (WHERE action_type = 3)) AS likes,
+    list_sort(list(DISTINCT vacancy_id) FILTER (WHERE action_type = 1)) AS responses
+  FROM interaction GROUP BY ALL HAVING count(*) FILTER (WHERE action_type = 3) > 0 AND count(*) FILTER (WHERE action_type = 1) > 0),
+last AS (SELECT user_id, arg_max(likes, ended) AS l, arg_max(responses, ended) AS r FROM lists WHERE is_train GROUP BY user_id)
+SELECT t.user_id, t.session_id, l[1] AS like_for_predict, r[1] AS response_for_predict,
+  array_to_string(t.likes, ',') AS likes_true, array_to_string(t.responses, ',') AS responses_true
+FROM last JOIN lists t ON t.user_id = last.user_id AND NOT t.is_train
+WHERE len(l) = 1 AND len(r) = 1 AND l[1] IN (SELECT vacancy_id FROM vacancy WHERE compensation_from IS NOT NULL)""",
+                                    "interaction", "vacancy").replace("\n\n, lists AS", ", lists AS", 1))
+def m13b_train_test_pairs(spark, d):
+    """The last train session's lists paired with the test sessions'."""
+    i = fx.interaction(spark, d)
+    out = tr.train_test_pairs(i.filter("is_train"), i.filter("NOT is_train"), fx.vacancy(spark, d))
+    return out.select("user_id", "session_id", "like_for_predict", "response_for_predict",
+                      F.array_join("likes_true", ",").alias("likes_true"),
+                      F.array_join("responses_true", ",").alias("responses_true"))
+
+
 _PREFIX_SQL = """CASE CAST(substr(source, 4) AS INTEGER) % 3 WHEN 0 THEN 'query: ' WHEN 1 THEN 'passage: ' ELSE '' END"""
 
 
-@register("m14_prefix_stratification", f"""SELECT {_PREFIX_SQL} AS prefix, CAST(count(*) AS BIGINT) AS n_docs,
-  CAST(count(DISTINCT source) AS BIGINT) AS n_sources FROM documents GROUP BY 1""")
+@register("m14_prefix_stratification", f"""SELECT prefix, CAST(count(*) AS BIGINT) AS n_docs,
+  CAST(count(DISTINCT source) AS BIGINT) AS n_sources, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS n_chars
+FROM (SELECT *, {_PREFIX_SQL} AS prefix, row_number() OVER (PARTITION BY source
+  ORDER BY md5(concat('42', CAST(doc_id AS VARCHAR))), doc_id) AS r FROM documents) WHERE r <= 1000 GROUP BY 1""")
 def m14_prefix_stratification(spark, d):
-    """Sources mapped to a prefix configuration (a table, joined), then
-    documents counted per prefix."""
+    """Dataset folders and a file that maps them to prefixes, both read
+    back; examples (at most 1000 a dataset, S12) grouped by prefix."""
     docs = table(spark, d, "documents")
-    cfg = docs.select("source").distinct().select(
-        "source", F.expr(_PREFIX_SQL.replace("INTEGER", "INT")).alias("prefix"))
-    return docs.join(cfg, "source").groupBy("prefix").agg(F.count("*").alias("n_docs"),
-                                                          F.count_distinct("source").alias("n_sources"))
+    path, prefixes = io.scratch_path(spark, "m14"), io.scratch_path(spark, "m14-prefixes")
+    docs.select("doc_id", "source", "text").write.partitionBy("source").json(path)
+    entry = F.struct(F.col("source"), F.expr(_PREFIX_SQL.replace("INTEGER", "INT")).alias("prefix"))
+    docs.select("source").distinct().agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).write.text(prefixes)
+    rows = io.read_by_prefix(spark, path, prefixes, 1000, "doc_id", "doc_id BIGINT, text STRING")
+    return rows.groupBy("prefix").agg(F.count("*").alias("n_docs"), F.count_distinct("name").alias("n_sources"),
+                                      F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("n_chars"))
 
 
 @register("m10b_prefixed_groups", W(f"""SELECT query_id, CAST(slot AS INTEGER) AS slot, cand_id,

@@ -6,11 +6,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobsift.catalog import register
+from jobsift.catalog.basic import _PARTS_SQL
 from jobsift.catalog.evaluation import EVAL_CTES, predictions
 from jobsift.catalog.sqlviews import with_views as W
 from jobsift.functions import codes
+from jobsift.functions.titles import clean_title
 from jobsift.operators import vectors as vx
 from jobsift.sources import fixtures as fx
+from jobsift.sources import io
+from jobsift.sources.embeddings import EmbeddingStore
 from jobsift.sources.tables import table
 
 
@@ -162,6 +166,28 @@ def k10_texts_to_embed(spark, d):
     return vx.texts_to_embed(docs.select("text"), stored)
 
 
+@register("k10_embedding_store", W(f"""
+, title AS (SELECT DISTINCT ({_PARTS_SQL})[1] AS t FROM vacancy),
+asked AS (SELECT DISTINCT title AS t FROM request),
+run1 AS (SELECT t FROM title WHERE t IS NOT NULL),
+run2 AS (SELECT t FROM run1 UNION SELECT t FROM asked WHERE t IS NOT NULL)
+SELECT 1 AS run, (SELECT count(*) FROM run1) AS n_texts, (SELECT count(*) FROM run1) AS n_encoded, (SELECT count(*) FROM run1) AS n_stored
+UNION ALL SELECT 2, (SELECT count(*) FROM run2), (SELECT count(*) FROM run2) - (SELECT count(*) FROM run1), (SELECT count(*) FROM run2)
+UNION ALL SELECT 3, (SELECT count(*) FROM run2), 0, (SELECT count(*) FROM run2)""", "vacancy", "request").replace(
+    "\n\n, title AS", ", title AS", 1))
+def k10_embedding_store(spark, d):
+    """Three runs against one store: the catalogue's titles, those and the
+    requests' titles, the same again, which encodes nothing."""
+    store = EmbeddingStore(spark, io.scratch_path(spark, "k10"))
+    titles = fx.vacancy(spark, d).select(clean_title("name_raw").alias("t"))
+    both = titles.union(fx.request(spark, d).select("title"))
+    rows = []
+    for run, texts in enumerate((titles, both, both), 1):
+        n = texts.filter("t IS NOT NULL").distinct().count()
+        rows.append((run, n, store.update(texts, "t", prefix="query: "), store.load().count()))
+    return spark.createDataFrame(rows, "run int, n_texts long, n_encoded long, n_stored long")
+
+
 @register("k6_lsh_top_k")
 def k6_lsh_top_k(spark, d):
     """K6: approximate top-10 by LSH + exact re-rank (rows-only check;

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobsift.operators.running import overall_ranks
+
 
 def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """0-based rank of the value among the sorted distinct values.
 
-    The ranking window runs over the *distinct values* only (the category
-    dictionary, far smaller than the fact table); the codes are joined back
-    with an equi join that AQE turns into a broadcast when the dictionary is
-    small at run time.
+    The distinct values (any number of them) are ranked by prefix sums; the codes
+    are joined back with an equi join that AQE turns into a broadcast when they
+    are few at run time.
     """
     out = out or f"{col}_encoder"
     values = df.select(col).where(F.col(col).isNotNull()).distinct()
-    codes = values.withColumn(out, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("bigint"))
+    codes = overall_ranks(values, [col], out).withColumn(out, F.col(out) - 1)
     return df.join(codes, col, "left")
 
 

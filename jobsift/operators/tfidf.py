@@ -7,7 +7,9 @@ more word characters.
 
 Top-k search never builds a document x document matrix: documents meet only
 through shared tokens (equi join on ``(scope, token)``), partial sums are
-aggregated per pair, and the per-query cut is a WindowGroupLimit.  Each
+aggregated per pair, and the per-query cut is a WindowGroupLimit.  Tokens too
+common to decide a query's best candidates are left out of the join
+(``best_pairs``).  Each
 distinct text is scored once under its smallest id (titles and skill strings
 repeat heavily); only ids are shuffled, and of a text's ids only those that can
 reach a top k are joined back.
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsift.functions.text import let, tokens
+from jobsift.session import materialize
 
 # ranking uses scores rounded to this many places, so that sums of the same
 # products merged in another order cannot swap tied candidates
@@ -68,56 +71,121 @@ def weigh(docs: DataFrame, doc_key: list[str], text: str, idf: DataFrame,
 PAIRS_PER_TASK = 2_000_000
 
 
-def cosine_pairs(qw: DataFrame, cw: DataFrame, qid: str, cid: str, scope: list[str],
-                 pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
-    """Cosine of every (query, candidate) pair sharing at least one token.
-
-    The join output of a token is the product of its document frequencies on
-    both sides, not the bytes shuffled.  A token whose product exceeds
-    ``pairs_per_task`` is split into as many parts as that needs: its candidates
-    are dealt out by id and its queries copied to each part.  Other tokens, which
-    are nearly all, are neither dealt nor copied.  Both sides are repartitioned
-    to a fixed count, so that AQE, which sees bytes, can't put the parts of a
-    token back into one task.  Partial sums are aggregated map-side.
+def dealt(q: DataFrame, c: DataFrame, keys: list[str], by: str,
+          pairs_per_task: int = PAIRS_PER_TASK) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a join on ``keys`` with ``__part``, and the keys with it.
+
+    The join output of a key is the product of its rows on both sides, not the
+    bytes shuffled.  A key whose product exceeds ``pairs_per_task`` is split into
+    as many parts as that needs: its rows of ``c`` are dealt out by ``by`` and its
+    rows of ``q`` copied to each part.  Other keys, which are nearly all, are
+    neither dealt nor copied.  Both sides are repartitioned to a fixed count, so
+    that AQE, which sees bytes, can't put the parts of a key back into one task.
     """
-    n = int(qw.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    keys = [*scope, "token"]
+    n = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     parts = F.ceil(F.col("__nq") / pairs_per_task * F.col("__nc")).cast("int")
-    hot = qw.groupBy(*keys).agg(F.count("*").alias("__nq")).join(
-        cw.groupBy(*keys).agg(F.count("*").alias("__nc")), keys).select(*keys, parts.alias("__parts")).filter("__parts > 1")
-    q = qw.join(hot, keys, "left").select(*scope, F.col(qid).alias("__q"), "token", F.col("w").alias("__wq"), F.explode(
-        F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)).alias("__part"))
-    c = cw.join(hot, keys, "left").select(*scope, F.col(cid).alias("__c"), "token", F.col("w").alias("__wc"), F.pmod(
-        F.xxhash64(F.col(cid)), F.coalesce("__parts", F.lit(1))).cast("int").alias("__part"))
+    hot = q.groupBy(*keys).agg(F.count("*").alias("__nq")).join(
+        c.groupBy(*keys).agg(F.count("*").alias("__nc")), keys).select(*keys, parts.alias("__parts")).filter("__parts > 1")
+    q = q.join(hot, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+    c = c.join(hot, keys, "left").withColumn("__part", F.pmod(F.xxhash64(by), F.coalesce("__parts", F.lit(1))).cast("int"))
     keys = [*keys, "__part"]
-    return (q.repartition(n, *keys).join(c.repartition(n, *keys), keys)
-            .groupBy(*scope, "__q", "__c").agg(F.sum(F.col("__wq") * F.col("__wc")).alias("score"))
+    return q.drop("__parts").repartition(n, *keys), c.drop("__parts").repartition(n, *keys), keys
+
+
+def cosine_pairs(qw: DataFrame, cw: DataFrame, qid: str, cid: str, scope: list[str],
+                 pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """Cosine of every (query, candidate) pair sharing at least one token; hot
+    tokens are split (``dealt``), partial sums are aggregated map-side."""
+    q, c, keys = dealt(qw.select(*scope, F.col(qid).alias("__q"), "token", F.col("w").alias("__wq")),
+                       cw.select(*scope, F.col(cid).alias("__c"), "token", F.col("w").alias("__wc")),
+                       [*scope, "token"], "__c", pairs_per_task)
+    return (q.join(c, keys).groupBy(*scope, "__q", "__c").agg(F.sum(F.col("__wq") * F.col("__wc")).alias("score"))
             .withColumnRenamed("__q", qid).withColumnRenamed("__c", cid))
 
 
+#: candidates that a query's rarest tokens bring in at most before bounds decide
+FIRST = 2000
+#: scores closer than this may swap when they are rounded for ranking
+CLOSE = 10.0 ** (1 - RANK_DIGITS)
+
+
+def _bounded(qw: DataFrame, cw: DataFrame, qid: str, scope: list[str], first: int) -> DataFrame:
+    """Query tokens that a candidate has, the rarest first: ``__upto`` candidates
+    meet the query by the token or a rarer one, ``__all`` by any; a candidate gains
+    ``__can`` at most from the token and the commoner ones."""
+    keys = [*scope, "token"]
+    stats = cw.groupBy(*keys).agg(F.count("*").alias("__nc"), F.max("w").alias("__most"))
+    rare = Window.partitionBy(*scope, qid).orderBy("__nc", "token")
+    every = Window.partitionBy(*scope, qid)
+    return qw.join(stats, keys).select(
+        *scope, qid, "token", "w",
+        F.sum("__nc").over(rare.rowsBetween(Window.unboundedPreceding, 0)).alias("__upto"),
+        F.sum(F.col("w") * F.col("__most")).over(rare.rowsBetween(0, Window.unboundedFollowing)).alias("__can"),
+        (F.sum("__nc").over(every) <= first).alias("__whole"))
+
+
+def best_pairs(qw: DataFrame, cw: DataFrame, qid: str, cid: str, scope: list[str], k: int,
+               first: int = FIRST) -> DataFrame:
+    """(scope..., qid, cid, score): pairs that hold the ``k`` best candidates of
+    every query, each with its exact cosine.
+
+    A query whose tokens bring in ``first`` candidates or fewer is scored as it
+    is.  For others the k-th best score over their rarest tokens alone is a floor:
+    full scores are no smaller.  From the largest weight that any candidate has in
+    a token follows what a candidate can gain from it; tokens so common that all of
+    them together stay below the floor are left out of the join, and of the pairs
+    that the others make only those are scored in full that can still reach the
+    floor.
+    """
+    q = materialize(_bounded(qw, cw, qid, scope, first))
+    cw, by_query = materialize(cw), [*scope, qid]
+    plain = cosine_pairs(q.filter("__whole"), cw, qid, cid, scope)
+    common = q.filter("NOT __whole")
+    start = cosine_pairs(common.filter(F.col("__upto") <= first), cw, qid, cid, scope)
+    w = Window.partitionBy(*by_query).orderBy(F.col("score").desc(), cid)
+    floor = start.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).groupBy(*by_query).agg(
+        F.when(F.count("*") == k, F.min("score") - CLOSE).alias("__floor"))
+    marked = materialize(common.join(floor, by_query, "left").withColumn("__floor", F.coalesce("__floor", F.lit(-1.0))))
+    needed = F.col("__can") >= F.col("__floor")
+    rest = marked.filter(~needed).groupBy(*by_query).agg(
+        F.max("__can").alias("__can"), F.first("__floor").alias("__floor"),
+        F.collect_list(F.struct("token", "w")).alias("__rest"))
+    met = cosine_pairs(marked.filter(needed), cw, qid, cid, scope).join(rest, by_query, "left")
+    exact = met.filter("__rest IS NULL").select(*by_query, cid, "score")
+    open_ = met.filter(F.col("score") + F.col("__can") >= F.col("__floor")).select(*by_query, cid, "score", "__rest")
+    weights = cw.groupBy(*scope, cid).agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("__w"))
+    gained = F.aggregate("__rest", F.lit(0.0), lambda acc, r: acc + r["w"] * F.coalesce(
+        F.try_element_at(F.col("__w"), r["token"]), F.lit(0.0)))
+    scored = open_.join(weights, [*scope, cid]).select(*by_query, cid, (F.col("score") + gained).alias("score"))
+    return plain.select(*by_query, cid, "score").unionByName(exact).unionByName(scored)
+
+
 def tfidf_top_k(queries: DataFrame | None, corpus: DataFrame, k: int, *, qid: str = "query_id",
                 cid: str = "vacancy_id", text: str = "text", scope: list[str] | None = None,
-                exclude_self: bool = False, tokens_col: str | None = None) -> DataFrame:
+                exclude_self: bool = False, tokens_col: str | None = None, k_col: str | None = None,
+                first: int = FIRST) -> DataFrame:
     """K2: the k most cosine-similar corpus documents per query.
 
     ``queries`` (scope..., qid, text) and ``corpus`` (scope..., cid, text);
     candidates are matched inside the same scope and IDF is fitted on the
     corpus of the scope.  When fewer than k candidates share a token, the
     rest are filled with zero-score candidates in id order, as a brute-force
-    k-NN would return.  Output: (scope..., qid, cid, score, rank), rank from 1.
+    k-NN would return.  ``k_col``: a column of ``queries`` with the query's own k,
+    ``k`` at most.  Output: (scope..., qid, cid, score, rank), rank from 1.
     """
     scope = list(scope or [])
     if not scope:  # one global scope: a constant key keeps every join an equi join
         q = queries.withColumn("__scope", F.lit(0)) if queries is not None else None
         out = tfidf_top_k(q, corpus.withColumn("__scope", F.lit(0)), k, qid=qid, cid=cid, text=text,
-                          scope=["__scope"], exclude_self=exclude_self, tokens_col=tokens_col)
+                          scope=["__scope"], exclude_self=exclude_self, tokens_col=tokens_col, k_col=k_col, first=first)
         return out.drop("__scope")
     extra = [tokens_col] if tokens_col else []
     corpus = corpus.select(*scope, F.col(cid).alias("__cid"), F.col(text).alias("__text"), *extra) \
         .filter(F.col("__text").isNotNull())
     self_search = queries is None
-    queries = corpus.select(*scope, F.col("__cid").alias("__qid"), "__text") if self_search else queries.select(
-        *scope, F.col(qid).alias("__qid"), F.col(text).alias("__text")).filter(F.col("__text").isNotNull())
+    own_k = (F.col(k_col) if k_col else F.lit(k)).alias("__k")
+    queries = corpus.select(*scope, F.col("__cid").alias("__qid"), "__text", F.lit(k).alias("__k")) if self_search else \
+        queries.select(*scope, F.col(qid).alias("__qid"), F.col(text).alias("__text"), own_k).filter(F.col("__text").isNotNull())
     idf = fit_idf(corpus, "__cid", "__text", scope, tokens_col)
 
     # a text goes by its smallest id
@@ -136,7 +204,7 @@ def tfidf_top_k(queries: DataFrame | None, corpus: DataFrame, k: int, *, qid: st
     # k belongs to one of the first k texts (k + 1 when the query's own id is
     # left out), and is among the k (k + 1) smallest ids of that text
     keep = k + (1 if exclude_self else 0)
-    texts = top(cosine_pairs(qw, cw, "__q", "__c", scope), "__q", "__c", keep, "__t").drop("__t")
+    texts = top(best_pairs(qw, cw, "__q", "__c", scope, keep, first), "__q", "__c", keep, "__t").drop("__t")
     lowest = Window.partitionBy(*scope, "__text").orderBy("__cid")
     ids = corpus.select(*scope, "__text", "__cid").withColumn("__r", F.row_number().over(lowest)) \
         .filter(F.col("__r") <= keep).join(ctexts.select(*scope, "__text", "__c"), [*scope, "__text"]) \
@@ -150,10 +218,10 @@ def tfidf_top_k(queries: DataFrame | None, corpus: DataFrame, k: int, *, qid: st
     found = scored.unionByName(pads).groupBy(*scope, "__q", "__cid").agg(F.max("score").alias("score"))
     found = top(found, "__q", "__cid", keep, "rank")
     # texts are expanded to their queries last
-    out = queries.join(qtexts, [*scope, "__text"]).select(*scope, "__qid", "__q").join(found, [*scope, "__q"])
+    out = queries.join(qtexts, [*scope, "__text"]).select(*scope, "__qid", "__q", "__k").join(found, [*scope, "__q"])
     if exclude_self:
         out = top(out.filter(F.col("__qid") != F.col("__cid")).drop("rank"), "__qid", "__cid", k, "rank")
-    return out.select(*scope, F.col("__qid").alias(qid), F.col("__cid").alias(cid), "score", "rank")
+    return out.filter(F.col("rank") <= F.col("__k")).select(*scope, F.col("__qid").alias(qid), F.col("__cid").alias(cid), "score", "rank")
 
 
 def _counted(toks) -> Column:
