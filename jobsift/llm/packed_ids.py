@@ -14,6 +14,7 @@ positions restart, and which part of which document each segment is.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ from jobsift.llm import blocks as B
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text into the pieces that are encoded on their own (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space that the pattern's last two branches take; longer runs of it than
+#: RUN are taken out before the pattern's look-ahead would go through them.
+SPACES = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+RUN = 20_000
 END = 50256
 LENGTH = 2048
 GROUP = 4_000_000
@@ -91,6 +96,22 @@ def read_vocabulary(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+_LONG_RUN = re.compile(SPACES + "{%d,}" % RUN)
+
+
+def encode(encoding, text: str) -> list[int]:
+    """Ids of a text.  A run of white space is one piece of the pattern up to its
+    last character, which goes with what follows; at the end of a text it is one
+    piece whole.  Long runs are encoded as such a piece, with the same ids."""
+    ids, at = [], 0
+    for m in _LONG_RUN.finditer(text) if len(text) >= RUN else ():
+        cut = m.end() if m.end() == len(text) else m.end() - 1
+        ids += encoding.encode_ordinary(text[at:m.start()])
+        ids += encoding._encode_single_piece(text[m.start():cut])
+        at = cut
+    return ids + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+
 def pack_ids(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text",
              length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """Rows of ``length`` ids: ``pack`` and ``row``, ``n_tokens`` (the rest of
@@ -119,7 +140,7 @@ def pack_ids(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_i
         for batch in batches:
             for b in B.slices(batch, B.TARGET):
                 for i, t in zip(b.column(id_col), b.column(text_col).to_pylist()):
-                    ids = np.array([*(encoding.encode_ordinary(t) if t else ()), END], np.uint16)
+                    ids = np.array([*(encode(encoding, t) if t else ()), END], np.uint16)
                     held.append((i.as_py(), ids))
                     size += len(ids)
                     if size >= group:
@@ -162,8 +183,9 @@ def position_ids() -> Column:
 
 
 def decoded(packed: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, text) of every packed document whose id is not repeated: segments
-    are cut out, put together by part and decoded; the end id goes."""
+    """(id, text) of every packed document: segments are cut out, put together by
+    part and decoded; the end id goes.  Ids must not be repeated: the parts of two
+    documents of one id can't be told apart, so such an id raises."""
     texts = packed.sparkSession.sparkContext.broadcast({i: b for b, i in read_vocabulary(vocabulary).items()})
     parts = packed.select(F.posexplode("segments").alias("n", "s"), "ids", "cu_seqlens").select(
         "s.id", "s.part", F.expr("substring(ids, 2 * cu_seqlens[n] + 1, 2 * s.length)").alias("x"))
@@ -171,6 +193,8 @@ def decoded(packed: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches):
         for b in batches:
+            if any([x["part"] for x in p] != list(range(len(p))) for p in b.column("p").to_pylist()):
+                raise ValueError("documents of the same id can't be told apart")
             out = [b"".join(texts.value[i] for x in p for i in np.frombuffer(x["x"], "<u2").tolist() if i != END)
                    for p in b.column("p").to_pylist()]
             yield pa.RecordBatch.from_pydict({"id": b.column("id"), "text": pa.array(out, pa.binary()).cast(pa.string())})
