@@ -3,10 +3,12 @@
 The list is learned by sequential covering.  A rule is a conjunction of
 threshold tests on the statistics below and says "reject"; it is grown on two
 thirds of the labelled rows, test by test, by information gain on those it
-still covers, pruned on the other third by dropping last tests while that does
-not lower its precision, and taken only if its precision there reaches
-``PRECISION``.  Rows that it covers leave, and the next rule is grown.  The
-result is an ordered list of conditions, turned into one conditional column.
+still covers, until it covers no good row or no test gains; pruned on the other
+third by dropping last tests while that does not lower its precision; and taken
+if its precision there reaches ``PRECISION``.  Rows that it covers leave, and the
+next rule is grown, until none is good enough: neither rules nor tests have a
+fixed number.  The result is an ordered list of conditions, turned into one
+conditional column.
 
 All labelled rows count.  They are reduced to counts per combination of
 feature bins first; a growing step reads one small table of (feature, bin)
@@ -26,7 +28,6 @@ from jobsift.llm.blocks import stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 BINS = 24
-MAX_RULES, MAX_TESTS = 12, 3
 #: A rule must be right this often, and hold for so large a share of the rows.
 PRECISION, SUPPORT = 0.97, 0.001
 REPEAT = 5
@@ -116,17 +117,20 @@ def _gain(bad: int, good: int, bad0: int, good0: int) -> float:
     return bad * (math.log2(bad / (bad + good)) - math.log2(bad0 / (bad0 + good0)))
 
 
-def _rows(table: DataFrame, test: Column) -> tuple[int, int]:
-    r = table.filter(test).agg(F.sum("bad"), F.sum("good")).first()
-    return r[0] or 0, r[1] or 0
+def _prefixes(table: DataFrame, left: Column, tests: list[Column]) -> list[tuple[int, int]]:
+    """Bad and good rows that the first 1, 2, ... tests cover."""
+    held = [_all(tests[:n]) for n in range(1, len(tests) + 1)]
+    r = table.filter(left & held[0]).agg(*[F.coalesce(F.sum(F.when(h, F.col(c))), F.lit(0)) for h in held for c in ("bad", "good")]).first()
+    return list(zip(r[::2], r[1::2]))
 
 
 def _best_test(table: DataFrame, covers: Column, cuts: dict[str, list[float]]):
-    """The test with the largest gain among all features and thresholds."""
+    """The test with the largest gain among all features and thresholds, and
+    how many good rows it leaves."""
     sums = table.filter(covers).select("bad", "good", F.explode(F.array(*[
         F.struct(F.lit(f).alias("f"), F.col(f).alias("bin")) for f in cuts])).alias("x")).groupBy(
         "x.f", "x.bin").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect()
-    best = (0.0, None)
+    best = (0.0, None, 0)
     for f, c in sorted(cuts.items()):
         n = {r["bin"]: (r["bad"], r["good"]) for r in sums if r["f"] == f}
         all_bad, all_good = (sum(x[i] for x in n.values()) for i in (0, 1))
@@ -134,8 +138,8 @@ def _best_test(table: DataFrame, covers: Column, cuts: dict[str, list[float]]):
             low_bad, low_good = (sum(x[i] for b, x in n.items() if b < at) for i in (0, 1))
             for above, bad, good in ((True, all_bad - low_bad, all_good - low_good), (False, low_bad, low_good)):
                 if bad + good < all_bad + all_good and (g := _gain(bad, good, all_bad, all_good)) > best[0] + 1e-9:
-                    best = (g, Test(f, above, threshold))
-    return best[1]
+                    best = (g, Test(f, above, threshold), good)
+    return best[1:]
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> list[list[Test]]:
@@ -158,17 +162,20 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", label_col: str = "quality
         F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good")), "labelled")
     grow, prune = binned.filter("not prune"), binned.filter("prune")
     rules, left = [], F.lit(True)
-    while len(rules) < MAX_RULES:
+    # every taken rule covers rows, every test takes some away: both loops end
+    while True:
         tests: list[Test] = []
-        covers = left
-        while len(tests) < MAX_TESTS and (test := _best_test(grow, covers, cuts)):
+        covers, good_left = left, 1
+        while good_left:
+            test, good_left = _best_test(grow, covers, cuts)
+            if test is None:
+                break
             tests.append(test)
             covers = covers & test.binned(cuts)
-            if _rows(grow, covers)[1] == 0:
-                break
         kept = None
+        held = _prefixes(prune, left, [t.binned(cuts) for t in tests]) if tests else []
         for n in range(len(tests), 0, -1):
-            bad, good = _rows(prune, left & _all([t.binned(cuts) for t in tests[:n]]))
+            bad, good = held[n - 1]
             right = bad / (bad + good) if bad + good else 0.0
             if kept is None or right >= kept[0]:
                 kept = (right, bad + good, tests[:n])
@@ -176,7 +183,6 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", label_col: str = "quality
             return rules
         rules.append(kept[2])
         left = left & ~_all([t.binned(cuts) for t in kept[2]])
-    return rules
 
 
 def rule_column(rules: list[list[Test]]) -> Column:
