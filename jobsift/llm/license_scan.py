@@ -29,8 +29,8 @@ from jobsift.llm.words import Hashes, Powers, plain_words
 GRAM, LONG_GRAM, LONG = 2, 5, 30
 DRIFT = 2
 COVER = 0.9
-#: Template words that are broadcast at most.
-TEMPLATE_WORDS = 100_000
+#: Template words that are broadcast at most; positions that one long tells.
+TEMPLATE_WORDS, BITS = 100_000, 62
 
 # The phrases that every place of is reported, with their labels.
 PHRASES = [
@@ -164,19 +164,24 @@ def license_scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None,
     same = F.array_contains(F.array(F.col("t.gram")), gram)
     hits = at.join(positions, (F.col("d.hash") == F.col("t.hash")) & same, "left").select(
         "row", "id", "n_words", "template", "pos", "k", "at")
-    # a template's positions bound what is gathered
-    votes = hits.groupBy("row", "id", "n_words", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.collect_set("at").alias("ats"), F.min("pos").alias("start"), F.max(F.col("pos") + F.col("k")).alias("end"))
+    # the positions hit, as the bits of one long for each ``BITS`` of a template
+    votes = hits.groupBy("row", "id", "n_words", "template", (F.col("pos") - F.col("at")).alias("diagonal"), F.floor(
+        F.col("at") / BITS).alias("part")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % BITS).cast("int"))).alias("mask"),
+        F.min("pos").alias("start"), F.max(F.col("pos") + F.col("k")).alias("end"))
     of = lambda i: F.element_at(F.array(*[F.lit(a[i]) for a in about]), F.col("template") + 1)
     must = F.element_at(F.array(*[F.array(*map(F.lit, a[4])).cast("array<int>") for a in about]), F.col("template") + 1)
     votes = votes.select("*", of(0).alias("label"), of(1).alias("length"), of(2).alias("base"), of(3).alias("k"))
     # neighbouring diagonals of a template become one span; a base phrase keeps to one
-    line = Window.partitionBy("row", "template").orderBy("diagonal")
+    line = Window.partitionBy("row", "template").orderBy("diagonal", "part")
     apart = F.col("base") | (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(line), F.lit(drift + 1)) > drift)
     spans = votes.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(line)).groupBy(
         "row", "id", "n_words", "template", "label", "length", "base", "k", "span").agg(
-        F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("start").alias("start"), F.max("end").alias("end"))
-    covered = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("k") - 1))))
+        F.collect_list(F.struct("part", "mask")).alias("parts"), F.min("start").alias("start"), F.max("end").alias("end"))
+    bits = F.sequence(F.lit(0), F.lit(BITS - 1))
+    ats = F.flatten(F.transform("parts", lambda p: F.transform(F.filter(bits, lambda i: F.call_function(
+        "getbit", p["mask"], i) == 1), lambda i: (p["part"] * BITS + i).cast("int"))))
+    covered = F.array_distinct(F.flatten(F.transform(ats, lambda a: F.sequence(a, a + F.col("k") - 1))))
     spans = spans.withColumn("covered", covered).withColumn("lacking", F.col("length") - F.size("covered")).withColumn(
         "score", F.when(F.col("template").isNotNull(), F.size("covered") / F.col("length")))
     whole = F.size(F.array_except(must, F.col("covered"))) == 0
