@@ -7,19 +7,22 @@ shards are appended, a key moves only if a further jump lands in the new range,
 so just the necessary fraction of rows moves, and only into new shards.
 
 Slots number a shard's rows from 0.  Rows are counted per distinct (shard, key,
-content) first, dealt to ``16 ** DIGITS`` bins a shard by the key's digest,
-and numbered within a bin; the bins' sizes, a table whose size doesn't depend on
-the data, give each bin its offset.  No shard is ever in one task.
+content) first; running sums of the counts, over bins of a shard cut along the
+slots' order, give each its first slot.  Neither a shard nor the rows of one key
+are ever in one task whole, and copies are numbered in runs of bounded length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobsift.operators.running import running_sums
+
 SHARDS = 40
 OVERHEAD = 16
-DIGITS = 3
+#: copies of a row that are numbered by one array
+RUN = 10_000
 #: Multiplier of the published generator, as high and low 32 bits.
 HIGH, LOW = 2862933555777941757 >> 32, 2862933555777941757 & 0xFFFFFFFF
 WORD = 0xFFFFFFFF
@@ -81,16 +84,13 @@ def jump_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = rows.select("*", jump(F.col("__id"), shards, shards + 1).alias("__j"),
                         F.md5(F.coalesce(F.col("__id").cast("string"), F.lit("")).cast("binary")).alias("__d"))
     keyed = keyed.select("__id", "size", "text_crc32", "__n", "__d", F.col("__j.shard").alias("shard"),
-                         F.col("__j.grown").alias("grown_shard"), F.substring("__d", 1, DIGITS).alias("__bin"))
-    bins = keyed.groupBy("shard", "__bin").agg(F.sum("__n").alias("__size"))
-    offsets = bins.select("shard", "__bin", (F.sum("__size").over(
-        Window.partitionBy("shard").orderBy("__bin")) - F.col("__size")).alias("__offset"))
-    within = Window.partitionBy("shard", "__bin").orderBy("__d", "__id", "size", "text_crc32")
-    numbered = keyed.withColumn("__before", F.sum("__n").over(within) - F.col("__n"))
-    return numbered.join(offsets, ["shard", "__bin"]).select(
-        F.col("__id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(F.col("__offset") + F.col("__before"),
-                             F.col("__offset") + F.col("__before") + F.col("__n") - 1)).alias("slot"), "grown_shard")
+                         F.col("__j.grown").alias("grown_shard"))
+    numbered = running_sums(keyed, ["shard"], ["__d", "__id", "size", "text_crc32"], {"__upto": F.col("__n")})
+    runs = numbered.select("*", F.explode(F.sequence(F.col("__upto") - F.col("__n"), F.col("__upto") - 1, F.lit(RUN).cast(
+        "long"))).alias("__from"))
+    return runs.select(
+        F.col("__id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence(
+            F.col("__from"), F.least(F.col("__from") + RUN, F.col("__upto")) - 1)).alias("slot"), "grown_shard")
 
 
 def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
