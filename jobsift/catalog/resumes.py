@@ -419,11 +419,43 @@ def i12_resume_job_split(spark, d):
     return r.select("user_id", F.array_join(jobs, "|").alias("jobs"), F.size(jobs).alias("n_jobs"))
 
 
-@register("i16_job_structs")
+def _found_sql(entries: str) -> str:
+    """Phrases of a dictionary in each piece, joined in order of appearance."""
+    return f"""SELECT user_id, piece_no, array_to_string(list(phrase ORDER BY first_pos), '|') AS found FROM (
+        SELECT user_id, piece_no, phrase, min(pos) AS first_pos FROM (
+          SELECT user_id, piece_no, pos, arg_max(phrase, n) AS phrase FROM grams JOIN ({entries}) USING (phrase)
+          GROUP BY user_id, piece_no, pos) GROUP BY user_id, piece_no, phrase) GROUP BY user_id, piece_no"""
+
+
+_JOB_CTES = dict(_RESUME_CTES)
+_JOB_CTES.update({k: v.replace("FROM txt", "FROM res") for k, v in _BLOCK_CTES.items() if k != "txt"})
+_JOB_CTES.update({
+    "pieces": "SELECT user_id, generate_subscripts(jobs, 1) - 1 AS piece_no, unnest(jobs) AS piece FROM jbs",
+    "ptok": """SELECT user_id, piece_no, generate_subscripts(t, 1) AS pos, unnest(t) AS w FROM (
+        SELECT user_id, piece_no, regexp_extract_all(lower(piece), '[\\p{L}\\p{N}_]+') AS t FROM pieces)""",
+    "grams": """SELECT user_id, piece_no, pos, w AS phrase, 1 AS n FROM ptok
+        UNION ALL SELECT a.user_id, a.piece_no, a.pos, a.w || ' ' || b.w, 2 FROM ptok a
+          JOIN ptok b ON b.user_id = a.user_id AND b.piece_no = a.piece_no AND b.pos = a.pos + 1
+        UNION ALL SELECT a.user_id, a.piece_no, a.pos, a.w || ' ' || b.w || ' ' || c.w, 3 FROM ptok a
+          JOIN ptok b ON b.user_id = a.user_id AND b.piece_no = a.piece_no AND b.pos = a.pos + 1
+          JOIN ptok c ON c.user_id = a.user_id AND c.piece_no = a.piece_no AND c.pos = a.pos + 2""",
+    "fnames": _found_sql("SELECT DISTINCT lower(name) AS phrase FROM vacancy"),
+    "fskills": _found_sql(_PHRASE_DICT_SQL),
+})
+
+
+@register("i16_job_structs", W("""SELECT p.user_id, CAST(p.piece_no AS INTEGER) AS piece_no, coalesce(n.found, '') AS names,
+  coalesce(k.found, '') AS keyskills, c.c_acctbal AS salary,
+  CASE WHEN months IS NULL THEN NULL WHEN ceil(months / 12.0) = 0 THEN 'noExperience'
+       WHEN ceil(months / 12.0) < 3 THEN 'between1And3' WHEN ceil(months / 12.0) < 6 THEN 'between3And6'
+       ELSE 'moreThan6' END AS workExperience, c.c_mktsegment AS employment
+FROM pieces p JOIN customer c ON c.c_custkey = p.user_id JOIN mos ON mos.user_id = p.user_id
+LEFT JOIN fnames n ON n.user_id = p.user_id AND n.piece_no = p.piece_no
+LEFT JOIN fskills k ON k.user_id = p.user_id AND k.piece_no = p.piece_no""", "vacancy", extra=_JOB_CTES))
 def i16_job_structs(spark, d):
     """I16 (Q21 fixed): per job piece a struct of the titles and skills found
     in it (dictionary phrases, in order), plus the resume-level salary,
-    experience and employment; rows-only."""
+    experience and employment."""
     r = _resume_text(spark, d).join(
         table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_acctbal", "c_mktsegment"),
         "user_id")

@@ -3,6 +3,8 @@ recommenders (R7, R8 with K5/E11, R10, R13) and remaining joins (J4, J11, L6).""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from jobsift.catalog import register
@@ -115,25 +117,65 @@ def n4_skill_neighbours(spark, d):
     return out.select("skill", "neighbour", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("n5_skill_merging")
+def _renamed(ctes: dict[str, str], prefix: str) -> dict[str, str]:
+    """The same CTEs under other names."""
+    names = re.compile(r"\b(" + "|".join(ctes) + r")\b")
+    return {prefix + k: names.sub(lambda m: prefix + m.group(1), v) for k, v in ctes.items()}
+
+
+def _election_sql(n: int, counts: str, topk: str, threshold: float) -> dict[str, str]:
+    """N5's round in order of rank: a skill follows the first leader that has it
+    among its nearest, else leads; the leaders so far are the recursion's state."""
+    return {
+        f"prio{n}": f"SELECT skill, row_number() OVER (ORDER BY cnt DESC, skill) AS r FROM {counts}",
+        f"inc{n}": f"""SELECT p.r, list(a.r ORDER BY a.r) FILTER (WHERE a.r IS NOT NULL) AS s FROM prio{n} p
+            LEFT JOIN (SELECT * FROM {topk} WHERE 1 - score <= {threshold}) t ON t.cid = p.skill
+            LEFT JOIN prio{n} a ON a.skill = t.qid AND a.r < p.r GROUP BY p.r""",
+        f"rec{n}": f"""SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS leaders, CAST(0 AS BIGINT) AS owner
+            UNION ALL SELECT i + 1, CASE WHEN b IS NULL THEN list_append(leaders, i + 1) ELSE leaders END, coalesce(b, i + 1)
+            FROM (SELECT x.i, x.leaders, list_filter(inc{n}.s, lambda y: list_contains(x.leaders, y))[1] AS b
+                  FROM rec{n} x JOIN inc{n} ON inc{n}.r = x.i + 1)""",
+        f"map{n}": f"""SELECT p.skill, l.skill AS leader FROM rec{n} JOIN prio{n} p ON p.r = i JOIN prio{n} l ON l.r = owner""",
+    }
+
+
+_MERGE = {"sc0": _SKILL_CNT_SQL}
+_MERGE.update(_renamed(topk_sql("SELECT 0 AS scope, skill AS cid, skill AS text FROM sc0",
+                                "SELECT 0 AS scope, skill AS qid, skill AS text FROM sc0", 15), "one_"))
+_MERGE.update(_election_sql(1, "sc0", "one_topk", 0.5))
+_MERGE["sc1"] = "SELECT sc0.skill, cnt FROM sc0 JOIN map1 ON map1.skill = sc0.skill AND map1.leader = sc0.skill"
+_MERGE.update(_renamed(topk_sql("SELECT 0 AS scope, skill AS cid, skill AS text FROM sc1",
+                                "SELECT 0 AS scope, skill AS qid, skill AS text FROM sc1", 15), "two_"))
+_MERGE.update(_election_sql(2, "sc1", "two_topk", 0.65))
+_MERGE["merged"] = "SELECT map1.skill, coalesce(map2.leader, map1.leader) AS leader FROM map1 LEFT JOIN map2 ON map2.skill = map1.leader"
+
+
+def MW(sql: str) -> str:
+    return W(sql, "vacancy", extra=_MERGE).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("n5_skill_merging", MW("SELECT skill, leader FROM merged"))
 def n5_skill_merging(spark, d):
-    """Skill -> leader after the two merge rounds (iterative; rows-only,
-    invariants tested in tests/)."""
+    """Skill -> leader after the two merge rounds."""
     return skills.merge_skills(fx.vacancy(spark, d))
 
 
-@register("n6_replace_skills")
+@register("n6_replace_skills", MW("""SELECT v.vacancy_id, CASE WHEN any_value(v.keySkills) IS NOT NULL THEN
+  coalesce(array_to_string(list(m.leader ORDER BY e.pos) FILTER (WHERE m.leader IS NOT NULL), '|'), '') END AS keySkills
+FROM vacancy v LEFT JOIN (SELECT vacancy_id, unnest(keySkills) AS skill, generate_subscripts(keySkills, 1) AS pos FROM vacancy) e
+  ON e.vacancy_id = v.vacancy_id LEFT JOIN merged m ON m.skill = e.skill GROUP BY v.vacancy_id"""))
 def n6_replace_skills(spark, d):
-    """Vacancy skills replaced by their leaders (rows-only, needs N5)."""
+    """Vacancy skills replaced by their leaders."""
     v = fx.vacancy(spark, d)
     m = skills.merge_skills(v)
     out = skills.replace_skills(v, "vacancy_id", "keySkills", m)
     return out.select("vacancy_id", F.array_join("keySkills", "|").alias("keySkills"))
 
 
-@register("a15_vocabulary_reduction")
+@register("a15_vocabulary_reduction", MW("""SELECT CAST(count(DISTINCT leader) AS BIGINT) AS n_leaders,
+  CAST(sum(CASE WHEN skill <> leader THEN 1 ELSE 0 END) AS BIGINT) AS n_merged FROM merged"""))
 def a15_vocabulary_reduction(spark, d):
-    """Leaders and merged skills after N5 (rows-only)."""
+    """Leaders and merged skills after N5."""
     return skills.reduction_totals(skills.merge_skills(fx.vacancy(spark, d)))
 
 

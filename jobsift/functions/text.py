@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # The word pattern of the TF-IDF tokenizer (runs of >= 2 word
 # characters, Unicode aware) and the HTML clean-up patterns.
 TOKEN_PATTERN = r"(?U)\w\w+"
+#: character references that most pages hold
+COMMON = ("amp", "lt", "gt", "quot", "nbsp", "apos", "copy", "middot", "mdash", "ndash", "laquo", "raquo")
 _WS = r"(?U)^\s+|\s+$"
 
 
@@ -70,9 +72,15 @@ def html_to_text(c) -> Column:
 def unescape(c) -> Column:
     """HTML character references decoded once: all names of the standard
     library's table (``&name;``), decimal and hexadecimal numbers; unknown names
-    and bare ampersands stay, impossible numbers become U+FFFD."""
+    and bare ampersands stay, impossible numbers become U+FFFD.
+
+    The names that pages mostly hold are compared first; the table's other names
+    lie in maps by their first letter, as a map is searched from its start."""
     names = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
-    table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    by_letter: dict[str, dict[str, str]] = {}
+    for k, v in names.items():
+        by_letter.setdefault(k[0], {})[k] = v
+    tables = F.from_json(F.lit(json.dumps(by_letter)), "map<string,map<string,string>>")
     pattern = r"&(?:#[xX][0-9a-fA-F]{1,8}|#[0-9]{1,9}|[A-Za-z][A-Za-z0-9]*);"
 
     def char(code):
@@ -84,11 +92,17 @@ def unescape(c) -> Column:
         body = F.substring(ref, 2, F.length(ref) - 2)
         return (F.when(body.rlike("^#[xX]"), char(F.conv(F.substring(body, 3, 8), 16, 10).try_cast("long")))
                 .when(body.startswith("#"), char(F.substring(body, 2, 9).try_cast("long")))
-                .otherwise(F.coalesce(F.try_element_at(table, body), ref)))
+                .otherwise(F.coalesce(F.try_element_at(F.try_element_at(tables, F.substring(body, 1, 1)), body), ref)))
+
+    def named(ref):
+        out = one(ref)
+        for name in reversed(COMMON):
+            out = F.when(ref == f"&{name};", F.lit(names[name])).otherwise(out)
+        return out
 
     def put_together(parts):
         return F.concat(F.array_join(F.zip_with(
-            F.slice(parts["rest"], 1, F.size(parts["refs"])), parts["refs"], lambda t, r: F.concat(t, one(r))), ""),
+            F.slice(parts["rest"], 1, F.size(parts["refs"])), parts["refs"], lambda t, r: F.concat(t, named(r))), ""),
             F.element_at(parts["rest"], -1))
 
     c = _c(c)
