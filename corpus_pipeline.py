@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it
 kept; ``run`` writes each stage's rows as Parquet in the shared checkpoint
 folder and reads them again as the next one's documents.
+
+Every stage takes nulls in any column, repeated rows and ids, and columns named
+like those that an operator adds; all but the last give the columns they got.  A
+null or empty text has no words: the quality rules reject it.  An empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,13 +24,16 @@ from jobsift.llm.substring_dedup import kept_or_text, substring_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the learned rules keep."""
+    """Documents that the base rule and the learned rules keep.  Null, empty and
+    short texts fail the base rule; repeated rows are judged alike; without usable
+    labels only the base rule judges."""
     importable(spark)
     return kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class: the one with the smallest id."""
+    """One document of each SimHash class: the one with the smallest id.  Texts
+    without words have one fingerprint, so one of them stays."""
     importable(spark)
     return one_of_each(docs)
 
@@ -42,13 +50,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark.  A text without words
+    is clean; without benchmark items all are."""
     importable(spark)
     return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids and N best segmentations of each document."""
+    """Piece ids and N best segmentations of each document; a null text has no
+    pieces and is restored as null."""
     importable(spark)
     encoded = encode(docs.select("doc_id", "lang", "source", "text"), restored="decoded")
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", "nbest",
