@@ -2,8 +2,7 @@
 
 Instead of one huge regex alternation per text, texts are split into word
 tokens, n-grams up to the longest dictionary entry are generated per text,
-and matched with an equi join against the dictionary (AQE broadcasts it when
-it is small at run time).  Whole texts are processed; nothing is truncated.
+and matched with a sort-merge join against the dictionary; neither is broadcast.  Whole texts are processed; nothing is truncated.
 """
 
 from __future__ import annotations
@@ -21,6 +20,13 @@ def _dictionary(vocab: DataFrame, col: str) -> DataFrame:
         .filter(F.col("n") > 0).groupBy("gram", "n").agg(F.min("entry").alias("entry"))
 
 
+def _met(grams: DataFrame, dictionary: DataFrame, on) -> DataFrame:
+    """Grams joined with the dictionary entries that they are.  Both sides grow
+    with the data and their sizes are guessed from the files read, too low for
+    exploded grams, so neither may be broadcast: that passes through the driver."""
+    return grams.join(dictionary.hint("merge"), on)
+
+
 def _grams(df: DataFrame, keys: list[str], tokens, dictionary: DataFrame) -> DataFrame:
     """(keys, pos, n, gram): every run of words as long as some dictionary
     entry.  The lengths are a scalar subquery over the dictionary, so no entry
@@ -41,7 +47,7 @@ def first_match(df: DataFrame, keys: list[str], text: str, dictionary: DataFrame
     ("Санкт-Петербург"): text and entries are compared word by word."""
     d = _dictionary(dictionary, dict_col)
     g = _grams(df, keys, F.regexp_extract_all(text, F.lit(WORD), 0), d)
-    return g.join(d.select("gram", "entry"), "gram").groupBy(*keys).agg(
+    return _met(g, d.select("gram", "entry"), "gram").groupBy(*keys).agg(
         F.min_by("entry", F.struct("pos", (-F.col("n")).alias("n"))).alias("match"))
 
 
@@ -56,7 +62,8 @@ def extract_ngrams(df: DataFrame, keys: list[str], text: str, vocab: DataFrame,
     if stop_words:
         stops = [w.lower() for w in stop_words]
         toks = F.filter(toks, lambda w: ~F.lower(w).isin(stops))
-    return _grams(df, keys, toks, d).join(d.select(F.col("gram").alias("__v")), F.lower("gram") == F.col("__v")).select(*keys, "gram").distinct()
+    g = _met(_grams(df, keys, toks, d), d.select(F.col("gram").alias("__v")), F.lower("gram") == F.col("__v"))
+    return g.select(*keys, "gram").distinct()
 
 
 def extract_phrases(df: DataFrame, keys: list[str], text: str, vocab: DataFrame, vocab_col: str) -> DataFrame:
@@ -65,7 +72,7 @@ def extract_phrases(df: DataFrame, keys: list[str], text: str, vocab: DataFrame,
     order of first appearance.  Output (keys, phrases array)."""
     d = _dictionary(vocab, vocab_col)
     g = _grams(df, keys, F.regexp_extract_all(text, F.lit(WORD), 0), d)
-    m = g.join(d.select("gram", "entry"), "gram")
+    m = _met(g, d.select("gram", "entry"), "gram")
     per_text = m.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         F.col("pos"), (-F.col("n")).alias("neg_n"), F.col("entry").alias("gram")))).alias("c"))
     init = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("out"))
