@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jobsift.catalog import register
 from jobsift.catalog.sqlviews import with_views as W
 from jobsift.functions import resume, text
+from jobsift.functions.text import let
 from jobsift.operators import phrases, trees
 from jobsift.operators import sequences as seq
 from jobsift.sources import fixtures as fx
@@ -255,11 +256,14 @@ _BLOCK_CTES = {
 def i13_resume_experience(spark, d):
     """I13 + E10 on resume-style experience headers derived from customers."""
     c = table(spark, d, "customer").select("c_custkey", _experience_text().alias("t"))
-    block = resume.experience_block("t")
-    months = resume.experience_months(block)
+    # many rows of little text lie in few files: a task for each core, not for each file
+    c = c.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "c_custkey")
     from jobsift.functions.codes import experience_from_months
-    return c.select(F.col("c_custkey").alias("user_id"), block.alias("block"), months.alias("months"),
-                    experience_from_months(months).alias("workExperience"))
+    # text, block and months are read several times and would be worked out at each
+    parsed = let(F.col("t"), lambda t: let(resume.experience_block(t), lambda b: let(
+        resume.experience_months(b), lambda m: F.struct(
+            b.alias("block"), m.alias("months"), experience_from_months(m).alias("workExperience")))))
+    return c.select(F.col("c_custkey").alias("user_id"), F.inline(F.array(parsed)))
 
 
 @register("i14_drop_durations", W("""SELECT c_custkey AS user_id,
