@@ -238,14 +238,13 @@ def lsh_top_k(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "quer
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
                                         numHashTables=num_tables, seed=seed).fit(ca)
     at = F.transform("hashes", lambda h: F.get(vector_to_array(h), F.lit(0)).cast("long")).alias("__at")
-    q, c = [materialize(model.transform(x).select("__id", "__v", "__n", at)) for x in (qa, ca)]
+    # as in MLlib's join, rows that repeat count once
+    q, c = [materialize(model.transform(x).select("__id", "__v", "__n", at).distinct()) for x in (qa, ca)]
     most = max(1, min(rows_per_block, KEPT_PER_BLOCK // k))
     blocks = default_blocks(queries.sparkSession, q, most)
-    # rows equal in the order take the next block together only if they share an id
-    q = overall_ranks(q.withColumn("__row", F.monotonically_increasing_id()), ["__at", "__id", "__row"], "__rank")
     size = F.greatest(F.ceil(q.select(F.count("*")).scalar() / blocks), F.lit(1))
-    q = q.withColumn("__b", F.floor((F.min("__rank").over(Window.partitionBy("__at", "__id")) - 1) / size).cast("int"))
-    q = materialize(q.drop("__rank", "__row"))
+    q = overall_ranks(q, ["__at", "__id", "__v"], "__rank")
+    q = materialize(q.withColumn("__b", F.floor((F.col("__rank") - 1) / size).cast("int")).drop("__rank"))
     bucket = F.posexplode("__at").alias("__table", "__bucket")
     held = q.select("__b", bucket).distinct()
     sent = c.select("__id", "__at").distinct().select("__id", "__at", bucket).join(held, ["__table", "__bucket"]) \
@@ -253,6 +252,9 @@ def lsh_top_k(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "quer
     c = c.join(sent, ["__id", "__at"]).select(*q.columns)
     # MLlib's join is below the distance, not at it
     out = _searched(q, c, blocks, _search(k, True, False, True, above=1 - max_distance * max_distance / 2))
+    # rows of one query id may lie in several blocks
+    w = Window.partitionBy("qid").orderBy(F.round("score", RANK_DIGITS).desc(), F.col("cid").asc())
+    out = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return out.select(F.col("qid").alias(qid), F.col("cid").alias(cid), "score", "rank")
 
 
