@@ -161,6 +161,18 @@ def _search(k: int, largest: bool, exclude_self: bool, normalise: bool, above: f
     return run
 
 
+def _cell_top_k(k: int, largest: bool, exclude_self: bool, q_chunk: int = 256, c_chunk: int = 8192):
+    """A task's search over one pandas cell: rows of ``__role`` 0 (queries) and 1."""
+    search = _search(k, largest, exclude_self, False, q_chunk=q_chunk)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pa.RecordBatch.from_pandas(pdf.sort_values(["__role", "__id"]).assign(__n=1.0), preserve_index=False)
+        found = list(search(rows.slice(lo, c_chunk) for lo in range(0, rows.num_rows, c_chunk)))
+        empty = pa.schema([("qid", pa.int64()), ("cid", pa.int64()), ("score", pa.float64()), ("rank", pa.int32())])
+        return pa.Table.from_batches(found, empty).to_pandas()
+    return run
+
+
 def blocks_for(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> int:
     """Number of blocks so that one block holds about ``rows_per_block`` rows
     (one count; the block size, not the data, bounds a task's memory)."""
