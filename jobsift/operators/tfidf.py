@@ -6,10 +6,9 @@ lacks the ``+ 1``, so it is not used).  Tokens are lower-cased runs of two or
 more word characters.
 
 Top-k search never builds a document x document matrix: documents meet only
-through shared tokens (equi join on ``(scope, token)``), partial sums are
-aggregated per pair, and the per-query cut is a WindowGroupLimit.  Tokens too
-common to decide a query's best candidates are left out of the join
-(``best_pairs``).  Each
+through shared tokens.  Queries with few candidates meet them in an equi join on
+``(scope, token)``; for others the candidates of the scope stream past blocks of
+queries, which keep their best (``best_pairs``), so pairs are not written.  Each
 distinct text is scored once under its smallest id (titles and skill strings
 repeat heavily); only ids are shuffled, and of a text's ids only those that can
 reach a top k are joined back.
@@ -103,25 +102,141 @@ def cosine_pairs(qw: DataFrame, cw: DataFrame, qid: str, cid: str, scope: list[s
             .withColumnRenamed("__q", qid).withColumnRenamed("__c", cid))
 
 
-#: candidates that a query's rarest tokens bring in at most before bounds decide
-FIRST = 2000
+#: candidates that a query's tokens bring in at most to be scored by a join
+FIRST = 100
 #: scores closer than this may swap when they are rounded for ranking
 CLOSE = 10.0 ** (1 - RANK_DIGITS)
-
-
-def _bounded(qw: DataFrame, cw: DataFrame, qid: str, scope: list[str], first: int) -> DataFrame:
-    """Query tokens that a candidate has, the rarest first: ``__upto`` candidates
-    meet the query by the token or a rarer one, ``__all`` by any; a candidate gains
-    ``__can`` at most from the token and the commoner ones."""
-    keys = [*scope, "token"]
-    stats = cw.groupBy(*keys).agg(F.count("*").alias("__nc"), F.max("w").alias("__most"))
-    rare = Window.partitionBy(*scope, qid).orderBy("__nc", "token")
-    every = Window.partitionBy(*scope, qid)
-    return qw.join(stats, keys).select(
-        *scope, qid, "token", "w",
-        F.sum("__nc").over(rare.rowsBetween(Window.unboundedPreceding, 0)).alias("__upto"),
-        F.sum(F.col("w") * F.col("__most")).over(rare.rowsBetween(0, Window.unboundedFollowing)).alias("__can"),
-        (F.sum("__nc").over(every) <= first).alias("__whole"))
+#: queries that a block holds at most, and at least where a scope is cut up to keep all cores busy
+MOST_QUERIES, LEAST_QUERIES = 100_000, 200
+
+
+def _entries(weights: DataFrame, key: list[str]) -> DataFrame:
+    """(key..., __tokens, __weights), a row for each document."""
+    e = weights.groupBy(*key).agg(F.collect_list(F.struct("token", "w")).alias("__e"))
+    return e.select(*key, F.transform("__e", lambda x: x["token"]).alias("__tokens"),
+                    F.transform("__e", lambda x: x["w"]).alias("__weights"))
+
+
+def _search(k: int):
+    """One task: of every cell its queries come first, then candidates by rising
+    id.  Held are the queries, their ``k`` best so far and one batch of
+    candidates, by token."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def flat(rows, name):
+            lists = rows.column(name).combine_chunks() if isinstance(rows, pa.Table) else rows.column(name)
+            return lists.flatten(), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))].astype(np.int64)
+
+        class Cell:
+            def __init__(self, key, queries):
+                rows = pa.Table.from_batches(queries)
+                tokens, self.ends = flat(rows, "__tokens")
+                words = tokens.dictionary_encode()
+                self.words, self.word = words.dictionary, words.indices.to_numpy(zero_copy_only=False)
+                self.w = flat(rows, "__weights")[0].to_numpy(zero_copy_only=False)
+                self.key, self.ids, self.seen = key, rows.column("__q").combine_chunks(), 0
+                none = np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+                self.kept, self.least = [none] * len(self.ids), np.full(len(self.ids), -np.inf)
+
+            def meet(self, rows):
+                tokens, ends = flat(rows, "__tokens")
+                words = tokens.dictionary_encode()
+                code = words.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(code, kind="stable")
+                doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[order]
+                w = flat(rows, "__weights")[0].to_numpy(zero_copy_only=False)[order]
+                cut = np.r_[0, np.cumsum(np.bincount(code, minlength=len(words.dictionary)))]
+                place = pc.fill_null(pc.index_in(self.words, value_set=words.dictionary), -1).to_numpy(zero_copy_only=False)[self.word]
+                ids = rows.column("__c").to_numpy(zero_copy_only=False)
+                score = np.zeros(rows.num_rows)
+                for q in range(len(self.ids)):
+                    score[:] = 0.0
+                    for i in range(self.ends[q], self.ends[q + 1]):
+                        at = place[i]
+                        if at >= 0:
+                            score[doc[cut[at]:cut[at + 1]]] += self.w[i] * w[cut[at]:cut[at + 1]]
+                    found = np.flatnonzero(score > max(0.0, self.least[q] - CLOSE))
+                    if not len(found):
+                        continue
+                    got = score[found]
+                    if len(found) > k:
+                        near = got >= np.partition(got, -k)[-k] - CLOSE
+                        found, got = found[near], got[near]
+                    key, at, kept, cid = self.kept[q]
+                    key, at = np.r_[key, np.round(got, RANK_DIGITS)], np.r_[at, found + self.seen]
+                    kept, cid = np.r_[kept, got], np.r_[cid, ids[found].astype(object)]
+                    best = np.lexsort((at, -key))[:k]
+                    self.kept[q] = key[best], at[best], kept[best], cid[best]
+                    if len(best) == k:
+                        self.least[q] = key[best[-1]]
+                self.seen += rows.num_rows
+
+            def result(self, kind):
+                step = max(1, 100_000 // k)
+                for lo in range(0, len(self.ids), step):
+                    some = self.kept[lo:lo + step]
+                    row = np.repeat(np.arange(lo, lo + len(some)), [len(x[0]) for x in some])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(row), self.key[0])), self.ids.take(pa.array(row)),
+                        pa.array(np.concatenate([x[3] for x in some]), kind), pa.array(np.concatenate([x[2] for x in some]))],
+                        names=["__s", "__q", "__c", "score"])
+
+        cell, queries, key, kind = None, [], None, None
+        for batch in batches:
+            kind = batch.schema.field("__c").type
+            at = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("__s", "__b", "__role")], 1)
+            edges = np.r_[0, np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1, len(at)] if len(at) else [0]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                rows, now = batch.slice(lo, hi - lo), tuple(at[lo, :2])
+                if now != key:
+                    if cell:
+                        yield from cell.result(kind)
+                    cell, queries, key = None, [], now
+                if at[lo, 2] == 0:
+                    queries.append(rows)
+                elif cell or queries:
+                    cell = cell or Cell(now, queries)
+                    cell.meet(rows)
+        if cell:
+            yield from cell.result(kind)
+    return run
+
+
+def blocked_pairs(qw: DataFrame, cw: DataFrame, qid: str, cid: str, scope: list[str], k: int,
+                  most: int = MOST_QUERIES, least: int = LEAST_QUERIES) -> DataFrame:
+    """(scope..., qid, cid, score): for every query the ``k`` best of the
+    candidates that share a token, by rounded score and id.
+
+    A scope's queries lie in blocks, a task's work each; its candidates stream
+    past every block.  No pair is written but those of a block's result, and a
+    candidate is sent twice the number of cores at most, as long as a block does
+    not hold ``most`` queries.  (Time stays queries x candidates of a scope.)
+    """
+    spark = qw.sparkSession
+    busy = 2 * spark.sparkContext.defaultParallelism
+    q = materialize(_entries(qw, [*scope, qid]))
+    c = materialize(_entries(cw.join(q.select(*scope).distinct(), scope, "left_semi"), [*scope, cid]))
+    sizes = q.groupBy(*scope).agg(F.count("*").alias("__nq")).join(c.groupBy(*scope).agg(F.count("*").alias("__nc")), scope)
+    sizes = materialize(sizes.withColumn("__work", F.col("__nq").cast("double") * F.col("__nc")).withColumn(
+        "__s", F.monotonically_increasing_id()))
+    share = F.ceil(busy * F.col("__work") / sizes.select(F.sum("__work")).scalar())
+    blocks = F.greatest(F.ceil(F.col("__nq") / most), F.least(F.ceil(F.col("__nq") / least), share)).cast("int")
+    cells = sizes.select(*scope, "__s", blocks.alias("__blocks"))
+    block, every = F.pmod(F.xxhash64(qid), F.col("__blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
+    rest = ["__tokens", "__weights"]
+    q = q.join(cells, scope).select("__s", block.alias("__b"), F.lit(0).alias("__role"), F.col(qid).alias("__q"),
+                                    F.lit(None).cast(c.schema[cid].dataType).alias("__c"), *rest)
+    c = c.join(cells, scope).select("__s", every.alias("__b"), F.lit(1).alias("__role"),
+                                    F.lit(None).cast(q.schema["__q"].dataType).alias("__q"), F.col(cid).alias("__c"), *rest)
+    n = max(busy, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    found = q.unionByName(c).repartition(n, "__s", "__b").sortWithinPartitions("__s", "__b", "__role", "__c").mapInArrow(
+        _search(k), f"__s long, __q {q.schema['__q'].dataType.simpleString()}, "
+                    f"__c {c.schema['__c'].dataType.simpleString()}, score double")
+    return found.join(sizes.select(*scope, "__s"), "__s").select(
+        *scope, F.col("__q").alias(qid), F.col("__c").alias(cid), "score")
 
 
 def best_pairs(qw: DataFrame, cw: DataFrame, qid: str, cid: str, scope: list[str], k: int,
@@ -129,35 +244,18 @@ def best_pairs(qw: DataFrame, cw: DataFrame, qid: str, cid: str, scope: list[str
     """(scope..., qid, cid, score): pairs that hold the ``k`` best candidates of
     every query, each with its exact cosine.
 
-    A query whose tokens bring in ``first`` candidates or fewer is scored as it
-    is.  For others the k-th best score over their rarest tokens alone is a floor:
-    full scores are no smaller.  From the largest weight that any candidate has in
-    a token follows what a candidate can gain from it; tokens so common that all of
-    them together stay below the floor are left out of the join, and of the pairs
-    that the others make only those are scored in full that can still reach the
-    floor.
+    A query whose tokens bring in ``first`` candidates or fewer is scored by a
+    join on the tokens, others in blocks (``blocked_pairs``), so that the pairs
+    written are bounded by the queries however common a token is.
     """
-    q = materialize(_bounded(qw, cw, qid, scope, first))
-    cw, by_query = materialize(cw), [*scope, qid]
-    plain = cosine_pairs(q.filter("__whole"), cw, qid, cid, scope)
-    common = q.filter("NOT __whole")
-    start = cosine_pairs(common.filter(F.col("__upto") <= first), cw, qid, cid, scope)
-    w = Window.partitionBy(*by_query).orderBy(F.col("score").desc(), cid)
-    floor = start.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).groupBy(*by_query).agg(
-        F.when(F.count("*") == k, F.min("score") - CLOSE).alias("__floor"))
-    marked = materialize(common.join(floor, by_query, "left").withColumn("__floor", F.coalesce("__floor", F.lit(-1.0))))
-    needed = F.col("__can") >= F.col("__floor")
-    rest = marked.filter(~needed).groupBy(*by_query).agg(
-        F.max("__can").alias("__can"), F.first("__floor").alias("__floor"),
-        F.collect_list(F.struct("token", "w")).alias("__rest"))
-    met = cosine_pairs(marked.filter(needed), cw, qid, cid, scope).join(rest, by_query, "left")
-    exact = met.filter("__rest IS NULL").select(*by_query, cid, "score")
-    open_ = met.filter(F.col("score") + F.col("__can") >= F.col("__floor")).select(*by_query, cid, "score", "__rest")
-    weights = cw.groupBy(*scope, cid).agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("__w"))
-    gained = F.aggregate("__rest", F.lit(0.0), lambda acc, r: acc + r["w"] * F.coalesce(
-        F.try_element_at(F.col("__w"), r["token"]), F.lit(0.0)))
-    scored = open_.join(weights, [*scope, cid]).select(*by_query, cid, (F.col("score") + gained).alias("score"))
-    return plain.select(*by_query, cid, "score").unionByName(exact).unionByName(scored)
+    keys = [*scope, "token"]
+    every = Window.partitionBy(*scope, qid)
+    q = materialize(qw.join(cw.groupBy(*keys).agg(F.count("*").alias("__nc")), keys).select(
+        *scope, qid, "token", "w", (F.sum("__nc").over(every) <= first).alias("__few")))
+    cw = materialize(cw)
+    few = cosine_pairs(q.filter("__few"), cw, qid, cid, scope)
+    many = q.filter("NOT __few").drop("__few")
+    return few.select(*scope, qid, cid, "score").unionByName(blocked_pairs(many, cw, qid, cid, scope, k))
 
 
 def tfidf_top_k(queries: DataFrame | None, corpus: DataFrame, k: int, *, qid: str = "query_id",
