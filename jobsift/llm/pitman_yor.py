@@ -1,29 +1,33 @@
 """Scoring texts with a hierarchical Pitman-Yor language model.
 
-A token's context restaurant is chosen by the token before it: a word that
-makes up at least ``1 / HOT`` of the training tokens has one of its own (so
-there are ``HOT`` at most, whatever the corpus), other words share one by the
-crc32 of their last two bytes modulo ``CLASSES``, and texts begin in one more.
-All context restaurants share one parent, the restaurant of words, whose base is
-uniform over the V training types and "unknown".
+Each distinct word of the training texts has a context restaurant of its own,
+for the tokens that follow it; the first token of a text follows the end of the
+one before, so texts begin in the restaurant of the end.  All context
+restaurants share one parent, the restaurant of words, whose base is uniform
+over the V training types and "unknown".
 
 Customers are training tokens (and, in the parent, tables of the context
 restaurants).  Their seating is sampled by Gibbs: in each sweep all customers of
-a dish leave and are seated again one by one, each joining a table or opening
-one by the restaurant's rule given everyone else; an acceptance step corrects
-for seating them in turn.  Predictive probabilities are averaged over samples.
-
-Words are dealt to parts by hash, so a part has all contexts of a word and its
-place in the parent.  What parts need of each other is only the number of tables
-in each restaurant: a few hundred sums, taken after each round.  A block of
-documents sends a part one entry per distinct (word, context); it gets back one
-probability for each, so a word in a third of all texts costs no more.
+a dish leave a restaurant and are seated again one by one, each joining a table
+or opening one by the restaurant's rule given everyone else; as that rule alone
+is a little off, a seating is drawn ``DRAWS`` times and Metropolis steps choose
+among the draws.  ``TURNS`` shares of a part's dishes take turns.  Parts sweep
+at the same time and tell each other their tables after each round, so within a
+round they see each other's tables as they were.  Predictive probabilities are
+averaged over samples.
+
+Words are numbered by part (a hash range) and, within it, by falling count.
+Texts become their tokens' numbers once, and are not read again.  A part has all
+contexts of its words and their place in the parent; it keeps the customers of
+a context in it, and asks the part of the context's word for the customers and
+tables the restaurant has in all parts.  A block of documents sends a part one
+entry per distinct (word, context) and gets back one, so a word in a third of
+all texts costs no more.
 """
 
 from __future__ import annotations
 
 import pickle
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +37,19 @@ from pyspark.sql import functions as F
 
 from jobsift.llm import blocks as B
 
-HOT, CLASSES = 256, 32
 STRENGTH = 1.0
 #: Rounds of Gibbs sweeps; every sweep of the last round gives a sample.
 ROUNDS, SWEEPS = 2, 2
-ONE_BY_ONE = 64
+TURNS, DRAWS = 2, 3
+ONE_BY_ONE = 16
 SEED = 20
 END = b""
+STATE = B.ASKED + ", sums array<double>"
 
 
-def _tokens(table: pa.Table, hot: dict[int, int], text_col: str):
-    """Of a block: sorted distinct word hashes, and of each token its word's
-    place among them, its context, and its document."""
+def _tokens(table: pa.Table, text_col: str):
+    """Of a block: sorted distinct word hashes, of each token its word's place
+    among them, and the texts' numbers of tokens."""
     number: dict[bytes, int] = {}
     flat, counts = [], []
     for t in B.texts_of(table, text_col):
@@ -53,114 +58,203 @@ def _tokens(table: pa.Table, hot: dict[int, int], text_col: str):
         flat.append(np.fromiter([number.setdefault(w, len(number)) for w in words], np.int64, len(words)))
         counts.append(len(words))
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
-    own = len(hot) + np.fromiter((zlib.crc32(w[-2:]) % CLASSES for w in number), np.int64, len(number))
-    for i, h in enumerate(hashes.tolist()):
-        if h in hot:
-            own[i] = hot[h]
     order = np.argsort(hashes)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    flat = np.concatenate(flat)
-    context = np.empty(len(flat), np.int64)
-    context[1:] = own[flat[:-1]]
-    counts = np.array(counts)
-    context[np.cumsum(counts) - counts] = len(hot) + CLASSES
-    return hashes[order], rank[flat], context, np.repeat(np.arange(len(counts)), counts)
+    return hashes[order], rank[np.concatenate(flat)], np.array(counts)
 
 
-def _contexts(hot: dict) -> int:
-    return len(hot) + CLASSES + 1
+def _dump(*arrays: np.ndarray) -> bytes:
+    """Non-negative integers, narrow and compressed byte by byte."""
+    out = []
+    for a in map(B.small, arrays):
+        planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+        out.append((a.dtype.str, len(planes), pa.compress(planes, "zstd", asbytes=True)))
+    return pickle.dumps(out)
 
 
-def _by_part(parts: int, words: np.ndarray, word: np.ndarray, *values: np.ndarray):
-    """Entries sorted by word, cut at the parts' bounds: (part, distinct words,
-    entries per word, values)."""
-    at = B.ranges(parts, words)
-    entry = np.searchsorted(word, at)
-    for p in range(parts):
-        a, b = entry[p], entry[p + 1]
-        if b > a:
-            here, n = np.unique(word[a:b], return_counts=True)
-            yield p, pickle.dumps((words[here], B.small(n), *[B.small(v[a:b]) for v in values]))
-
+def _load(payload: bytes) -> list[np.ndarray]:
+    out = []
+    for kind, size, x in pickle.loads(payload):
+        kind = np.dtype(kind)
+        planes = np.frombuffer(pa.decompress(x, size, "zstd", asbytes=True), np.uint8).reshape(kind.itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64))
+    return out
 
-def word_counts(packed: DataFrame, parts: int, text_col: str) -> DataFrame:
-    """Stored (part, words, tokens, payload) of the training texts."""
 
-    def question(block, table):
-        table = table.filter(table.column("__train"))
-        if table.num_rows:
-            words, word, _, _ = _tokens(table, {}, text_col)
-            n = np.bincount(word, minlength=len(words))
-            yield from _by_part(parts, words, np.arange(len(words)), n)
+def _dealt(ids: np.ndarray, parts: int) -> np.ndarray:
+    """Numbers of words, ordered by part and then by place in the part."""
+    return ((ids - 1) % parts << 40) | (ids - 1) // parts
 
-    def run(batches):
-        for part, rows in B.grouped(B.rows_of(batches), 1):
-            got = [pickle.loads(x) for _, _, x in rows]
-            words, back = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-            n = np.bincount(back, np.concatenate([g[2] for g in got])).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({
-                "words": pa.array([len(words)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64()),
-                "payload": pa.array([pickle.dumps((words, n))], pa.binary())})
 
-    return B.stored(B.by_key(B.ask(packed, question), "part").mapInArrow(
-        run, "words long, tokens long, payload binary"), "words")
+def _place(dealt: np.ndarray) -> np.ndarray:
+    return dealt & ((1 << 40) - 1)
 
 
-def hot_words(counts: DataFrame, tokens: int) -> dict[int, int]:
-    """Words with a share of at least 1 / HOT, so HOT of them at most."""
+def _cuts(dealt: np.ndarray):
+    """(part, from, to) of sorted dealt numbers."""
+    owner, at = np.unique(dealt >> 40, return_index=True)
+    yield from zip(owner.tolist(), at.tolist(), np.append(at, len(dealt))[1:].tolist())
 
-    def run(batches):
-        for (payload,) in B.rows_of(batches):
-            words, n = pickle.loads(payload)
-            often = n * HOT >= tokens
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words[often].view(np.int64))})
 
-    rows = counts.select("payload").mapInArrow(run, "word long").collect()
-    return {h: i for i, h in enumerate(sorted(r[0] & 0xFFFFFFFFFFFFFFFF for r in rows))}
+def encode(packed: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame:
+    """Stored blocks of id, ``__train``, ``n_tokens``, ``n_known``, ``base`` (the
+    sum of log10(c + 0.5)) and ``ids``, the numbers of the tokens' words: from 1
+    for words of training texts, 0 for others."""
 
+    def question(block, table):
+        words, word, counts = _tokens(table, text_col)
+        train = np.repeat(table.column("__train").to_numpy(), counts)
+        n = np.bincount(word[train], minlength=len(words))
+        at = B.ranges(parts, words)
+        for p in range(parts):
+            if at[p + 1] > at[p]:
+                yield p, pickle.dumps((words[at[p]:at[p + 1]], B.small(n[at[p]:at[p + 1]])))
 
-def seat(rng, customers: np.ndarray, base, step: float, others: np.ndarray, strength: float, discount: float):
+    def reply(number, asked):
+        got = [pickle.loads(x) for _, x in asked]
+        words, back = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([g[1] for g in got])).astype(np.int64)
+        place = np.empty(len(n), np.int64)
+        place[np.argsort(-n, kind="stable")] = np.arange(len(n))
+        ids = np.where(n > 0, place * parts + number + 1, 0)
+        at = 0
+        for (block, _), (here, _) in zip(asked, got):
+            mine = back[at:at + len(here)]
+            at += len(here)
+            yield block, _dump(ids[mine], n[mine])
+
+    def numbers(block, table, got):
+        _, word, counts = _tokens(table, text_col)
+        told = [_load(got[p]) for p in sorted(got)]
+        ids, c = (np.concatenate([t[i] for t in told]) for i in (0, 1))
+        doc, n = np.repeat(np.arange(len(counts)), counts), len(counts)
+        rows = pa.table({
+            id_col: table.column(id_col), "__train": table.column("__train"),
+            "n_tokens": pa.array(counts), "n_known": pa.array(np.bincount(doc, c[word] > 0, n).astype(np.int64)),
+            "base": pa.array(np.bincount(doc, np.log10(c + 0.5)[word], n)),
+            "ids": pa.LargeListArray.from_arrays(np.append(0, np.cumsum(counts)), pa.array(B.small(ids)[word]))})
+        yield pa.RecordBatch.from_pydict({
+            "block": pa.array([block], pa.int64()), "payload": pa.array([B._dump(rows.to_batches())], pa.binary())})
+
+    asked = B.answer(B.ask(packed, question), reply)
+    return B.stored(B.apply(packed, asked, numbers, "block long, payload binary"), "numbers")
+
+
+def _pairs(table: pa.Table, parts: int):
+    """Of a block: its distinct known words (dealt numbers), its distinct pairs as
+    places of word and context among them (their number: an unknown one), and of
+    each token its pair."""
+    ids = table.column("ids").combine_chunks()
+    flat = ids.values.to_numpy()[ids.offsets[0].as_py():ids.offsets[-1].as_py()].astype(np.int64)
+    distinct, back = np.unique(flat, return_inverse=True)
+    known = np.flatnonzero(distinct)
+    dealt = _dealt(distinct[known], parts)
+    order = np.argsort(dealt)
+    place = np.full(len(distinct), len(known))
+    place[known[order]] = np.arange(len(known))
+    word = place[back]
+    ends = np.cumsum(table.column("n_tokens").to_numpy())
+    context = np.empty(len(word), np.int64)
+    context[1:] = word[:-1]
+    context[np.append(0, ends[:-1])] = word[ends - 1]
+    key, pair = np.unique(word * (len(known) + 1) + context, return_inverse=True)
+    return dealt[order], key // (len(known) + 1), key % (len(known) + 1), pair
+
+
+def _entries(dealt: np.ndarray, word: np.ndarray, *values: np.ndarray):
+    """Per part: its words, the number of entries of each, and the entries'
+    values; entries are sorted by word."""
+    n = np.bincount(word, minlength=len(dealt))
+    at = np.append(0, np.cumsum(n))
+    for p, a, b in _cuts(dealt):
+        yield p, _dump(_place(dealt[a:b]), n[a:b], *[v[at[a]:at[b]] for v in values])
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    product = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7)
+    y = x + 8
+    return ((y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y ** 3)
+            + 1 / (1260 * y ** 5) - np.log(product))
+
+
+def seat(rng, customers: np.ndarray, base, step, others: np.ndarray, strength: float, discount: float):
     """Seat the customers of each dish one by one: tables, and the log of the
     weight that corrects for doing so in turn.
 
     ``base``: the parent's probability of the dish; it rises by ``step`` with
-    each table.  ``others``: tables of other dishes in the restaurant.  Beyond
-    ``ONE_BY_ONE`` customers they come in groups of a sixteenth of those seated,
-    within which the odds are held fixed.
+    each table.  ``others``: tables of other dishes in the restaurant.  Until
+    one opens a table the odds of joining only rise by the customers seated, as in
+    an urn; so how many join is geometric with a Beta rate.  Beyond ``ONE_BY_ONE``
+    customers a step of the loop goes to the next table, not the next customer.
     """
-    order = np.argsort(-customers, kind="stable")
-    left, others = customers[order], others[order].astype(float)
-    base = np.broadcast_to(base, left.shape)[order]
-    tables, weight = np.ones(len(left)), np.zeros(len(left))
-    seated, most = 1, int(left[0]) if len(left) else 0
-    falling = -left
-    while seated < most:
-        group = 1 if seated < ONE_BY_ONE else seated // 16
-        n = np.searchsorted(falling, -seated)  # dishes with customers still to come
-        t = tables[:n]
-        opens = (strength + discount * (others[:n] + t)) * (base[:n] + step * t)
-        total = opens + seated - discount * t
-        if group == 1:
-            weight[:n] += np.log(total)
-            t += rng.random(n) * total < opens
-        else:
-            size = np.minimum(group, left[:n] - seated)
-            weight[:n] += size * np.log(total)
-            t += rng.binomial(size, np.minimum(1.0, opens / total))
-        seated += group
-    out, log = np.empty(len(left), np.int64), np.empty(len(left))
-    out[order], log[order] = tables, weight
-    return out, log
+    tables, weight = np.ones(len(customers), np.int64), np.zeros(len(customers))
+    base, step, others = (np.broadcast_to(x, tables.shape) for x in (base, step, others.astype(float)))
+    open_ = np.arange(len(customers))
+    for n in range(1, ONE_BY_ONE):
+        open_ = open_[customers[open_] > n]
+        t = tables[open_]
+        opens = (strength + discount * (others[open_] + t)) * (base[open_] + step[open_] * t)
+        total = opens + n - discount * t
+        weight[open_] += np.log(total)
+        tables[open_] += rng.random(len(t)) * total < opens
+    open_ = open_[customers[open_] > ONE_BY_ONE]
+    seated = np.full(len(customers), ONE_BY_ONE)
+    while len(open_):
+        t, n = tables[open_], seated[open_]
+        opens = (strength + discount * (others[open_] + t)) * (base[open_] + step[open_] * t)
+        joins = n - discount * t
+        left = customers[open_] - n
+        with np.errstate(divide="ignore", over="ignore"):
+            wait = np.log(rng.random(len(t))) / np.log1p(-rng.beta(opens, joins))
+        # customers seated by now: those that join, and one that opens a table
+        more = np.minimum(np.floor(wait), left).astype(np.int64)
+        new = more < left
+        more += new
+        weight[open_] += _log_gamma(joins + opens + more) - _log_gamma(joins + opens)
+        tables[open_] = t + new
+        seated[open_] = n + more
+        open_ = open_[seated[open_] < customers[open_]]
+    return tables, weight
+
+
+def settle(rng, customers, base, step, others, strength, discount) -> np.ndarray:
+    """Tables of each dish: of ``DRAWS`` seatings one, chosen by Metropolis
+    steps between them."""
+    tables, weight = seat(rng, customers, base, step, others, strength, discount)
+    # the rule is exact for two customers
+    many = np.flatnonzero(customers > 2)
+    base, step = (np.broadcast_to(x, len(customers))[many] for x in (base, step))
+    for _ in range(DRAWS - 1):
+        new, other = seat(rng, customers[many], base, step, others[many], strength, discount)
+        take = np.log(rng.random(len(new))) < other - weight[many]
+        tables[many[take]], weight[many[take]] = new[take], other[take]
+    return tables
+
+
+def predictive(model: dict, parent: list, word: np.ndarray, room: np.ndarray, tables: list,
+               customers: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Averaged probability of each (word, context).  Of words, per sample:
+    ``parent``, (customers, tables) in the parent.  Of pairs: ``word``, its place
+    there; the context's customers, ``room``, and per sample its ``tables``;
+    ``customers`` of the pair, and ``own``, its tables summed over samples."""
+    d, d0, samples = model["discount"], model["top_discount"], model["samples"]
+    out = len(samples) * customers - d * own
+    for (m, top), t, s in zip(parent, tables, samples):
+        p = m - d0 * top + (STRENGTH + d0 * s["top_tables"]) / (model["types"] + 1)
+        out = out + (STRENGTH + d * t) * (p / (STRENGTH + s["top_customers"]))[word]
+    return out / (STRENGTH + room) / len(samples)
 
 
 class Part:
     """The dishes of one part: words, and their customers and tables in each
-    context; ``seats`` are samples of (tables by pair, tables in the parent)."""
+    context; ``seats`` are samples of (tables by pair, tables in the parent).
+    ``ids`` are the dealt numbers of the contexts, if they are not numbered as
+    they stand."""
 
-    def __init__(self, words, ends, context, customers, tables, weight, top, top_weight, seats):
+    def __init__(self, words, ends, context, customers, tables, top, seats, ids):
         self.words, self.ends, self.context, self.customers = words, ends, context, customers
-        self.tables, self.weight, self.top, self.top_weight, self.seats = tables, weight, top, top_weight, seats
+        self.tables, self.top, self.seats, self.ids = tables, top, seats, ids
 
     @staticmethod
     def gathered(got: list[tuple], contexts: int) -> Part:
@@ -169,46 +263,67 @@ class Part:
         key, back = np.unique(each * contexts + np.concatenate([g[2] for g in got]), return_inverse=True)
         n = np.bincount(back, np.concatenate([g[3] for g in got])).astype(np.int64)
         ends = np.append(0, np.cumsum(np.bincount(key // contexts, minlength=len(words))))
-        return Part(words, ends, key % contexts, n, np.ones(len(key), np.int64), np.zeros(len(key)),
-                    np.ones(len(words), np.int64), np.zeros(len(words)), [])
+        return Part(words, ends, key % contexts, n, np.ones(len(key), np.int64), np.ones(len(words), np.int64), [],
+                    np.zeros(0, np.int64))
+
+    def numbered(self, parts: int) -> Part:
+        """With contexts numbered, and pairs of a word sorted, by dealt number."""
+        self.ids, context = np.unique(_dealt(self.context, parts), return_inverse=True)
+        order = np.lexsort((context, self.word_of()))
+        self.context, self.customers, self.tables = context[order], self.customers[order], self.tables[order]
+        return self
 
     def dump(self) -> bytes:
-        return pickle.dumps((
-            self.words, B.small(np.diff(self.ends)), B.small(self.context), B.small(self.customers),
-            B.small(self.tables), self.weight[self.customers > 1].astype(np.float32), B.small(self.top),
-            self.top_weight.astype(np.float32), [(B.small(t), B.small(u)) for t, u in self.seats]))
+        ids = np.diff(self.ids, prepend=0)
+        seats = [x for s in self.seats for x in s]
+        return pickle.dumps((self.words.dtype.str, _dump(
+            self.words, np.diff(self.ends), self.context, self.customers, self.tables, self.top, ids, *seats)))
 
     @staticmethod
     def load(payload: bytes) -> Part:
-        words, n, context, customers, tables, weight, top, top_weight, seats = pickle.loads(payload)
-        full = np.zeros(len(customers))
-        full[customers > 1] = weight
-        long = lambda x: x.astype(np.int64)
-        return Part(words, np.append(0, np.cumsum(long(n))), long(context), long(customers), long(tables), full,
-                    long(top), top_weight.astype(float), [(long(t), long(u)) for t, u in seats])
+        kind, arrays = pickle.loads(payload)
+        words, n, context, customers, tables, top, ids, *seats = _load(arrays)
+        return Part(words.astype(kind), np.append(0, np.cumsum(n)), context, customers, tables, top,
+                    list(zip(seats[::2], seats[1::2])), np.cumsum(ids))
 
     def word_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.words)), np.diff(self.ends))
 
+    def by_word(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.ends[:-1])
+
     def sweep(self, rng, model: dict) -> None:
-        """Seat all dishes anew, first in the contexts, then in the parent."""
-        d, d0, strength = model["discount"], model["top_discount"], STRENGTH
-        word, m = self.word_of(), np.add.reduceat(self.tables, self.ends[:-1])
-        many = np.flatnonzero(self.customers > 1)
-        w, old = word[many], self.tables[many]
-        rest = m[w] - old
-        uniform = (strength + d0 * model["top_tables"]) / (model["types"] + 1)
-        base = (rest - d0 * np.minimum(self.top[w], rest) + uniform) / (strength + model["top_customers"])
-        others = np.maximum(0, model["tables"][self.context[many]] - old)
-        new, weight = seat(rng, self.customers[many], base, 1 / (strength + model["top_customers"]), others, strength, d)
-        first = self.weight[many] == 0
-        take = first | (np.log(rng.random(len(many))) < weight - self.weight[many])
-        self.tables[many[take]], self.weight[many[take]] = new[take], weight[take]
-        m = np.add.reduceat(self.tables, self.ends[:-1])
-        new, weight = seat(rng, m, 1 / (model["types"] + 1), 0.0, np.maximum(0, model["top_tables"] - self.top),
-                           strength, d0)
-        # the parent's customers have changed, so its old seating has no weight to compare
-        self.top, self.top_weight = new, weight
+        """Seat all dishes anew, first in the contexts, then in the parent;
+        ``model`` follows."""
+        d, d0 = model["discount"], model["top_discount"]
+        word, tables = self.word_of(), np.array(model["tables"], float)
+        top_customers, top_tables = model["top_customers"], model["top_tables"]
+        for some in np.array_split(rng.permutation(np.flatnonzero(self.customers > 1)), TURNS):
+            if not len(some):
+                continue
+            w, old = word[some], self.tables[some]
+            rest = self.by_word(self.tables)[w] - old
+            # the dish's tables in the parent that are left, and the one that its first table here needs
+            top = np.maximum(1, np.minimum(self.top[w], rest))
+            uniform = (STRENGTH + d0 * (top_tables - self.top[w] + top)) / (model["types"] + 1)
+            room = STRENGTH + np.maximum(0, top_customers - old) + 1
+            others = np.maximum(0, tables[self.context[some]] - old)
+            new = settle(rng, self.customers[some], (rest - d0 * top + uniform) / room, 1 / room, others, STRENGTH, d)
+            self.tables[some] = new
+            np.add.at(tables, self.context[some], new - old)
+            top_customers += (new - old).sum()
+        old = self.top.sum()
+        served = self.by_word(self.tables)
+        self.top[served == 1] = 1
+        top_tables += self.top.sum() - old
+        for some in np.array_split(rng.permutation(np.flatnonzero(served > 1)), TURNS):
+            if not len(some):
+                continue
+            m, others = served[some], np.maximum(0, top_tables - self.top[some])
+            new = settle(rng, m, 1 / (model["types"] + 1), 0.0, others, STRENGTH, d0)
+            top_tables += (new - self.top[some]).sum()
+            self.top[some] = new
+        model |= {"tables": tables, "top_customers": top_customers, "top_tables": top_tables}
 
     def sums(self, contexts: int) -> np.ndarray:
         """Tables of each context and of the parent, of each sample (or of the
@@ -216,101 +331,125 @@ class Part:
         return np.concatenate([np.append(np.bincount(self.context, t, contexts), u.sum())
                                for t, u in self.seats or [(self.tables, self.top)]])
 
+    def counted(self, words: np.ndarray, per_word: np.ndarray, context: np.ndarray):
+        """Of words: customers, and (customers, tables) in the parent by sample.
+        Of their pairs: customers, and tables summed over samples.  Zeros for what
+        is not here; a context below 0 is none."""
+        contexts = int(max(self.context.max(), context.max(initial=0))) + 1
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        known = self.words[at] == words
+        each = np.repeat(np.arange(len(words)), per_word)
+        keys, asked = self.word_of() * contexts + self.context, at[each] * contexts + context
+        pair = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        seen = known[each] & (keys[pair] == asked) & (context >= 0)
+        counts = np.where(known, self.by_word(self.customers)[at], 0)
+        parent = [(np.where(known, self.by_word(t)[at], 0), np.where(known, u[at], 0)) for t, u in self.seats]
+        own = sum(t for t, _ in self.seats)
+        return counts, parent, np.where(seen, self.customers[pair], 0), np.where(seen, own[pair], 0)
+
     def probabilities(self, words: np.ndarray, per_word: np.ndarray, context: np.ndarray, model: dict):
         """Averaged predictive probability of each (word, context), and the
         words' training counts."""
-        contexts, d, d0 = len(model["customers"]), model["discount"], model["top_discount"]
-        at = np.minimum(np.searchsorted(self.words, words), max(0, len(self.words) - 1))
-        known = self.words[at] == words if len(self.words) else np.zeros(len(words), bool)
-        counts = np.where(known, np.add.reduceat(self.customers, self.ends[:-1])[at], 0) if len(self.words) else known * 0
+        counts, parent, customers, own = self.counted(words, per_word, context)
         each = np.repeat(np.arange(len(words)), per_word)
-        keys = self.word_of() * contexts + self.context
-        asked = at[each] * contexts + context
-        pair = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
-        seen = known[each] & (keys[pair] == asked) if len(keys) else np.zeros(len(each), bool)
-        out = np.zeros(len(each))
-        for (tables, top), s in zip(self.seats or [(np.zeros(0, np.int64),) * 2] * len(model["samples"]), model["samples"]):
-            parent = np.full(len(words), (STRENGTH + d0 * s["top_tables"]) / (model["types"] + 1))
-            if len(self.words):
-                m = np.add.reduceat(tables, self.ends[:-1])
-                parent += np.where(known, (m - d0 * top)[at], 0.0)
-            parent /= STRENGTH + s["top_customers"]
-            room = STRENGTH + model["customers"][context]
-            p = (STRENGTH + d * s["tables"][context]) / room * parent[each]
-            if len(keys):
-                p += np.where(seen, (self.customers[pair] - d * tables[pair]) / room, 0.0)
-            out += p
-        return out / len(model["samples"]), counts
-
-
-def _vector(df: DataFrame) -> np.ndarray:
-    """Sums of the parts' vectors: as long as there are contexts and samples."""
-    rows = df.select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(1 + max((r["i"] for r in rows), default=-1))
-    for r in rows:
-        out[r["i"]] = r["x"]
-    return out
+        return predictive(model, parent, each, model["customers"][context],
+                          [s["tables"][context] for s in model["samples"]], customers, own), counts
 
 
-def _state(rows: DataFrame, run, name: str) -> DataFrame:
-    return B.stored(rows.mapInArrow(run, "part long, payload binary, sums array<double>"), name)
+def _share(one: float, two: float) -> float:
+    """Discount by the counts of ones and twos."""
+    return float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one else 0.5
 
 
-def _row(number: int, part: Part, sums: np.ndarray) -> pa.RecordBatch:
+def _told(number: int, part: Part, more=()) -> pa.RecordBatch:
+    """Rows of a part: itself (part -1) with sums over it, by sample the tables in
+    contexts and in the parent; and what it tells each part: places and tables of
+    that part's words as contexts (to itself, its words' customers too)."""
+    contexts = len(part.ids)
+    tables = part.sums(contexts).reshape(-1, contexts + 1).astype(np.int64)
+    sums = np.append(np.column_stack((tables[:, :-1].sum(axis=1), tables[:, -1])).ravel(), more)
+    none, own = np.zeros(0, np.int64), (part.words, part.by_word(part.customers))
+    out = {number: _dump(none, *own, *[none] * len(tables))}
+    for p, a, b in _cuts(part.ids):
+        out[p] = _dump(_place(part.ids[a:b]), *(own if p == number else (none, none)), *tables[:, a:b])
+    rows = [(-1, part.dump(), sums.tolist()), *[(p, x, None) for p, x in out.items()]]
     return pa.RecordBatch.from_pydict({
-        "part": pa.array([number], pa.int64()), "payload": pa.array([part.dump()], pa.binary()),
-        "sums": pa.array([sums.tolist()], pa.list_(pa.float64()))})
+        "block": pa.array([number] * len(rows), pa.int64()), "part": pa.array([r[0] for r in rows], pa.int64()),
+        "payload": pa.array([r[1] for r in rows], pa.binary()),
+        "sums": pa.array([r[2] for r in rows], pa.list_(pa.float64()))})
 
 
-def _share(one: float, two: float) -> float:
-    """Discount by the counts of ones and twos."""
-    return float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one else 0.5
+def _totals(told: list[bytes]):
+    """Of a part's words: customers, and tables by sample, in all parts; and the
+    places each part told of."""
+    got = [_load(x) for x in told]
+    size = 1 + max(int(x.max(initial=-1)) for g in got for x in g[:2])
+    customers, tables = np.zeros(size, np.int64), np.zeros((len(got[0]) - 3, size), np.int64)
+    for places, words, n, *t in got:
+        customers[words] = n
+        tables[:, places] += np.array(t)
+    return customers, tables, [g[0] for g in got]
 
 
-def train(packed: DataFrame, hot: dict[int, int], parts: int, text_col: str = "text"):
-    """Seating of all training tokens: stored parts, and the model's sums."""
-    contexts = _contexts(hot)
+def _reply(number, told):
+    customers, tables, places = _totals([x for _, x in told])
+    for (block, _), at in zip(told, places):
+        if len(at):
+            yield block, _dump(customers[at], *tables[:, at])
+
+
+def _sums(state: DataFrame) -> np.ndarray:
+    rows = state.select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros(len(rows))
+    for r in rows:
+        out[r["i"]] = r["x"]
+    return out
+
+
+def train(encoded: DataFrame, parts: int):
+    """Seating of all training tokens: stored parts with what they tell each
+    other, and the model's sums."""
 
     def question(block, table):
         table = table.filter(table.column("__train"))
         if table.num_rows:
-            words, word, context, _ = _tokens(table, hot, text_col)
-            key, n = np.unique(word * contexts + context, return_counts=True)
-            yield from _by_part(parts, words, key // contexts, key % contexts, n)
+            words, word, context, pair = _pairs(table, parts)
+            ids = _place(words) * parts + (words >> 40) + 1
+            yield from _entries(words, word, ids[context], np.bincount(pair))
 
     def gather(batches):
         for number, rows in B.grouped(B.rows_of(batches), 1):
-            part = Part.gathered([pickle.loads(x) for _, _, x in rows], contexts)
+            got = [_load(x) for _, _, x in rows]
+            part = Part.gathered(got, 1 + max(int(g[2].max()) for g in got)).numbered(parts)
             kinds = np.diff(part.ends)
-            yield _row(number, part, np.concatenate((
-                np.bincount(part.context, part.customers, contexts), part.sums(contexts),
-                [(part.customers == 1).sum(), (part.customers == 2).sum(), (kinds == 1).sum(), (kinds == 2).sum()])))
+            yield _told(number, part, [
+                len(part.words), part.customers.sum(), (part.customers == 1).sum(), (part.customers == 2).sum(),
+                (kinds == 1).sum(), (kinds == 2).sum()])
 
-    state = _state(B.by_key(B.ask(packed, question), "part", "block"), gather, "seats")
-    v = _vector(state)
+    state = B.stored(B.by_key(B.ask(encoded, question), "part", "block").mapInArrow(gather, STATE), "seats")
+    v = _sums(state)
     if not len(v):
-        v = np.zeros(2 * contexts + 5)
-    tables, last = v[contexts:2 * contexts], v[2 * contexts + 1:]
-    model = {"customers": v[:contexts], "types": v[2 * contexts], "discount": _share(*last[:2]),
-             "top_discount": _share(*last[2:]), "tables": tables, "top_customers": tables.sum(),
-             "top_tables": v[2 * contexts]}
+        v = np.zeros(8)
+    model = {"top_customers": v[0], "top_tables": v[1], "types": v[2], "tokens": v[3],
+             "discount": _share(*v[4:6]), "top_discount": _share(*v[6:])}
     for turn in range(ROUNDS):
         def gibbs(batches, turn=turn, model=dict(model)):
-            for number, payload in B.rows_of(batches):
-                part, rng = Part.load(payload), np.random.default_rng([SEED, turn, number])
+            for number, rows in B.grouped(B.rows_of(batches), 0):
+                part, rng, here = Part.load(rows[0][2]), np.random.default_rng([SEED, turn, number]), dict(model)
+                here["tables"] = np.concatenate([_load(x)[1] for _, _, x in rows[1:]])
                 for _ in range(SWEEPS):
-                    part.sweep(rng, model)
+                    part.sweep(rng, here)
                     if turn == ROUNDS - 1:
                         part.seats.append((part.tables.copy(), part.top.copy()))
-                yield _row(number, part, part.sums(contexts))
+                yield _told(number, part)
 
-        before, state = state, _state(state.select("part", "payload"), gibbs, "seats")
+        told = B.answer(state.filter("part >= 0").select("block", "part", "payload"), _reply)
+        both = state.filter("part < 0").select("block", "part", "payload").unionByName(told)
+        before, state = state, B.stored(B.by_key(both, "block", "part").mapInArrow(gibbs, STATE), "seats")
         B.dropped(before)
-        v = _vector(state).reshape(-1, contexts + 1)
-        sums = [{"tables": x[:-1], "top_customers": x[:-1].sum(), "top_tables": x[-1]} for x in v]
-        model |= sums[-1] if sums else {}
-    none = {"tables": np.zeros(contexts), "top_customers": 0.0, "top_tables": 0.0}
-    return state, model | {"samples": sums or [none]}
+        samples = [{"top_customers": x[0], "top_tables": x[1]} for x in _sums(state).reshape(-1, 2)]
+        model |= samples[-1] if samples else {}
+    return state, model | {"samples": samples or [{"top_customers": 0.0, "top_tables": 0.0}]}
 
 
 def score_texts(docs: DataFrame, train_when, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,48 +465,56 @@ def score_texts(docs: DataFrame, train_when, id_col: str = "doc_id", text_col: s
     """
     parts = B.part_count(docs.sparkSession)
     packed = B.pack(docs.select(id_col, F.coalesce(train_when, F.lit(False)).alias("__train"), text_col))
-    counts = word_counts(packed, parts, text_col)
-    types, tokens = (x or 0 for x in counts.agg(F.sum("words"), F.sum("tokens")).first())
-    hot = hot_words(counts, tokens)
-    contexts = _contexts(hot)
-    state, model = train(packed, hot, parts, text_col)
-
-    def pairs(table):
-        words, word, context, doc = _tokens(table, hot, text_col)
-        key, back = np.unique(word * contexts + context, return_inverse=True)
-        return words, word, doc, key, back
+    encoded = encode(packed, parts, id_col, text_col)
+    B.dropped(packed)
+    state, model = train(encoded, parts)
+    samples = len(model["samples"])
 
     def question(block, table):
-        words, _, _, key, _ = pairs(table)
-        yield from _by_part(parts, words, key // contexts, key % contexts)
-
-    def reply(number, asked):
-        part = Part.load(asked[0][1]) if asked[0][0] < 0 else Part(
-            np.zeros(0, np.uint64), np.zeros(1, np.int64), *[np.zeros(0, np.int64)] * 6, [])
-        for block, x in asked[asked[0][0] < 0:]:
-            words, n, context = pickle.loads(x)
-            p, c = part.probabilities(words, n, context.astype(np.int64), model)
-            yield block, pickle.dumps((np.log10(p).astype(np.float32), B.small(c)))
-
-    asked = B.ask(packed, question).unionByName(state.select(F.lit(-1).cast("long").alias("block"), "part", "payload"))
+        words, word, context, _ = _pairs(table, parts)
+        known = word < len(words)
+        ids = np.append(_place(words) * parts + (words >> 40) + 1, 0)
+        yield from _entries(words, word[known], ids[context[known]])
+
+    def reply(number, rows):
+        part, told = Part.load(rows[0][1]), [x for b, x in rows if b == -1]
+        _, tables, _ = _totals(told)
+        for block, x in rows[1 + len(told):]:
+            words, n, ids = _load(x)
+            dealt = _dealt(ids, parts)
+            at = np.minimum(np.searchsorted(part.ids, dealt), len(part.ids) - 1)
+            context = np.where((ids > 0) & (part.ids[at] == dealt), at, -1)
+            counts, parent, customers, own = part.counted(words, n, context)
+            yield block, _dump(counts, *[v for p in parent for v in p], *tables[:, words], customers, own)
 
     def score(block, table, got):
-        words, word, doc, key, back = pairs(table)
-        told = [pickle.loads(got[p]) for p in sorted(got)]
-        log = np.concatenate([t[0] for t in told]).astype(float)
-        c = np.concatenate([t[1] for t in told]).astype(np.int64)
-        n = table.num_rows
-        base = np.log10((c + 0.5) / (tokens + 0.5 * (types + 1)))
+        words, word, context, pair = _pairs(table, parts)
+        told = [_load(got[p]) for p in sorted(got)]
+        known = word < len(words)
+        # the last word is the unknown one, no customer anywhere
+        of_word = [np.append(np.concatenate([t[i] for t in told] or [[]]), 0.0) for i in range(1 + 3 * samples)]
+        customers, own = np.zeros(len(word)), np.zeros(len(word))
+        if told:
+            customers[known], own[known] = (np.concatenate([t[i] for t in told]) for i in (-2, -1))
+        parent = [of_word[1 + 2 * s:3 + 2 * s] for s in range(samples)]
+        tables = [of_word[1 + 2 * samples + s][context] for s in range(samples)]
+        log = np.log10(predictive(model, parent, word, of_word[0][context], tables, customers, own))
+        n_tokens = table.column("n_tokens").to_numpy()
+        doc = np.repeat(np.arange(len(n_tokens)), n_tokens)
+        base = table.column("base").to_numpy() - n_tokens * np.log10(model["tokens"] + 0.5 * (model["types"] + 1))
         yield from pa.table({
             id_col: table.column(id_col), "__train": table.column("__train"),
-            "n_tokens": pa.array(np.bincount(doc, minlength=n).astype(np.int64)),
-            "n_known": pa.array(np.bincount(doc, c[word] > 0, n).astype(np.int64)),
-            "train_tokens": pa.array(np.full(n, tokens, np.int64)),
-            "base_score": pa.array(np.bincount(doc, base[word], n)),
-            "score": pa.array(np.bincount(doc, log[back], n))}).combine_chunks().to_batches()
-
+            "n_tokens": table.column("n_tokens"), "n_known": table.column("n_known"),
+            "train_tokens": pa.array(np.full(len(base), int(model["tokens"]), np.int64)),
+            "base_score": pa.array(base),
+            "score": pa.array(np.bincount(doc, log[pair], len(base)))}).combine_chunks().to_batches()
+
+    # to a part come itself, then what it was told, then questions
+    kept = state.select(F.when(F.col("part") < 0, -2).otherwise(-1).cast("long").alias("block"),
+                        F.when(F.col("part") < 0, F.col("block")).otherwise(F.col("part")).alias("part"), "payload")
+    asked = B.ask(encoded, question).unionByName(kept)
     kind = docs.schema[id_col].dataType.simpleString()
-    return B.apply(packed, B.answer(asked, reply), score,
+    return B.apply(encoded, B.answer(asked, reply), score,
                    f"{id_col} {kind}, __train boolean, n_tokens long, n_known long, train_tokens long, "
                    "base_score double, score double")
 

@@ -1,5 +1,6 @@
 """Piece lattices, packing and the language model: brute force and invariants."""
 
+import itertools
 import random
 import tracemalloc
 import zlib
@@ -233,3 +234,66 @@ def test_seating_follows_the_restaurant():
 def test_held_out_texts_are_predicted_better_than_by_the_base(spark):
     rows = Y.op2_pitman_yor(spark, "/root/testdata/sf0.01").filter("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def stirling(n, d):
+    s = np.zeros((n + 2, n + 2))
+    s[0, 0] = 1
+    for i in range(n):
+        for k in range(n + 1):
+            s[i + 1, k] += s[i, k] * (i - d * k)
+            s[i + 1, k + 1] += s[i, k]
+    return s
+
+def exact(c, d, d0, S):
+    words, contexts = c.shape
+    s, s0 = stirling(c.max(), d), stirling(c.sum(), d0)
+    rising = lambda n, step: np.prod(S + step * np.arange(n))
+    at = np.argwhere(c)
+    out, total, H = 0, 0, 1 / (words + 1)
+    for t in itertools.product(*[range(1, c[i, j] + 1) for i, j in at]):
+        T = np.zeros(c.shape, int)
+        T[tuple(at.T)] = t
+        m = T.sum(axis=1)
+        a = np.prod([s[c[i, j], T[i, j]] for i, j in at]) * np.prod([rising(x, d) for x in T.sum(axis=0)]) / rising(m.sum(), 1)
+        for top in itertools.product(*[range(1, x + 1) for x in m]):
+            top = np.array(top)
+            weight = a * np.prod([s0[m[i], top[i]] for i in range(words)]) * rising(top.sum(), d0) * H ** top.sum()
+            parent = (np.append(m - d0 * top, 0) + (S + d0 * top.sum()) * H) / (S + m.sum())
+            p = (np.vstack((c - d * T, np.zeros(contexts))) + (S + d * T.sum(axis=0)) * parent[:, None]) / (S + c.sum(axis=0))
+            out, total = out + weight * p, total + weight
+    return out / total
+
+
+def sampled(c, d, d0, sweeps, seed=3):
+    words, contexts = c.shape
+    w, u = np.nonzero(c)
+    part = Y.Part.gathered([(np.arange(words), np.bincount(w), u, c[w, u])], contexts)
+    model = {"customers": c.sum(axis=0), "types": words, "discount": d, "top_discount": d0,
+             "tables": np.bincount(part.context, part.tables, contexts), "top_customers": part.tables.sum(), "top_tables": words}
+    rng, samples = np.random.default_rng(seed), []
+    for i in range(sweeps):
+        part.sweep(rng, model)
+        if i >= 20:
+            part.seats.append((part.tables.copy(), part.top.copy()))
+            samples.append({k: model[k] for k in ("tables", "top_customers", "top_tables")})
+    model["samples"] = samples
+    n = words + 1
+    p, _ = part.probabilities(np.arange(n), np.full(n, contexts), np.tile(np.arange(contexts), n), model)
+    return p.reshape(n, contexts)
+
+
+@pytest.mark.parametrize("customers", [[[2, 1], [1, 2], [0, 1]], [[3, 2], [0, 2]], [[1, 1, 1], [1, 0, 1], [0, 2, 0]]])
+def test_probabilities_equal_enumeration(customers):
+    c = np.array(customers)
+    assert abs(exact(c, 0.5, 0.5, Y.STRENGTH) - sampled(c, 0.5, 0.5, 1000)).max() < 0.02
+
+
+def test_every_word_is_a_context_of_its_own(spark):
+    """600 rare words with one and the same ending, each followed by a word of
+    its own: the right word must be far more probable than another's."""
+    train = [(2, f"{i}xx y{i}zz", None) for i in range(600) for _ in range(3)]
+    asked = [(1, f"{i}xx y{i}zz", "right") for i in range(0, 600, 60)] + [(3, f"{i}xx y{i + 1}zz", "wrong") for i in range(0, 600, 60)]
+    rows = Y.score_texts(docs(spark, train + asked), F.col("doc_id") == 2).filter("doc_id <> 2").collect()
+    right, wrong = ([r.score for r in rows if r.doc_id == i] for i in (1, 3))
+    assert len(right) == len(wrong) == 10 and min(right) > max(wrong) + 1
