@@ -19,8 +19,8 @@ averaged over samples.
 Words are numbered by part (a hash range) and, within it, by falling count.
 Texts become their tokens' numbers once, and are not read again.  A part has all
 contexts of its words and their place in the parent; it keeps the customers of
-a context in it, and asks the part of the context's word for the customers and
-tables the restaurant has in all parts.  A block of documents sends a part one
+a context in it, and hears from a group of parts, that of the context's word, how
+many tables the restaurant has in all parts.  A block of documents sends a part one
 entry per distinct (word, context) and gets back one, so a word in a third of
 all texts costs no more.
 """
@@ -91,6 +91,10 @@ def _place(dealt: np.ndarray) -> np.ndarray:
     return dealt & ((1 << 40) - 1)
 
 
+def _steps(ids: np.ndarray) -> np.ndarray:
+    return np.diff(ids, prepend=0)
+
+
 def _cuts(dealt: np.ndarray):
     """(part, from, to) of sorted dealt numbers."""
     owner, at = np.unique(dealt >> 40, return_index=True)
@@ -274,10 +278,10 @@ class Part:
         return self
 
     def dump(self) -> bytes:
-        ids = np.diff(self.ids, prepend=0)
         seats = [x for s in self.seats for x in s]
         return pickle.dumps((self.words.dtype.str, _dump(
-            self.words, np.diff(self.ends), self.context, self.customers, self.tables, self.top, ids, *seats)))
+            self.words, np.diff(self.ends), self.context, self.customers, self.tables, self.top,
+            _steps(self.ids), *seats)))
 
     @staticmethod
     def load(payload: bytes) -> Part:
@@ -361,41 +365,49 @@ def _share(one: float, two: float) -> float:
     return float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one else 0.5
 
 
-def _told(number: int, part: Part, more=()) -> pa.RecordBatch:
+def _told(number: int, part: Part, parts: int, more=()) -> pa.RecordBatch:
     """Rows of a part: itself (part -1) with sums over it, by sample the tables in
-    contexts and in the parent; and what it tells each part: places and tables of
-    that part's words as contexts (to itself, its words' customers too)."""
-    contexts = len(part.ids)
+    contexts and in the parent; and what it tells each group of parts: the tables
+    of their words as contexts (to its own group, its words too).  About
+    ``sqrt(parts)`` parts are a group, so the rows do not grow as parts squared."""
+    contexts, width = len(part.ids), max(1, round(parts ** 0.5))
     tables = part.sums(contexts).reshape(-1, contexts + 1).astype(np.int64)
     sums = np.append(np.column_stack((tables[:, :-1].sum(axis=1), tables[:, -1])).ravel(), more)
-    none, own = np.zeros(0, np.int64), (part.words, part.by_word(part.customers))
-    out = {number: _dump(none, *own, *[none] * len(tables))}
-    for p, a, b in _cuts(part.ids):
-        out[p] = _dump(_place(part.ids[a:b]), *(own if p == number else (none, none)), *tables[:, a:b])
-    rows = [(-1, part.dump(), sums.tolist()), *[(p, x, None) for p, x in out.items()]]
+    none, own, home = np.zeros(0, np.int64), _steps(part.words + (number << 40)), number // width
+    out = {home: _dump(none, own, *[none] * len(tables))}
+    for g, a, b in _cuts((part.ids >> 40) // width << 40):
+        out[g] = _dump(_steps(part.ids[a:b]), own if g == home else none, *tables[:, a:b])
+    rows = [(-1, part.dump(), sums.tolist()), *[(g, x, None) for g, x in out.items()]]
     return pa.RecordBatch.from_pydict({
         "block": pa.array([number] * len(rows), pa.int64()), "part": pa.array([r[0] for r in rows], pa.int64()),
         "payload": pa.array([r[1] for r in rows], pa.binary()),
         "sums": pa.array([r[2] for r in rows], pa.list_(pa.float64()))})
 
 
-def _totals(told: list[bytes]):
-    """Of a part's words: customers, and tables by sample, in all parts; and the
-    places each part told of."""
-    got = [_load(x) for x in told]
-    size = 1 + max(int(x.max(initial=-1)) for g in got for x in g[:2])
-    customers, tables = np.zeros(size, np.int64), np.zeros((len(got[0]) - 3, size), np.int64)
-    for places, words, n, *t in got:
-        customers[words] = n
-        tables[:, places] += np.array(t)
-    return customers, tables, [g[0] for g in got]
+def _totals(told: list[tuple[int, bytes]]):
+    """Of a group's words: dealt numbers, and tables by sample in all parts; and
+    which of them each part told of."""
+    got = [_load(x) for _, x in told]
+    ids = np.sort(np.concatenate([np.cumsum(words) for _, words, *_ in got]))
+    tables, places = np.zeros((len(got[0]) - 2, len(ids)), np.int64), []
+    for contexts, _, *t in got:
+        places.append(np.searchsorted(ids, np.cumsum(contexts)))
+        tables[:, places[-1]] += np.array(t)
+    return ids, tables, places
 
 
-def _reply(number, told):
-    customers, tables, places = _totals([x for _, x in told])
-    for (block, _), at in zip(told, places):
+def _reply(group, told):
+    _, tables, places = _totals(told)
+    for (part, _), at in zip(told, places):
         if len(at):
-            yield block, _dump(customers[at], *tables[:, at])
+            yield part, _dump(*tables[:, at])
+
+
+def _spread(group, told):
+    """Each part's own words: tables by sample, in all parts."""
+    ids, tables, _ = _totals(told)
+    for p, a, b in _cuts(ids):
+        yield p, _dump(*tables[:, a:b])
 
 
 def _sums(state: DataFrame) -> np.ndarray:
@@ -422,7 +434,7 @@ def train(encoded: DataFrame, parts: int):
             got = [_load(x) for _, _, x in rows]
             part = Part.gathered(got, 1 + max(int(g[2].max()) for g in got)).numbered(parts)
             kinds = np.diff(part.ends)
-            yield _told(number, part, [
+            yield _told(number, part, parts, [
                 len(part.words), part.customers.sum(), (part.customers == 1).sum(), (part.customers == 2).sum(),
                 (kinds == 1).sum(), (kinds == 2).sum()])
 
@@ -436,12 +448,12 @@ def train(encoded: DataFrame, parts: int):
         def gibbs(batches, turn=turn, model=dict(model)):
             for number, rows in B.grouped(B.rows_of(batches), 0):
                 part, rng, here = Part.load(rows[0][2]), np.random.default_rng([SEED, turn, number]), dict(model)
-                here["tables"] = np.concatenate([_load(x)[1] for _, _, x in rows[1:]])
+                here["tables"] = np.concatenate([_load(x)[0] for _, _, x in rows[1:]])
                 for _ in range(SWEEPS):
                     part.sweep(rng, here)
                     if turn == ROUNDS - 1:
                         part.seats.append((part.tables.copy(), part.top.copy()))
-                yield _told(number, part)
+                yield _told(number, part, parts)
 
         told = B.answer(state.filter("part >= 0").select("block", "part", "payload"), _reply)
         both = state.filter("part < 0").select("block", "part", "payload").unionByName(told)
@@ -477,9 +489,8 @@ def score_texts(docs: DataFrame, train_when, id_col: str = "doc_id", text_col: s
         yield from _entries(words, word[known], ids[context[known]])
 
     def reply(number, rows):
-        part, told = Part.load(rows[0][1]), [x for b, x in rows if b == -1]
-        _, tables, _ = _totals(told)
-        for block, x in rows[1 + len(told):]:
+        part, tables = Part.load(rows[0][1]), np.array(_load(rows[1][1]))
+        for block, x in rows[2:]:
             words, n, ids = _load(x)
             dealt = _dealt(ids, parts)
             at = np.minimum(np.searchsorted(part.ids, dealt), len(part.ids) - 1)
@@ -509,10 +520,11 @@ def score_texts(docs: DataFrame, train_when, id_col: str = "doc_id", text_col: s
             "base_score": pa.array(base),
             "score": pa.array(np.bincount(doc, log[pair], len(base)))}).combine_chunks().to_batches()
 
-    # to a part come itself, then what it was told, then questions
-    kept = state.select(F.when(F.col("part") < 0, -2).otherwise(-1).cast("long").alias("block"),
-                        F.when(F.col("part") < 0, F.col("block")).otherwise(F.col("part")).alias("part"), "payload")
-    asked = B.ask(encoded, question).unionByName(kept)
+    # to a part come itself, its words' tables, then questions
+    kept = state.filter("part < 0").select(F.lit(-2).cast("long").alias("block"), F.col("block").alias("part"), "payload")
+    tables = B.answer(state.filter("part >= 0").select("block", "part", "payload"), _spread).select(
+        F.lit(-1).cast("long").alias("block"), F.col("block").alias("part"), "payload")
+    asked = B.ask(encoded, question).unionByName(kept).unionByName(tables)
     kind = docs.schema[id_col].dataType.simpleString()
     return B.apply(encoded, B.answer(asked, reply), score,
                    f"{id_col} {kind}, __train boolean, n_tokens long, n_known long, train_tokens long, "
