@@ -192,21 +192,22 @@ def seat(rng, customers: np.ndarray, base, step, others: np.ndarray, strength: f
     an urn; so how many join is geometric with a Beta rate.  Beyond ``ONE_BY_ONE``
     customers a step of the loop goes to the next table, not the next customer.
     """
-    tables, weight = np.ones(len(customers), np.int64), np.zeros(len(customers))
-    base, step, others = (np.broadcast_to(x, tables.shape) for x in (base, step, others.astype(float)))
-    open_ = np.arange(len(customers))
+    order = np.argsort(-customers, kind="stable")
+    customers, falling = customers[order], -customers[order]
+    base, step, others = (np.broadcast_to(x, order.shape)[order] for x in (base, step, others))
+    tables, weight, room = np.ones(len(order)), np.zeros(len(order)), strength + discount * others
     for n in range(1, ONE_BY_ONE):
-        open_ = open_[customers[open_] > n]
-        t = tables[open_]
-        opens = (strength + discount * (others[open_] + t)) * (base[open_] + step[open_] * t)
+        k = np.searchsorted(falling, -n)  # dishes with customers still to come
+        t = tables[:k]
+        opens = (room[:k] + discount * t) * (base[:k] + step[:k] * t)
         total = opens + n - discount * t
-        weight[open_] += np.log(total)
-        tables[open_] += rng.random(len(t)) * total < opens
-    open_ = open_[customers[open_] > ONE_BY_ONE]
-    seated = np.full(len(customers), ONE_BY_ONE)
+        weight[:k] += np.log(total)
+        t += rng.random(k) * total < opens
+    open_ = np.arange(np.searchsorted(falling, -ONE_BY_ONE))
+    seated = np.full(len(open_), ONE_BY_ONE)
     while len(open_):
         t, n = tables[open_], seated[open_]
-        opens = (strength + discount * (others[open_] + t)) * (base[open_] + step[open_] * t)
+        opens = (room[open_] + discount * t) * (base[open_] + step[open_] * t)
         joins = n - discount * t
         left = customers[open_] - n
         with np.errstate(divide="ignore", over="ignore"):
@@ -215,11 +216,14 @@ def seat(rng, customers: np.ndarray, base, step, others: np.ndarray, strength: f
         more = np.minimum(np.floor(wait), left).astype(np.int64)
         new = more < left
         more += new
-        weight[open_] += _log_gamma(joins + opens + more) - _log_gamma(joins + opens)
+        to, since = np.split(_log_gamma(np.concatenate((joins + opens + more, joins + opens))), 2)
+        weight[open_] += to - since
         tables[open_] = t + new
         seated[open_] = n + more
         open_ = open_[seated[open_] < customers[open_]]
-    return tables, weight
+    out, log = np.empty(len(order), np.int64), np.empty(len(order))
+    out[order], log[order] = tables, weight
+    return out, log
 
 
 def settle(rng, customers, base, step, others, strength, discount) -> np.ndarray:
