@@ -92,9 +92,11 @@ def load(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
-def pack(df: DataFrame, target: int = TARGET) -> DataFrame:
+def pack(df: DataFrame, target: int = TARGET,
+         dump: Callable[[list[pa.RecordBatch]], bytes] = _dump) -> DataFrame:
     """Rows in blocks of about ``target`` bytes, compressed and stored.  The
-    block number is written with the block, so later jobs agree on it."""
+    block number is written with the block, so later jobs agree on it.  ``dump``
+    may store something else than the rows as they are, as a table."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -106,7 +108,7 @@ def pack(df: DataFrame, target: int = TARGET) -> DataFrame:
                 "block": pa.array([block], pa.int64()),
                 "n_rows": pa.array([sum(b.num_rows for b in held)], pa.int64()),
                 "n_bytes": pa.array([size], pa.int64()),
-                "payload": pa.array([_dump(held)], pa.binary())})
+                "payload": pa.array([dump(held)], pa.binary())})
 
         for batch in batches:
             for s in slices(batch, target):

@@ -27,10 +27,12 @@ all texts costs no more.
 
 from __future__ import annotations
 
+import math
 import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,26 +44,41 @@ STRENGTH = 1.0
 ROUNDS, SWEEPS = 2, 2
 TURNS, DRAWS = 2, 3
 ONE_BY_ONE = 16
+#: Dishes seated in plain numbers; arrays so short cost more than what they hold.
+FEW = 4
 SEED = 20
 END = b""
 STATE = B.ASKED + ", sums array<double>"
 
 
-def _tokens(table: pa.Table, text_col: str):
-    """Of a block: sorted distinct word hashes, of each token its word's place
-    among them, and the texts' numbers of tokens."""
-    number: dict[bytes, int] = {}
-    flat, counts = [], []
-    for t in B.texts_of(table, text_col):
-        words = t.lower().split() if t else []
+def _tokens(texts: pa.Array):
+    """Sorted distinct word hashes, of each token its word's place among them, and
+    the texts' numbers of tokens."""
+    texts = texts.cast(pa.binary()).view(pa.string()).fill_null("")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    pieces = lists.flatten().dictionary_encode()
+    number, words = pieces.indices.to_numpy(), pieces.dictionary.cast(pa.binary()).to_pylist()
+    # next to white space at an end of a text stand empty pieces
+    if END not in words:
         words.append(END)
-        flat.append(np.fromiter([number.setdefault(w, len(number)) for w in words], np.int64, len(words)))
-        counts.append(len(words))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+    end = words.index(END)
+    some, offsets = number != end, lists.offsets.to_numpy()
+    ends = np.append(0, np.cumsum(some))[offsets[1:] - offsets[0]]
+    flat = np.insert(number[some], ends, end)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     order = np.argsort(hashes)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return hashes[order], rank[np.concatenate(flat)], np.array(counts)
+    return hashes[order], rank[flat], np.diff(ends, prepend=0) + 1
+
+
+def tokenised(batches: list[pa.RecordBatch], id_col: str, text_col: str) -> bytes:
+    """A block with tokens in the place of texts."""
+    table = pa.Table.from_batches(batches)
+    hashes, word, counts = _tokens(table.column(text_col).combine_chunks())
+    rows = pa.table({id_col: table.column(id_col), "__train": table.column("__train"),
+                     "n_tokens": pa.array(counts), "__block": _of_block(len(counts), hashes, word)})
+    return B._dump(rows.to_batches())
 
 
 def _dump(*arrays: np.ndarray) -> bytes:
@@ -82,6 +99,15 @@ def _load(payload: bytes) -> list[np.ndarray]:
     return out
 
 
+def _of_block(rows: int, *arrays: np.ndarray) -> pa.Array:
+    """A column that holds values of the whole block in its first row."""
+    return pa.array([_dump(*arrays)] + [None] * (rows - 1), pa.binary())
+
+
+def _held(table: pa.Table) -> list[np.ndarray]:
+    return _load(table.column("__block")[0].as_py())
+
+
 def _dealt(ids: np.ndarray, parts: int) -> np.ndarray:
     """Numbers of words, ordered by part and then by place in the part."""
     return ((ids - 1) % parts << 40) | (ids - 1) // parts
@@ -101,14 +127,16 @@ def _cuts(dealt: np.ndarray):
     yield from zip(owner.tolist(), at.tolist(), np.append(at, len(dealt))[1:].tolist())
 
 
-def encode(packed: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame:
+def encode(packed: DataFrame, parts: int, id_col: str) -> DataFrame:
     """Stored blocks of id, ``__train``, ``n_tokens``, ``n_known``, ``base`` (the
-    sum of log10(c + 0.5)) and ``ids``, the numbers of the tokens' words: from 1
-    for words of training texts, 0 for others."""
+    sum of log10(c + 0.5)) and, of the block, the distinct numbers of its words
+    (from 1 for words of training texts, 0 for others) and of each token its place
+    among them."""
 
     def question(block, table):
-        words, word, counts = _tokens(table, text_col)
-        train = np.repeat(table.column("__train").to_numpy(), counts)
+        words, word = _held(table)
+        words = words.astype(np.uint64)
+        train = np.repeat(table.column("__train").to_numpy(), table.column("n_tokens").to_numpy())
         n = np.bincount(word[train], minlength=len(words))
         at = B.ranges(parts, words)
         for p in range(parts):
@@ -129,15 +157,16 @@ def encode(packed: DataFrame, parts: int, id_col: str, text_col: str) -> DataFra
             yield block, _dump(ids[mine], n[mine])
 
     def numbers(block, table, got):
-        _, word, counts = _tokens(table, text_col)
+        (_, word), counts = _held(table), table.column("n_tokens").to_numpy()
         told = [_load(got[p]) for p in sorted(got)]
         ids, c = (np.concatenate([t[i] for t in told]) for i in (0, 1))
         doc, n = np.repeat(np.arange(len(counts)), counts), len(counts)
+        distinct, place = np.unique(ids, return_inverse=True)
         rows = pa.table({
             id_col: table.column(id_col), "__train": table.column("__train"),
             "n_tokens": pa.array(counts), "n_known": pa.array(np.bincount(doc, c[word] > 0, n).astype(np.int64)),
             "base": pa.array(np.bincount(doc, np.log10(c + 0.5)[word], n)),
-            "ids": pa.LargeListArray.from_arrays(np.append(0, np.cumsum(counts)), pa.array(B.small(ids)[word]))})
+            "__block": _of_block(n, _steps(distinct), place[word])})
         yield pa.RecordBatch.from_pydict({
             "block": pa.array([block], pa.int64()), "payload": pa.array([B._dump(rows.to_batches())], pa.binary())})
 
@@ -145,24 +174,37 @@ def encode(packed: DataFrame, parts: int, id_col: str, text_col: str) -> DataFra
     return B.stored(B.apply(packed, asked, numbers, "block long, payload binary"), "numbers")
 
 
+def _distinct(keys: np.ndarray, bound: int):
+    """Sorted distinct keys (from 0, below ``bound``), and of each key its place
+    among them; key and place are sorted as one number if they fit."""
+    places = max(1, len(keys)).bit_length()
+    if not len(keys) or bound.bit_length() + places > 63:
+        return np.unique(keys, return_inverse=True)
+    both = np.sort(keys << places | np.arange(len(keys)))
+    at = both & ((1 << places) - 1)
+    both >>= places
+    new = np.append(True, both[1:] != both[:-1])
+    back = np.empty(len(keys), np.int64)
+    back[at] = np.cumsum(new) - 1
+    return both[new], back
+
+
 def _pairs(table: pa.Table, parts: int):
     """Of a block: its distinct known words (dealt numbers), its distinct pairs as
     places of word and context among them (their number: an unknown one), and of
     each token its pair."""
-    ids = table.column("ids").combine_chunks()
-    flat = ids.values.to_numpy()[ids.offsets[0].as_py():ids.offsets[-1].as_py()].astype(np.int64)
-    distinct, back = np.unique(flat, return_inverse=True)
-    known = np.flatnonzero(distinct)
-    dealt = _dealt(distinct[known], parts)
+    steps, word = _held(table)
+    ids = np.cumsum(steps)
+    known = np.flatnonzero(ids)
+    dealt = _dealt(ids[known], parts)
     order = np.argsort(dealt)
-    place = np.full(len(distinct), len(known))
+    place = np.full(len(ids), len(known))
     place[known[order]] = np.arange(len(known))
-    word = place[back]
-    ends = np.cumsum(table.column("n_tokens").to_numpy())
+    word, ends = place[word], np.cumsum(table.column("n_tokens").to_numpy())
     context = np.empty(len(word), np.int64)
     context[1:] = word[:-1]
     context[np.append(0, ends[:-1])] = word[ends - 1]
-    key, pair = np.unique(word * (len(known) + 1) + context, return_inverse=True)
+    key, pair = _distinct(word * (len(known) + 1) + context, (len(known) + 1) ** 2)
     return dealt[order], key // (len(known) + 1), key % (len(known) + 1), pair
 
 
@@ -203,29 +245,79 @@ def seat(rng, customers: np.ndarray, base, step, others: np.ndarray, strength: f
         total = opens + n - discount * t
         weight[:k] += np.log(total)
         t += rng.random(k) * total < opens
-    open_ = np.arange(np.searchsorted(falling, -ONE_BY_ONE))
-    seated = np.full(len(open_), ONE_BY_ONE)
-    while len(open_):
-        t, n = tables[open_], seated[open_]
-        opens = (room[open_] + discount * t) * (base[open_] + step[open_] * t)
-        joins = n - discount * t
-        left = customers[open_] - n
-        with np.errstate(divide="ignore", over="ignore"):
-            wait = np.log(rng.random(len(t))) / np.log1p(-rng.beta(opens, joins))
-        # customers seated by now: those that join, and one that opens a table
-        more = np.minimum(np.floor(wait), left).astype(np.int64)
-        new = more < left
-        more += new
-        to, since = np.split(_log_gamma(np.concatenate((joins + opens + more, joins + opens))), 2)
-        weight[open_] += to - since
-        tables[open_] = t + new
-        seated[open_] = n + more
-        open_ = open_[seated[open_] < customers[open_]]
+    k = np.searchsorted(falling, -ONE_BY_ONE)
+    if k:
+        _seat_on(rng, customers[:k], base[:k], step[:k], room[:k], discount, tables[:k], weight[:k])
     out, log = np.empty(len(order), np.int64), np.empty(len(order))
     out[order], log[order] = tables, weight
     return out, log
 
 
+def _weigh(weight: np.ndarray, steps: list) -> None:
+    """Add to ``weight`` what steps of (dishes, rates, customers seated) bring."""
+    dishes, rate, more = (np.concatenate(x) for x in zip(*steps))
+    np.add.at(weight, dishes, _log_gamma(rate + more) - _log_gamma(rate))
+    steps.clear()
+
+
+def _seat_on(rng, customers, base, step, room, discount: float, tables: np.ndarray, weight: np.ndarray) -> None:
+    """Seat the customers beyond ``ONE_BY_ONE``, table by table; ``tables`` and
+    ``weight`` follow."""
+    dishes, t, customers = np.arange(len(customers)), tables.copy(), customers.astype(float)
+    seated, steps, held = np.full(len(customers), float(ONE_BY_ONE)), [], 0
+    going = customers > seated
+    with np.errstate(divide="ignore", over="ignore"):
+        while True:
+            if not going.all():
+                tables[dishes] = t
+                dishes, t, customers, seated, base, step, room = (
+                    x[going] for x in (dishes, t, customers, seated, base, step, room))
+            if len(dishes) <= FEW:
+                break
+            open_ = discount * t
+            opens = (room + open_) * (base + step * t)
+            joins = seated - open_
+            left = customers - seated
+            wait = np.log(rng.random(len(t))) / np.log1p(-rng.beta(opens, joins))
+            # customers seated by now: those that join, and one that opens a table
+            more = np.minimum(np.floor(wait), left)
+            new = more < left
+            more += new
+            steps.append((dishes, joins + opens, more))
+            t, seated = t + new, seated + more
+            going = seated < customers
+            held += len(dishes)
+            if held > 1 << 16:
+                _weigh(weight, steps)
+                held = 0
+    few = [list(x) for x in zip(*(x.tolist() for x in (dishes, t, customers, seated, base, step, room)))]
+    random, beta, some = rng.random, rng.beta, ([], [], [])
+    while few:
+        for dish, u in zip(few, [random() for _ in few]):
+            i, t, n, at, b, s, r = dish
+            opens = (r + discount * t) * (b + s * t)
+            joins = at - discount * t
+            left, rate = n - at, beta(opens, joins)
+            rate = math.log1p(-rate) if rate < 1 else -math.inf
+            wait = math.log(u) / rate if u and rate else math.inf
+            new = wait < left and math.floor(wait) < left
+            more = math.floor(wait) + 1.0 if new else left
+            some[0].append(i)
+            some[1].append(joins + opens)
+            some[2].append(more)
+            dish[1], dish[3] = t + new, at + more
+            if at + more >= n:
+                tables[i] = t + new
+        few = [x for x in few if x[3] < x[2]]
+        if len(some[0]) > 1 << 16:
+            _weigh(weight, steps + [tuple(map(np.array, some))])
+            steps, some = [], ([], [], [])
+    if some[0]:
+        steps.append(tuple(map(np.array, some)))
+    if steps:
+        _weigh(weight, steps)
+
+
 def settle(rng, customers, base, step, others, strength, discount) -> np.ndarray:
     """Tables of each dish: of ``DRAWS`` seatings one, chosen by Metropolis
     steps between them."""
@@ -268,7 +360,7 @@ class Part:
     def gathered(got: list[tuple], contexts: int) -> Part:
         words, back = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         each = np.repeat(back, np.concatenate([g[1] for g in got]).astype(np.int64))
-        key, back = np.unique(each * contexts + np.concatenate([g[2] for g in got]), return_inverse=True)
+        key, back = _distinct(each * contexts + np.concatenate([g[2] for g in got]), len(words) * contexts)
         n = np.bincount(back, np.concatenate([g[3] for g in got])).astype(np.int64)
         ends = np.append(0, np.cumsum(np.bincount(key // contexts, minlength=len(words))))
         return Part(words, ends, key % contexts, n, np.ones(len(key), np.int64), np.ones(len(words), np.int64), [],
@@ -339,26 +431,32 @@ class Part:
         return np.concatenate([np.append(np.bincount(self.context, t, contexts), u.sum())
                                for t, u in self.seats or [(self.tables, self.top)]])
 
-    def counted(self, words: np.ndarray, per_word: np.ndarray, context: np.ndarray):
-        """Of words: customers, and (customers, tables) in the parent by sample.
-        Of their pairs: customers, and tables summed over samples.  Zeros for what
-        is not here; a context below 0 is none."""
-        contexts = int(max(self.context.max(), context.max(initial=0))) + 1
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        known = self.words[at] == words
-        each = np.repeat(np.arange(len(words)), per_word)
-        keys, asked = self.word_of() * contexts + self.context, at[each] * contexts + context
-        pair = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        seen = known[each] & (keys[pair] == asked) & (context >= 0)
-        counts = np.where(known, self.by_word(self.customers)[at], 0)
-        parent = [(np.where(known, self.by_word(t)[at], 0), np.where(known, u[at], 0)) for t, u in self.seats]
-        own = sum(t for t, _ in self.seats)
-        return counts, parent, np.where(seen, self.customers[pair], 0), np.where(seen, own[pair], 0)
+    def counter(self, context: np.ndarray, contexts: int):
+        """Looks up words and, of each, contexts (numbered as the pairs'
+        ``context``, below ``contexts``; below 0: none).  Of words: customers, and
+        (customers, tables) in the parent by sample.  Of their pairs: customers, and
+        tables summed over samples.  Zeros for what is not here."""
+        keys, total = self.word_of() * contexts + context, self.by_word(self.customers)
+        top, seats = [(self.by_word(t), u) for t, u in self.seats], sum(t for t, _ in self.seats)
+
+        def counted(words: np.ndarray, per_word: np.ndarray, asked: np.ndarray):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            known = self.words[at] == words
+            each = np.repeat(np.arange(len(words)), per_word)
+            wanted = at[each] * contexts + asked
+            pair = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            seen = known[each] & (keys[pair] == wanted) & (asked >= 0)
+            parent = [(np.where(known, m[at], 0), np.where(known, u[at], 0)) for m, u in top]
+            return (np.where(known, total[at], 0), parent,
+                    np.where(seen, self.customers[pair], 0), np.where(seen, seats[pair], 0))
+
+        return counted
 
     def probabilities(self, words: np.ndarray, per_word: np.ndarray, context: np.ndarray, model: dict):
         """Averaged predictive probability of each (word, context), and the
         words' training counts."""
-        counts, parent, customers, own = self.counted(words, per_word, context)
+        contexts = int(max(self.context.max(), context.max(initial=0))) + 1
+        counts, parent, customers, own = self.counter(self.context, contexts)(words, per_word, context)
         each = np.repeat(np.arange(len(words)), per_word)
         return predictive(model, parent, each, model["customers"][context],
                           [s["tables"][context] for s in model["samples"]], customers, own), counts
@@ -427,11 +525,14 @@ def train(encoded: DataFrame, parts: int):
     other, and the model's sums."""
 
     def question(block, table):
-        table = table.filter(table.column("__train"))
-        if table.num_rows:
+        train = np.repeat(table.column("__train").to_numpy(), table.column("n_tokens").to_numpy())
+        if train.any():
             words, word, context, pair = _pairs(table, parts)
+            customers = np.bincount(pair[train], minlength=len(word))
+            here = np.flatnonzero(customers)
             ids = _place(words) * parts + (words >> 40) + 1
-            yield from _entries(words, word, ids[context], np.bincount(pair))
+            asked, word = np.unique(word[here], return_inverse=True)
+            yield from _entries(words[asked], word, ids[context[here]], customers[here])
 
     def gather(batches):
         for number, rows in B.grouped(B.rows_of(batches), 1):
@@ -480,8 +581,9 @@ def score_texts(docs: DataFrame, train_when, id_col: str = "doc_id", text_col: s
     columns are left out.
     """
     parts = B.part_count(docs.sparkSession)
-    packed = B.pack(docs.select(id_col, F.coalesce(train_when, F.lit(False)).alias("__train"), text_col))
-    encoded = encode(packed, parts, id_col, text_col)
+    packed = B.pack(docs.select(id_col, F.coalesce(train_when, F.lit(False)).alias("__train"), text_col),
+                    dump=lambda batches: tokenised(batches, id_col, text_col))
+    encoded = encode(packed, parts, id_col)
     B.dropped(packed)
     state, model = train(encoded, parts)
     samples = len(model["samples"])
@@ -494,12 +596,13 @@ def score_texts(docs: DataFrame, train_when, id_col: str = "doc_id", text_col: s
 
     def reply(number, rows):
         part, tables = Part.load(rows[0][1]), np.array(_load(rows[1][1]))
+        most = int(_place(part.ids).max()) + 1
+        counted = part.counter(((part.ids >> 40) * most + _place(part.ids))[part.context], parts * most)
         for block, x in rows[2:]:
             words, n, ids = _load(x)
-            dealt = _dealt(ids, parts)
-            at = np.minimum(np.searchsorted(part.ids, dealt), len(part.ids) - 1)
-            context = np.where((ids > 0) & (part.ids[at] == dealt), at, -1)
-            counts, parent, customers, own = part.counted(words, n, context)
+            owner, place = (ids - 1) % parts, (ids - 1) // parts
+            context = np.where((ids > 0) & (place < most), owner * most + place, -1)
+            counts, parent, customers, own = counted(words, n, context)
             yield block, _dump(counts, *[v for p in parent for v in p], *tables[:, words], customers, own)
 
     def score(block, table, got):

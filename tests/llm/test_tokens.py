@@ -8,10 +8,13 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from cases import TEXTS, by_rows, docs, lower, spaced
 from pyspark.sql import functions as F
 
+from jobsift.llm import blocks as B
 from jobsift.llm import packed_ids as K
 from jobsift.llm import pitman_yor as Y
 from jobsift.llm import sentence_pieces as S
@@ -297,3 +300,101 @@ def test_every_word_is_a_context_of_its_own(spark):
     rows = Y.score_texts(docs(spark, train + asked), F.col("doc_id") == 2).filter("doc_id <> 2").collect()
     right, wrong = ([r.score for r in rows if r.doc_id == i] for i in (1, 3))
     assert len(right) == len(wrong) == 10 and min(right) > max(wrong) + 1
+
+
+def seat_plainly(rng, customers, base, step, others, strength, d):
+    """``seat`` with every step of every dish taken as it comes."""
+    order = np.argsort(-customers, kind="stable")
+    t, weight, n = np.ones(len(order)), np.zeros(len(order)), np.ones(len(order))
+    c, b, s, room = customers[order], base[order], step[order], strength + d * others[order]
+    for at in range(1, Y.ONE_BY_ONE):
+        k = np.flatnonzero(c > at)
+        opens = (room[k] + d * t[k]) * (b[k] + s[k] * t[k])
+        total = opens + at - d * t[k]
+        weight[k] += np.log(total)
+        t[k] += rng.random(len(k)) * total < opens
+        n[k] = at + 1
+    while len(k := np.flatnonzero(c > n)):
+        opens, joins = (room[k] + d * t[k]) * (b[k] + s[k] * t[k]), n[k] - d * t[k]
+        with np.errstate(divide="ignore", over="ignore"):
+            wait = np.log(rng.random(len(k))) / np.log1p(-rng.beta(opens, joins))
+        more = np.minimum(np.floor(wait), c[k] - n[k])
+        new = more < c[k] - n[k]
+        more += new
+        weight[k] += Y._log_gamma(joins + opens + more) - Y._log_gamma(joins + opens)
+        t[k], n[k] = t[k] + new, n[k] + more
+    out, log = np.empty(len(order), np.int64), np.empty(len(order))
+    out[order], log[order] = t, weight
+    return out, log
+
+
+@pytest.mark.parametrize("most", [1, 3, 16, 17, 40, 3000])
+def test_dishes_seated_together_equal_dishes_seated_plainly(most):
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(1, 40))
+        customers = np.minimum(rng.zipf(1.3, n), most)
+        base, step, others = rng.random(n) ** 8, rng.random(n) / 1000, rng.integers(0, 5000, n)
+        got = Y.seat(np.random.default_rng(seed), customers, base, step, others, 1.0, 0.75)
+        want = seat_plainly(np.random.default_rng(seed), customers, base, step, others, 1.0, 0.75)
+        assert (got[0] == want[0]).all() and np.allclose(got[1], want[1], rtol=1e-9)
+
+
+def test_weights_of_many_tables_are_taken_together(monkeypatch):
+    """Tables of a frequent dish once cost a call each."""
+    calls, plain = [], Y._log_gamma
+    monkeypatch.setattr(Y, "_log_gamma", lambda x: calls.append(len(x)) or plain(x))
+    one = np.ones(50)
+    tables, _ = Y.seat(np.random.default_rng(5), np.full(50, 5000), 0.05 * one, 0 * one, 2000 * one, 1.0, 0.75)
+    assert tables.max() > 100
+    assert len(calls) <= 2 + sum(calls) // (1 << 15)
+
+
+def test_lookups_do_not_walk_the_part_again(monkeypatch):
+    """A block's question once cost as much as the part is large."""
+    rng, n = np.random.default_rng(1), 400
+    word, context = np.divmod(np.sort(rng.choice(100 * 50, n, False)), 50)
+    words = np.unique(word)
+    part = Y.Part.gathered([(words * 3, np.bincount(word)[words], context, rng.integers(1, 9, n))], 50)
+    part.seats = [(rng.integers(1, 5, n), rng.integers(1, 5, len(words))) for _ in range(2)]
+    counted = part.counter(part.context, 50)
+    for name in ("word_of", "by_word"):
+        monkeypatch.delattr(Y.Part, name)
+    held = {(3 * w, c): i for i, (w, c) in enumerate(zip(word, context))}
+    asked = np.unique(rng.integers(0, 300, 40))
+    per_word = rng.integers(0, 20, len(asked))
+    contexts = rng.integers(-1, 50, per_word.sum())
+    total, parent, customers, own = counted(asked, per_word, contexts)
+    for i, w in enumerate(asked):
+        mine = [x for (v, _), x in held.items() if v == w]
+        assert total[i] == part.customers[mine].sum()
+        for (m, top), (t, u) in zip(parent, part.seats):
+            assert (m[i], top[i]) == (t[mine].sum(), u[words * 3 == w].sum())
+    for key, k, t in zip(zip(np.repeat(asked, per_word), contexts), customers, own):
+        x = held.get(key)
+        assert (k, t) == ((0, 0) if x is None else (part.customers[x], sum(s[0][x] for s in part.seats)))
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string(), pa.binary()])
+def test_blocks_of_tokens_equal_plain_splits(kind):
+    rng = random.Random(4)
+    texts = [None, "", " ", "a", "\x1ca\x85 \xa0É  A"] + [
+        "".join(rng.choice("aAbÉ  \n\t\x0b\x1c\x85") for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    rows = pa.record_batch({"doc_id": pa.array(range(len(texts))), "__train": pa.array([True] * len(texts)),
+                            "text": pa.array([t and t.encode() for t in texts], pa.binary()).cast(kind)})
+    table = B.load(Y.tokenised([rows.slice(0, 7), rows.slice(7)], "doc_id", "text"))
+    want = [[*(t or "").encode().lower().split(), b""] for t in texts]
+    hashes = [xxhash.xxh64_intdigest(w) for w in sorted({w for ws in want for w in ws}, key=xxhash.xxh64_intdigest)]
+    assert "text" not in table.column_names
+    got, word = Y._held(table)
+    assert got.astype(np.uint64).tolist() == hashes
+    assert table.column("n_tokens").to_pylist() == [len(ws) for ws in want]
+    assert [hashes[i] for i in word] == [xxhash.xxh64_intdigest(w) for ws in want for w in ws]
+
+
+def test_distinct_equals_unique():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 3, 500):
+        keys = rng.integers(0, 60, n)
+        for bound in (60, 1 << 62):
+            assert all((a == b).all() for a, b in zip(Y._distinct(keys, bound), np.unique(keys, return_inverse=True)))
